@@ -51,4 +51,4 @@ def field_or_name(body: Column, field: str) -> Column:
 
 def match_count(raw: Column) -> Column:
     """Number of matches in a lookup response; 0 when there is none."""
-    return F.coalesce(F.json_array_length(raw), F.size(F.json_object_keys(raw)), F.lit(0)).cast("int")
+    return F.coalesce(F.json_array_length(raw), F.array_size(F.json_object_keys(raw)), F.lit(0)).cast("int")
