@@ -67,7 +67,7 @@ def lookup_status(cite: Column, lookup: Column, cluster: Column, empty_is_not_fo
         F.when(F.coalesce(cite, F.lit("")) == "", "error")
         .when(empty_list, "not_found" if empty_is_not_found else "timeout_error")
         .when(match_count(lookup) == 0, "timeout_error")
-        .when(is_object | ~F.get_json_object(lookup, "$[0]").startswith("{"), "processing_error")
+        .when(is_object | ~F.coalesce(F.get_json_object(lookup, "$[0]").startswith("{"), F.lit(False)), "processing_error")
         .when(_first_cluster(lookup).isNull(), "not_found")
         .when(F.json_array_length(cluster) > 0, "processing_error")
         .when(F.coalesce(body_keys, F.lit(0)) == 0, "cluster_timeout_error")
@@ -147,8 +147,9 @@ def enrich_incremental(
     worklist: DataFrame, lookup: Lookup, cache: DataFrame, retry_statuses: tuple[str, ...] = ()
 ) -> DataFrame:
     """The cache after looking up what is still missing; a repeated attempt replaces the older row of its key."""
-    new = parse_lookup(lookup(to_do(worklist, cache, retry_statuses)))
-    kept = remaining(cache, new, "dest_cite") if retry_statuses else cache
+    keys = to_do(worklist, cache, retry_statuses)
+    new = parse_lookup(lookup(keys))
+    kept = remaining(cache, keys, "dest_cite") if retry_statuses else cache
     return union_all(conform(kept, METADATA), new)
 
 

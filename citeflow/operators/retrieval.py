@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from citeflow.functions.vectors import dot
@@ -25,7 +26,9 @@ BLOCK_ROWS = 4096
 TILE_CELLS = 4_000_000
 
 
-def _scanner(k: int, digits: int | None) -> Callable:
+def _scanner(k: int, digits: int | None, id_type, query_type) -> Callable:
+    tile = TILE_CELLS
+
     def scan(queries, corpus):
         import numpy as np
         import pyarrow as pa
@@ -39,19 +42,29 @@ def _scanner(k: int, digits: int | None) -> Callable:
         def ids(column):
             return column.combine_chunks().to_numpy(zero_copy_only=False)
 
-        id_type = corpus.schema.field("cand_id").type if corpus.num_columns else pa.int64()
         top_type = pa.struct([("cand_id", id_type), ("score", pa.float64()), ("raw", pa.float64())])
-        n, m = queries.num_rows, corpus.num_rows
-        if n == 0 or m == 0:
+
+        def result(best, mass, ahead, top):
+            """One row per query; without a right candidate ``ahead`` is null."""
+            known = pc.is_valid(queries["truth_score"]).combine_chunks().to_numpy(zero_copy_only=False)
             return pa.table(
                 {
-                    "query_id": pa.array([], queries.schema.field("query_id").type if queries.num_columns else pa.int64()),
-                    "best": pa.array([], pa.float64()),
-                    "mass": pa.array([], pa.float64()),
-                    "ahead": pa.array([], pa.int64()),
-                    "top": pa.array([], pa.list_(top_type)),
+                    "query_id": pa.chunked_array(queries["query_id"], query_type),
+                    "best": pa.array(best, pa.float64()),
+                    "mass": pa.array(mass, pa.float64()),
+                    "ahead": pa.array(np.asarray(ahead, dtype=np.int64), pa.int64(), mask=~known),
+                    "top": top,
                 }
             )
+
+        n, m = queries.num_rows, corpus.num_rows
+        if n == 0:
+            empty = {"query_id": query_type, "best": pa.float64(), "mass": pa.float64(), "ahead": pa.int64()}
+            columns = {c: pa.array([], kind) for c, kind in empty.items()}
+            return pa.table({**columns, "top": pa.array([], pa.list_(top_type))})
+        if m == 0:
+            nothing = pa.array([[]] * n, pa.list_(top_type))
+            return result(np.full(n, -np.inf), np.zeros(n), np.zeros(n), nothing)
         # in id order, a stable sort by score breaks ties by id
         corpus = corpus.take(pc.sort_indices(corpus, sort_keys=[("cand_id", "ascending")]))
         cand, right = ids(corpus["cand_id"]), matrix(corpus["vec"])
@@ -64,7 +77,7 @@ def _scanner(k: int, digits: int | None) -> Callable:
         kept = min(k, m)
 
         best, mass, ahead, sizes, picked, scores, raws = [], [], [], [], [], [], []
-        step = max(1, TILE // m)
+        step = max(1, tile // m)
         for start in range(0, n, step):
             part = slice(start, start + step)
             raw = left[part] @ right.T
@@ -96,17 +109,9 @@ def _scanner(k: int, digits: int | None) -> Callable:
             fields=list(top_type),
         )
         offsets = np.arange(n + 1, dtype=np.int32) * kept if count else np.zeros(n + 1, dtype=np.int32)
-        return pa.table(
-            {
-                "query_id": queries["query_id"].combine_chunks(),
-                "best": np.concatenate(best),
-                "mass": np.concatenate(mass),
-                "ahead": np.concatenate(ahead).astype(np.int64),
-                "top": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), top),
-            }
-        )
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), top)
+        return result(np.concatenate(best), np.concatenate(mass), np.concatenate(ahead), lists)
 
-    TILE = TILE_CELLS
     return scan
 
 
@@ -142,16 +147,18 @@ def scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, digits: int | Non
         F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_bq"),
         _block("cand_id", n_corpus).alias("_bc"),
     )
+    query_type = queries.schema["query_id"].dataType
     top = T.StructType().add("cand_id", id_type).add("score", "double").add("raw", "double")
     schema = (
         T.StructType()
-        .add("query_id", queries.schema["query_id"].dataType)
+        .add("query_id", query_type)
         .add("best", "double")
         .add("mass", "double")
         .add("ahead", "bigint")
         .add("top", T.ArrayType(top))
     )
-    return left.groupBy("_bq", "_bc").cogroup(right.groupBy("_bq", "_bc")).applyInArrow(_scanner(k, digits), schema)
+    scan = _scanner(k, digits, to_arrow_type(id_type), to_arrow_type(query_type))
+    return left.groupBy("_bq", "_bc").cogroup(right.groupBy("_bq", "_bc")).applyInArrow(scan, schema)
 
 
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -185,10 +192,11 @@ def with_truth(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits:
 def retrieval_ranks(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rank of the right candidate of every query among the whole corpus, -1 where the corpus lacks it."""
     scanned = scan_blocks(with_truth(queries, corpus, truth, digits), corpus, 0, digits, block_rows)
-    known = truth.join(corpus.select(F.col("cand_id").alias("truth_id")), "truth_id", "left_semi").select("query_id")
-    ranks = scanned.groupBy("query_id").agg((F.sum("ahead") + 1).alias("rank"))
-    found = ranks.join(known, "query_id", "left_semi")
-    return queries.select("query_id").join(found, "query_id", "left").withColumn("rank", F.coalesce("rank", F.lit(-1).cast("bigint")))
+    return scanned.groupBy("query_id").agg(_rank(F.sum("ahead")).alias("rank"))
+
+
+def _rank(ahead: Column) -> Column:
+    return F.coalesce(ahead + 1, F.lit(-1).cast("bigint"))
 
 
 def retrieval_report(
@@ -198,26 +206,24 @@ def retrieval_report(
 
     ``queries`` also has ``text``, ``corpus`` also has ``text``; previews are cut at 200 and 150 characters.
     """
-    scanned = scan_blocks(with_truth(queries, corpus, truth, digits), corpus, k, digits, block_rows)
-    ranks = scanned.groupBy("query_id").agg((F.sum("ahead") + 1).alias("truth_rank"))
-    local = scanned.select("query_id", F.inline("top")).select("query_id", "cand_id", "score")
-    shown = topk_per_group(local, k)
-    texts = corpus.select("cand_id", F.substring("text", 1, 150).alias("passage_preview"))
-    asked = with_truth(queries, corpus, truth, digits).select(
-        "query_id", F.substring("text", 1, 200).alias("query_preview"), "truth_id", "truth_score"
-    )
+    asked = with_truth(queries, corpus, truth, digits)
+    scanned = scan_blocks(asked, corpus, k, digits, block_rows)
+    ranked = scanned.withColumn("truth_rank", _rank(F.sum("ahead").over(Window.partitionBy("query_id"))))
+    local = ranked.select("query_id", "truth_rank", F.inline("top")).drop("raw")
+    questions = asked.select("query_id", F.substring("text", 1, 200).alias("query_preview"), "truth_id", "truth_score")
+    passages = corpus.select("cand_id", F.substring("text", 1, 150).alias("passage_preview"))
     return (
-        shown.join(asked, "query_id")
-        .join(ranks, "query_id")
-        .join(texts, "cand_id", "left")
+        topk_per_group(local, k)
+        .join(questions, "query_id")
+        .join(passages, "cand_id", "left")
         .select(
             "query_id",
             "query_preview",
-            F.when(F.col("truth_score").isNull(), F.lit(-1)).otherwise(F.col("truth_rank")).cast("bigint").alias("truth_rank"),
+            "truth_rank",
             "truth_score",
             F.col("rank").cast("bigint").alias("position"),
             "cand_id",
-            F.col("score"),
+            "score",
             (F.col("cand_id") == F.col("truth_id")).alias("hit"),
             "passage_preview",
         )
