@@ -23,7 +23,7 @@ def assert_no_leakage(df: DataFrame, banned: tuple[str, ...] = LEAKING) -> DataF
 
 
 def split_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("split").agg(F.count("*").alias("rows"))
+    return df.groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
 def distinct_count(df: DataFrame, col: str, by: str = "split") -> DataFrame:
@@ -41,7 +41,7 @@ def value_share(df: DataFrame, col: str, top: int = 5, by: str = "split") -> Dat
 
 
 def status_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("status").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "status")
+    return df.groupBy("status").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "status")
 
 
 def progress(worklist: DataFrame, cache: DataFrame, on: str = "dest_cite") -> DataFrame:
@@ -81,5 +81,5 @@ def coverage(df: DataFrame, cols: list[str], by: str = "split") -> DataFrame:
 def split_overlap(df: DataFrame, key_cols: list[str]) -> DataFrame:
     """Contents found in more than one split, by digest, with the splits they are in."""
     digest = F.sha2(F.to_json(F.struct(*key_cols), {"ignoreNullFields": "false"}), 256)
-    found = df.select(digest.alias("content"), "split").groupBy("content").agg(F.collect_set("split").alias("_in"), F.count("*").alias("rows"))
-    return found.where(F.size("_in") > 1).select("content", F.array_join(F.array_sort("_in"), ",").alias("splits"), "rows")
+    found = df.select(digest.alias("content"), "split").groupBy("content").agg(F.collect_set("split").alias("_in"), F.count("*").alias("n_rows"))
+    return found.where(F.size("_in") > 1).select("content", F.array_join(F.array_sort("_in"), ",").alias("splits"), "n_rows")

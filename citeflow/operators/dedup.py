@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from citeflow.schemas import row_key
 
 
-def dedup_project(df: DataFrame, cols: list[str]) -> DataFrame:
+def dedup_project(df: DataFrame, cols: list[str], row_id: str | None = None) -> DataFrame:
     """Drop rows that repeat in **all** columns, then keep ``cols``; so the result may repeat on ``cols``.
 
     Columns that are not kept take part as one digest, so only ``cols`` and the digest are shuffled. Copies are
-    combined before the shuffle.
+    combined before the shuffle. ``row_id`` adds an identity that covers all columns, for sources without a key.
     """
     others = [c for c in df.columns if c not in cols]
     if not others:
-        return df.select(*cols).distinct()
-    return df.select(*cols, row_key(others).alias("_others")).distinct().drop("_others")
+        rows = df.select(*cols).distinct()
+        return rows.withColumn(row_id, row_key(cols)) if row_id else rows
+    rows = df.select(*cols, row_key(others).alias("_others")).distinct()
+    if row_id:
+        rows = rows.withColumn(row_id, row_key([*cols, "_others"]))
+    return rows.drop("_others")
 
 
 def distinct_keys(df: DataFrame, col: str, order_col: str | None = None) -> DataFrame:

@@ -154,7 +154,7 @@ def scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, digits: int | Non
         .add("query_id", query_type)
         .add("best", "double")
         .add("mass", "double")
-        .add("ahead", "bigint")
+        .add("ahead", "long")
         .add("top", T.ArrayType(top))
     )
     scan = _scanner(k, digits, to_arrow_type(id_type), to_arrow_type(query_type))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from citeflow.functions.text import strip_ws
 from citeflow.operators.labels import encode_labels
-from citeflow.schemas import CHAT, CONTEXTS, LABEL_MAP, PAIRS
+from citeflow.schemas import CHAT, LABEL_MAP, PAIRS
 
 # quotes inside quoted text are doubled, text may hold line breaks, and its outer blanks belong to it
 CSV_OPTIONS = {
@@ -32,9 +32,9 @@ def read_csv(spark: SparkSession, path: str | list[str], cols: list[str] | None
     return df.select(*cols) if cols else df
 
 
-def read_contexts(spark: SparkSession, path: str | list[str], schema: T.StructType | None = CONTEXTS, partitions: int | None = None) -> DataFrame:
-    """Contexts from (compressed) CSV. ``schema=None`` takes all columns of the file as text, for files with more
-    columns than the declared ones; ``partitions`` spreads a file that cannot be split."""
+def read_contexts(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, partitions: int | None = None) -> DataFrame:
+    """Contexts from (compressed) CSV: all columns of the file by name, since removing copies looks at all of them, or
+    exactly the columns of ``schema`` in file order. ``partitions`` spreads a file that cannot be split."""
     df = read_csv(spark, path, schema=schema)
     return df.repartition(partitions) if partitions else df
 
