@@ -63,7 +63,7 @@ def length_stats(df: DataFrame, col: str) -> DataFrame:
     lengths = df.select(word_count(F.col(col)).alias("_words")).groupBy("_words").agg(F.count("*").alias("_n"))
     return lengths.agg(
         (F.sum(F.col("_words") * F.col("_n")) / F.sum("_n")).alias("mean_words"),
-        F.percentile("_words", 0.5, "_n").alias("median_words"),
+        F.percentile("_words", 0.5, F.col("_n")).alias("median_words"),
     )
 
 

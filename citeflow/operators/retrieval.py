@@ -40,16 +40,16 @@ def _scanner(k: int, digits: int | None, id_type, query_type) -> Callable:
             return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
         def ids(column):
-            return column.combine_chunks().to_numpy(zero_copy_only=False)
+            return column.to_numpy()
 
         top_type = pa.struct([("cand_id", id_type), ("score", pa.float64()), ("raw", pa.float64())])
 
         def result(best, mass, ahead, top):
             """One row per query; without a right candidate ``ahead`` is null."""
-            known = pc.is_valid(queries["truth_score"]).combine_chunks().to_numpy(zero_copy_only=False)
+            known = ids(pc.is_valid(queries["truth_score"]))
             return pa.table(
                 {
-                    "query_id": pa.chunked_array(queries["query_id"], query_type),
+                    "query_id": queries["query_id"],
                     "best": pa.array(best, pa.float64()),
                     "mass": pa.array(mass, pa.float64()),
                     "ahead": pa.array(np.asarray(ahead, dtype=np.int64), pa.int64(), mask=~known),
@@ -70,8 +70,8 @@ def _scanner(k: int, digits: int | None, id_type, query_type) -> Callable:
         cand, right = ids(corpus["cand_id"]), matrix(corpus["vec"])
         left = matrix(queries["vec"])
         truth_score = ids(queries["truth_score"]).astype(np.float64)
-        truth_known = pc.is_valid(queries["truth_id"]).combine_chunks().to_numpy(zero_copy_only=False)
-        truth = ids(queries["truth_id"].combine_chunks().fill_null(corpus["cand_id"][0])).astype(cand.dtype)
+        truth_known = ids(pc.is_valid(queries["truth_id"]))
+        truth = ids(queries["truth_id"].fill_null(corpus["cand_id"][0])).astype(cand.dtype)
         before, upto = np.searchsorted(cand, truth, "left"), np.searchsorted(cand, truth, "right")
         columns = np.arange(m)
         kept = min(k, m)
