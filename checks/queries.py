@@ -247,7 +247,7 @@ def unknown_labels(spark, sf):
 def check_labels(spark, sf):
     """The map has as many classes as there are passages, and reads back from index to id."""
     rows = t.contexts_wide(spark, sf)
-    made = materialise(labels.build_label_map(rows))
+    made = labels.build_label_map(rows)
     labels.check_label_count(made, rows.select("passage_id").distinct().count())
     predicted = labels.encode_labels(rows, made).select("row_id", "label_idx")
     return _bigint(labels.decode_labels(predicted, made), "label_idx")
@@ -511,7 +511,7 @@ def nb_softmax(spark, sf):
 def nb_accuracy(spark, sf):
     scores, held = _bayes(spark, sf)
     truth = held.select(F.col("row_id").alias("query_id"), F.col("dest_court").alias("truth_id"))
-    rounded = scores.withColumn("score", F.round("score", 3))
+    rounded = materialise(scores.withColumn("score", F.round("score", 3)))
     return _rounded(evaluation.evaluate_scores(rounded, truth, (1, 2)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citeflow.functions.text import words
 from citeflow.operators.joins import join_spread
 from citeflow.operators.numbering import HOT_ROWS
+from citeflow.session import materialise
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,8 @@ def term_counts(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int | None = None, row_id: str = "row_id") -> BayesModel:
-    """Count words per class. The vocabulary is every word in at least ``df_min`` (and at most ``df_max``) texts."""
+    """Count words per class. The vocabulary is every word in at least ``df_min`` (and at most ``df_max``) texts; by
+    default no word is left out. The model is kept, since every scoring reads it."""
     labelled = df.select(row_id, F.col(label).alias("label"), F.col(text).alias("_text"))
     by_class = (
         term_counts(labelled, "_text", row_id, "label")
@@ -42,7 +44,7 @@ def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int |
     wanted = F.col("_docs") >= df_min
     if df_max is not None:
         wanted = wanted & (F.col("_docs") <= df_max)
-    terms = terms.where(wanted).select("word", "counts")
+    terms = materialise(terms.where(wanted).select("word", "counts"))
 
     vocabulary = terms.agg(F.count("*")).scalar()
     docs = labelled.groupBy("label").agg(F.count("*").alias("_docs"))
@@ -53,7 +55,7 @@ def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int |
         .withColumn("_size", F.coalesce("_words", F.lit(0)) + vocabulary)
         .select("label", F.ln(F.col("_docs") / all_docs).alias("prior"), (-F.ln("_size")).alias("base"))
     )
-    return BayesModel(terms, classes)
+    return BayesModel(terms, materialise(classes))
 
 
 def nb_score(model: BayesModel, df: DataFrame, text: str, row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from citeflow.operators.numbering import HOT_ROWS, count_groups, hot_groups, join_bounded
 
 
+def hot_keys(df: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with too many rows for one task and the slices to spread them over, or None."""
+    hot = hot_groups(count_groups(df, [on]), hot_rows)
+    return hot.select(on, "_slices") if hot is not None else None
+
+
 def join_spread(
     left: DataFrame,
     right: DataFrame,
@@ -28,14 +34,17 @@ def join_spread(
     ``salt`` spreads the rows of a hot key, by default a hash of the whole row.
     """
     keys = left if null_safe else left.where(F.col(on).isNotNull())
-    hot = hot_groups(count_groups(keys, [on]), hot_rows)
+    return join_on_slices(left, right, on, how, hot_keys(keys, on, hot_rows), null_safe, salt)
+
+
+def join_on_slices(
+    left: DataFrame, right: DataFrame, on: str, how: str, hot: DataFrame | None, null_safe: bool = False, salt: Column | None = None
+) -> DataFrame:
+    """The join itself, for hot keys that are known already."""
     other = f"_r_{on}"
+    match = F.col(on).eqNullSafe(F.col(other)) if null_safe else F.col(on) == F.col(other)
     if hot is None:
-        lookup = right.withColumnRenamed(on, other)
-        match = F.col(on).eqNullSafe(F.col(other)) if null_safe else F.col(on) == F.col(other)
-        return left.join(lookup, match, how).drop(other)
-
-    hot = hot.select(on, "_slices")
+        return left.join(right.withColumnRenamed(on, other), match, how).drop(other)
     salt = salt if salt is not None else F.xxhash64(*left.columns)
     spread = join_bounded(left, hot, [on]).withColumn(
         "_slice", F.coalesce(F.pmod(salt, F.col("_slices")).cast("int"), F.lit(0))
@@ -46,7 +55,5 @@ def join_spread(
         .drop("_slices")
         .withColumnRenamed(on, other)
     )
-    match = F.col(on).eqNullSafe(F.col(other)) if null_safe else F.col(on) == F.col(other)
     joined = spread.drop("_slices").join(repeated, match & (F.col("_slice") == F.col("_rslice")), how)
     return joined.drop(other, "_slice", "_rslice")
-

@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 
 from citeflow.operators.joins import join_spread
 from citeflow.operators.numbering import HOT_ROWS, number_by_value
+from citeflow.session import materialise
 
 # fixed value: spelling of a label token
 TOKEN_LAYOUT = "<special_token_{n}>"
 
 
-def build_label_map(df: DataFrame, id_col: str = "passage_id") -> DataFrame:
+def build_label_map(df: DataFrame, id_col: str = "passage_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per passage: ``token`` numbers the ids in byte order from 1, ``label_idx`` in the order of the number
-    after their last underscore from 0 (equal numbers in byte order)."""
+    after their last underscore from 0 (equal numbers in byte order).
+
+    The map is made once and kept: training, encoding and evaluation must all read the same one.
+    """
     ids = df.select(F.col(id_col).cast("string").alias("passage_id")).where(F.col(id_col).isNotNull()).distinct()
-    suffix = F.element_at(F.split("passage_id", "_"), -1).cast("bigint")
-    numbered = number_by_value(ids, F.col("passage_id"), "_token")
-    indexed = number_by_value(numbered, F.struct(suffix.alias("n"), F.col("passage_id").alias("id")), "_idx")
+    numbered = number_by_value(materialise(ids), F.col("passage_id"), "_token", hot_rows)
     before, after = TOKEN_LAYOUT.split("{n}")
-    return indexed.select(
-        "passage_id",
-        F.concat(F.lit(before), F.col("_token").cast("string"), F.lit(after)).alias("token"),
-        (F.col("_idx") - 1).cast("int").alias("label_idx"),
-    )
+    token = F.concat(F.lit(before), F.col("_token").cast("string"), F.lit(after))
+    return with_label_index(materialise(numbered.select("passage_id", token.alias("token"))), hot_rows)
+
+
+def with_label_index(tokens: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the zero-based class index to the rows ``(passage_id, token)``."""
+    suffix = F.element_at(F.split("passage_id", "_"), -1).cast("bigint")
+    order = F.struct(suffix.alias("n"), F.col("passage_id").alias("id"))
+    indexed = number_by_value(tokens, order, "_idx", hot_rows)
+    return materialise(indexed.select("passage_id", "token", (F.col("_idx") - 1).cast("int").alias("label_idx")))
 
 
 def unknown_labels(df: DataFrame, label_map: DataFrame) -> DataFrame:

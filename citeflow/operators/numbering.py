@@ -101,16 +101,20 @@ def number_all(
     rows = df.count()
     slices = max(1, -(-rows // max(hot_rows, -(-rows // MAX_SLICES))))
     keyed = df.withColumn("_hash", seeded_hash(seed, row_id))
-    return _number_slices(keyed.withColumn("_slice", hash_slot(F.col("_hash"), F.lit(slices))), ["_hash", row_id], number).drop("_hash")
+    sliced = keyed.withColumn("_slice", hash_slot(F.col("_hash"), F.lit(slices)))
+    return _number_slices(sliced, ["_hash", row_id], number, one=slices == 1).drop("_hash")
 
 
-def number_by_value(df: DataFrame, key: Column, number: str = "number") -> DataFrame:
-    """Number all rows 1.. in the order of ``key``, which must be unique, in parallel over ranges of the key.
+def number_by_value(df: DataFrame, key: Column, number: str = "number", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Number all rows 1.. in the order of ``key``, which must be unique.
 
-    The range borders are the ``SPLITTERS`` keys with the smallest hash: a random sample, yet the same on every run
-    and every retry, so the two passes over the data agree.
+    Up to ``hot_rows`` rows are sorted in one task. More are numbered in parallel over ranges of the key, whose borders
+    are the ``SPLITTERS`` keys with the smallest hash: a random sample, yet the same on every run and every retry, so
+    the two passes over the data agree. Give it a stored frame, it is read more than once.
     """
     keyed = df.withColumn("_key", key)
+    if df.count() <= hot_rows:
+        return _number_slices(keyed.withColumn("_slice", F.lit(0)), ["_key"], number, one=True).drop("_key")
     sample = keyed.select("_key").orderBy(F.md5(F.to_json(F.struct("_key"))), "_key").limit(SPLITTERS)
     borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_borders")).scalar()
     ranged = (
@@ -121,9 +125,11 @@ def number_by_value(df: DataFrame, key: Column, number: str = "number") -> DataF
     return _number_slices(ranged, ["_key"], number).drop("_key")
 
 
-def _number_slices(sliced: DataFrame, order: list[str], number: str) -> DataFrame:
+def _number_slices(sliced: DataFrame, order: list[str], number: str, one: bool = False) -> DataFrame:
+    piece = Window.partitionBy("_slice").orderBy(*order)
+    place = F.row_number().over(piece).cast("bigint")
+    if one:
+        return sliced.withColumn(number, place).drop("_slice")
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_m"))
     placed = join_bounded(sliced, _rows_before(sizes, []), ["_slice"])
-    piece = Window.partitionBy("_slice").orderBy(*order)
-    numbered = placed.withColumn(number, F.row_number().over(piece).cast("bigint") + F.coalesce("_before", F.lit(0)))
-    return numbered.drop("_slice", "_before")
+    return placed.withColumn(number, place + F.coalesce("_before", F.lit(0))).drop("_slice", "_before")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeflow.operators.joins import join_spread
+from citeflow.operators.joins import hot_keys, join_on_slices, join_spread
 from citeflow.operators.numbering import HOT_ROWS
 
 
@@ -28,9 +28,10 @@ def rank_of_truth(scores: DataFrame, truth: DataFrame, hot_rows: int = HOT_ROWS)
 
     ``truth`` has one row ``(query_id, truth_id)`` per query. Counting the better candidates needs no sort.
     """
-    labelled = join_spread(scores, truth, "query_id", "inner", hot_rows=hot_rows)
+    hot = hot_keys(scores, "query_id", hot_rows)
+    labelled = join_on_slices(scores, truth, "query_id", "inner", hot)
     right = labelled.where(F.col("cand_id") == F.col("truth_id")).select("query_id", F.col("score").alias("_right"))
-    compared = join_spread(labelled, right, "query_id", "inner", hot_rows=hot_rows)
+    compared = join_on_slices(labelled, right, "query_id", "inner", hot)
     ahead = (F.col("score") > F.col("_right")) | ((F.col("score") == F.col("_right")) & (F.col("cand_id") < F.col("truth_id")))
     ranks = compared.groupBy("query_id").agg((F.count_if(ahead) + 1).alias("rank"))
     return truth.select("query_id").join(ranks, "query_id", "left").withColumn("rank", F.coalesce("rank", F.lit(-1).cast("bigint")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.functions.hashing import seeded_hash
@@ -10,6 +10,11 @@ from citeflow.operators.numbering import HOT_ROWS, SMALL_LIMIT, count_groups, nu
 from citeflow.session import materialise
 
 
+def group_quota(size: Column, fraction: float, min_per_group: int = 0) -> Column:
+    """Rows a group of the given size keeps: its share rounded half to even."""
+    return F.greatest(F.bround(F.lit(float(fraction)) * size, 0), F.lit(float(min_per_group))).cast("bigint")
+
+
 def sample_per_group(
     df: DataFrame,
     group: str,
@@ -18,15 +23,15 @@ def sample_per_group(
     min_per_group: int = 0,
     row_id: str = "row_id",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Keep ``fraction`` of each group, rounded half to even; rows without a group are dropped.
 
-    Small groups may vanish; ``min_per_group=1`` keeps every group.
+    Small groups may vanish; ``min_per_group=1`` keeps every group. ``counts`` (``_n`` per group) saves counting again.
     """
-    numbered = number_in_group(
-        df.where(F.col(group).isNotNull()), [group], seed, row_id, "_number", "_size", hot_rows
-    )
-    quota = F.greatest(F.bround(F.lit(float(fraction)) * F.col("_size"), 0), F.lit(float(min_per_group)))
+    grouped = df.where(F.col(group).isNotNull())
+    numbered = number_in_group(grouped, [group], seed, row_id, "_number", "_size", hot_rows, counts)
+    quota = group_quota(F.col("_size"), fraction, min_per_group)
     return numbered.where(F.col("_number") <= quota).drop("_number", "_size")
 
 
@@ -41,7 +46,7 @@ def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
     """The first ``n`` rows by a unique order column."""
     if n <= SMALL_LIMIT:
         return df.orderBy(order_col).limit(n)
-    return number_by_value(df, F.col(order_col), "_number").where(F.col("_number") <= n).drop("_number")
+    return number_by_value(materialise(df), F.col(order_col), "_number").where(F.col("_number") <= n).drop("_number")
 
 
 def shuffle_rows(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:

@@ -116,14 +116,16 @@ def stratified_split(
     strict: bool = True,
     row_id: str = "row_id",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: train, valid or test, in equal shares of every stratum.
 
     ``strict`` raises when a stratum is too small; otherwise strata of one row go to train whole. The stratum sizes
     are counted and kept in the checkpoint folder, and a few one-row summaries of them are read before the rows
-    themselves are touched.
+    themselves are touched. ``counts`` (``_n`` per stratum) saves counting again.
     """
-    counted = materialise(count_groups(df, [stratum]).withColumnRenamed(stratum, "_stratum"))
+    counted = counts if counts is not None else count_groups(df, [stratum])
+    counted = materialise(counted.withColumnRenamed(stratum, "_stratum"))
     strata = counted if strict else counted.where(F.col("_n") >= 2)
 
     whole = int(strata.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])

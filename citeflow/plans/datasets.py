@@ -16,15 +16,20 @@ from citeflow.operators.dedup import dedup_project, union_all
 from citeflow.operators.enrichment import enrich
 from citeflow.operators.joins import join_spread
 from citeflow.operators.labels import build_label_map, encode_labels
-from citeflow.operators.numbering import HOT_ROWS
-from citeflow.operators.sampling import sample_per_group
+from citeflow.operators.numbering import HOT_ROWS, count_groups
+from citeflow.operators.sampling import group_quota, sample_per_group
 from citeflow.operators.splitting import stratified_split
 from citeflow.params import DatasetParams
+from citeflow.session import materialise
 
 
 @dataclass(frozen=True)
 class Rows:
-    """How to treat the rows of a build: their key, if the source has one, and what counts as a hot group."""
+    """How to treat the rows of a build.
+
+    ``key`` names a column that is unique per row, if the source has one; then no two rows are equal and looking for
+    copies is left out. ``strict`` fails on passages too rare to split. ``hot_rows`` is the largest group one task takes.
+    """
 
     key: str | None = None
     strict: bool = True
@@ -32,22 +37,27 @@ class Rows:
 
 
 def prepare(contexts: DataFrame, cols: list[str], params: DatasetParams, rows: Rows = Rows(), metadata: DataFrame | None = None) -> DataFrame:
-    """Distinct, optionally enriched, sampled per passage and split: ``row_id, cols.., split``.
+    """Distinct, sampled per passage, split and optionally enriched: ``row_id, cols.., split``.
 
-    Copies go before the metadata join: with one metadata row per key the result is the same, and fewer rows are joined.
+    Sample and split use one numbering of each passage's rows, so the rows are shuffled once for both. Metadata has
+    one row per key here and only adds columns, so it is joined last, to the sampled rows only.
     """
     wanted = [*cols, "dest_cite"] if metadata is not None and "dest_cite" not in cols else list(cols)
     if rows.key:
-        unique = dedup_project(contexts, [rows.key, *wanted]).withColumnRenamed(rows.key, "row_id")
+        unique = contexts.select(F.col(rows.key).alias("row_id"), *wanted)
     else:
-        unique = dedup_project(contexts, wanted, row_id="row_id")
-    # sampled and split before the join, which only adds columns
-    sampled = sample_per_group(unique, "passage_id", params.fraction, params.seed, hot_rows=rows.hot_rows)
-    split = stratified_split(sampled, "passage_id", params.ratios, params.seed, rows.strict, hot_rows=rows.hot_rows)
-    if metadata is None:
-        return split
-    joined = enrich(split, metadata, "dest_cite", hot_rows=rows.hot_rows)
-    return joined if "dest_cite" in cols else joined.drop("dest_cite")
+        unique = materialise(dedup_project(contexts, wanted, row_id="row_id"))
+    unique = unique.where(F.col("passage_id").isNotNull())
+    counts = materialise(count_groups(unique, ["passage_id"]))
+    kept = counts.select("passage_id", group_quota(F.col("_n"), params.fraction).alias("_n")).where(F.col("_n") > 0)
+    sampled = sample_per_group(unique, "passage_id", params.fraction, params.seed, hot_rows=rows.hot_rows, counts=counts)
+    split = stratified_split(
+        sampled, "passage_id", params.ratios, params.seed, rows.strict, hot_rows=rows.hot_rows, counts=kept
+    )
+    if metadata is not None:
+        split = enrich(split, metadata, "dest_cite", hot_rows=rows.hot_rows)
+        split = split if "dest_cite" in cols else split.drop("dest_cite")
+    return split
 
 
 def judges_of(df: DataFrame, col: str = "judge_names") -> Column:
@@ -135,5 +145,5 @@ def citation_worklist(contexts: DataFrame, params: DatasetParams, rows: Rows = R
 def build_chat(contexts: DataFrame, params: DatasetParams, metadata: list[DataFrame] | None = None, rows: Rows = Rows()) -> DataFrame:
     """The chat data from raw contexts, with judges from the metadata files when ``params.enriched``."""
     meta = union_all(*metadata) if params.enriched and metadata else None
-    split = prepare(contexts, ["passage_id", "destination_context"], params, rows, meta)
+    split = materialise(prepare(contexts, ["passage_id", "destination_context"], params, rows, meta))
     return chat_dataset(split, train_label_map(split), params.enriched, rows.hot_rows)

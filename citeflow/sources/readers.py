@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeflow.functions.text import strip_ws
-from citeflow.operators.labels import encode_labels
+from citeflow.operators.labels import encode_labels, with_label_index
 from citeflow.schemas import CHAT, LABEL_MAP, PAIRS
+from citeflow.session import materialise
 
 # quotes inside quoted text are doubled, text may hold line breaks, and its outer blanks belong to it
 CSV_OPTIONS = {
@@ -66,12 +67,7 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """The label map as this package keeps it (Parquet), or imported from its JSON form (id to token)."""
     if not path.endswith(".json"):
         return spark.read.schema(LABEL_MAP).parquet(path)
-    from citeflow.operators.numbering import number_by_value
-
-    pairs = _read_map(spark, path, "passage_id", "token")
-    suffix = F.element_at(F.split("passage_id", "_"), -1).cast("bigint")
-    indexed = number_by_value(pairs, F.struct(suffix.alias("n"), F.col("passage_id").alias("id")), "_idx")
-    return indexed.select("passage_id", "token", (F.col("_idx") - 1).cast("int").alias("label_idx"))
+    return with_label_index(materialise(_read_map(spark, path, "passage_id", "token")))
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
