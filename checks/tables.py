@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeflow.sources.readers import spread_few_files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # long texts are worth moving when one task would otherwise do all their work
+    return spread_few_files(rows) if name in ("documents", "conversations") else rows
 
 
 def tagged(prefix: str, c: Column) -> Column:

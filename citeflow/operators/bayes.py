@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.functions.text import words
@@ -25,20 +25,33 @@ class BayesModel:
     classes: DataFrame
 
 
-def term_counts(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """``tf`` per key and word, combined before the shuffle."""
-    return df.select(*keys, F.explode(words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+def term_counts(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``tf`` per text and word. The texts are placed by their key, so their words are counted where they are."""
+    placed = df.select(key, text).repartition(key)
+    return _each_word(placed, words(F.col(text)), key).groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
-def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int | None = None, row_id: str = "row_id") -> BayesModel:
+def _each_word(df: DataFrame, found: Column, *keys: str) -> DataFrame:
+    """A row per word. The outer form keeps the optimizer from splitting every text twice, once to look for empty ones."""
+    return df.select(*keys, F.explode_outer(found).alias("word")).where(F.col("word").isNotNull())
+
+
+def class_term_counts(df: DataFrame, label: str, text: str) -> DataFrame:
+    """Per class and word: ``n`` occurrences and the number of texts ``_docs``; combined before the one shuffle."""
+    found = words(F.col(text))
+    marked = F.array(
+        F.struct(found.alias("words"), F.lit(1).alias("n"), F.lit(0).alias("d")),
+        F.struct(F.array_distinct(found).alias("words"), F.lit(0).alias("n"), F.lit(1).alias("d")),
+    )
+    listed = df.select(F.col(label).alias("label"), F.inline_outer(marked))
+    each = _each_word(listed, F.col("words"), "label", "n", "d")
+    return each.groupBy("label", "word").agg(F.sum("n").alias("n"), F.sum("d").alias("_docs"))
+
+
+def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int | None = None) -> BayesModel:
     """Count words per class. The vocabulary is every word in at least ``df_min`` (and at most ``df_max``) texts; by
     default no word is left out. The model is kept, since every scoring reads it."""
-    labelled = df.select(row_id, F.col(label).alias("label"), F.col(text).alias("_text"))
-    by_class = (
-        term_counts(labelled, "_text", row_id, "label")
-        .groupBy("label", "word")
-        .agg(F.sum("tf").alias("n"), F.count("*").alias("_docs"))
-    )
+    by_class = class_term_counts(df, label, text)
     # a word has at most one row per class here, so the list is as short as the label space
     terms = by_class.groupBy("word").agg(F.collect_list(F.struct("label", "n")).alias("counts"), F.sum("_docs").alias("_docs"))
     wanted = F.col("_docs") >= df_min
@@ -47,8 +60,8 @@ def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int |
     terms = materialise(terms.where(wanted).select("word", "counts"))
 
     vocabulary = terms.agg(F.count("*")).scalar()
-    docs = labelled.groupBy("label").agg(F.count("*").alias("_docs"))
-    all_docs = labelled.agg(F.count("*")).scalar()
+    docs = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("_docs"))
+    all_docs = df.agg(F.count("*")).scalar()
     seen = terms.select(F.inline("counts")).groupBy("label").agg(F.sum("n").alias("_words"))
     classes = (
         docs.join(seen, "label", "left")

@@ -26,6 +26,8 @@ def embed(df: DataFrame, text_col: str, load: Callable[[], Callable], dim: int,
             rows = np.concatenate(parts).astype("float32") if parts else np.zeros((0, dim), "float32")
             yield pd.Series(list(rows))
 
+    # a deterministic function would be run a second time for filters the optimizer derives from its result
+    encode = encode.asNondeterministic()
     return df.withColumn(out, encode(F.coalesce(F.col(text_col), F.lit(""))))
 
 

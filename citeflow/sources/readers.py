@@ -25,6 +25,16 @@ CSV_OPTIONS = {
 }
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Deal the rows out evenly when a table has fewer files than the session has cores.
+
+    A small file, or one that cannot be split, is read by one task, which would then also do all the work on its rows.
+    With enough files nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_csv(spark: SparkSession, path: str | list[str], cols: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
     """CSV by header names; the codec follows the file name. Without a schema every column is text."""
     reader = spark.read.options(**CSV_OPTIONS)
@@ -35,9 +45,9 @@ def read_csv(spark: SparkSession, path: str | list[str], cols: list[str] | None
 
 def read_contexts(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, partitions: int | None = None) -> DataFrame:
     """Contexts from (compressed) CSV: all columns of the file by name, since removing copies looks at all of them, or
-    exactly the columns of ``schema`` in file order. ``partitions`` spreads a file that cannot be split."""
+    exactly the columns of ``schema`` in file order. ``partitions`` spreads files that cannot be split."""
     df = read_csv(spark, path, schema=schema)
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions else spread_few_files(df)
 
 
 def read_metadata(spark: SparkSession, paths: list[str], cols: tuple[str, ...] = ("dest_cite", "judge_names")) -> DataFrame:
