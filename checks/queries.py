@@ -295,7 +295,7 @@ def enrich_fanout(spark, sf):
 
 @query
 def coverage(spark, sf):
-    joined = enrichment.enrich(_split(spark, sf), _meta(spark, sf))
+    joined = enrichment.enrich(materialise(_split(spark, sf)), _meta(spark, sf))
     return _rounded(audit.coverage(joined.withColumn("judge_names", parse_name_list(F.col("judge_names"))), ["dest_cite", "judge_names"]))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeflow.functions.names import field_or_name, first_nonempty, json_or, match_count, split_judges
 from citeflow.functions.text import strip_ws
 from citeflow.operators.dedup import distinct_keys, remaining, union_all
-from citeflow.operators.joins import join_spread
+from citeflow.operators.joins import hot_keys, join_on_slices
 from citeflow.operators.numbering import HOT_ROWS
 from citeflow.schemas import METADATA, conform, row_key
 
@@ -33,11 +33,13 @@ def enrich(
     null_safe: bool = False,
     on_dup: str = "first",
     hot_rows: int = HOT_ROWS,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left join with the metadata; every row of ``left`` stays.
 
     A key with several metadata rows gives one of them (``first``), all of them (``fanout``) or fails (``error``).
-    ``null_safe`` lets missing keys match missing keys.
+    ``null_safe`` lets missing keys match missing keys. ``keys_from`` is a cheaper frame to find hot keys in, one that
+    has all rows of ``left`` and perhaps more.
     """
     if on_dup == "error":
         twice = meta.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).limit(5).collect()
@@ -47,7 +49,9 @@ def enrich(
         meta = one_per_key(meta, on)
     elif on_dup != "fanout":
         raise ValueError("on_dup must be 'first', 'fanout' or 'error'")
-    return join_spread(left, meta, on, "left", null_safe, hot_rows)
+    keys = left if keys_from is None else keys_from
+    hot = hot_keys(keys if null_safe else keys.where(F.col(on).isNotNull()), on, hot_rows)
+    return join_on_slices(left, meta, on, "left", hot, null_safe)
 
 
 def _first_cluster(lookup: Column) -> Column:

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from citeflow.functions.hashing import hash_slot, seeded_hash
 from citeflow.session import materialise
 
-HOT_ROWS = 1_000_000
-MAX_SLICES = 4096
+HOT_ROWS = 250_000
+MAX_SLICES = 65_536
 SPLITTERS = 255
 SMALL_LIMIT = 10_000
 

@@ -55,7 +55,7 @@ def prepare(contexts: DataFrame, cols: list[str], params: DatasetParams, rows: R
         sampled, "passage_id", params.ratios, params.seed, rows.strict, hot_rows=rows.hot_rows, counts=kept
     )
     if metadata is not None:
-        split = enrich(split, metadata, "dest_cite", hot_rows=rows.hot_rows)
+        split = enrich(split, metadata, "dest_cite", hot_rows=rows.hot_rows, keys_from=unique)
         split = split if "dest_cite" in cols else split.drop("dest_cite")
     return split
 

@@ -21,18 +21,17 @@ CSV_OPTIONS = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "lineSep": "\n",
 }
 
 
 def spread_few_files(df: DataFrame) -> DataFrame:
-    """Deal the rows out evenly when a table has fewer files than the session has cores.
+    """Deal the rows out evenly when a table is read by fewer tasks than the session has cores.
 
     A small file, or one that cannot be split, is read by one task, which would then also do all the work on its rows.
-    With enough files nothing is moved.
+    A large table is read by more tasks than that and nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_csv(spark: SparkSession, path: str | list[str], cols: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     writer = _writer(df, mode)
     if fmt == "csv":
         options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
-        writer.options(**options, emptyValue='""', nullValue="", quoteAll="false").csv(path)
+        writer.options(**options, lineSep="\n", emptyValue='""', nullValue="", quoteAll="false").csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:

@@ -12,7 +12,7 @@ from citeflow.params import DatasetParams
 from citeflow.schemas import METADATA
 from citeflow.sources import readers, writers
 
-TEXTS = ["a,b", 'say ""no""', "two\nlines", "ends with \\", "  blanks  ", "", None, 'q"', "tab\t"]
+TEXTS = ["cr\r\nlf", "a,b", 'say ""no""', "two\nlines", "ends with \\", "  blanks  ", "", None, 'q"', "tab\t"]
 
 
 @pytest.fixture
