@@ -546,3 +546,33 @@ oracle(
           group by all) using (row_id, dim)""",
     "contexts",
 )
+
+EMBEDDED = {
+    **split_ctes("passage_refs", "passage_id", least=2),
+    "made": f"""
+        select row_id as pair_id, concat('Instruct: Given a legal context, {TASK}', chr(10), 'Query: ', {COLLAPSED}) as question, passage as answer
+        from split_rows join passages using (passage_id) where split <> 'train'""",
+    "answers": "select answer, min(pair_id) as cand_id from made group by answer",
+    "texts": "select 'q' as kind, pair_id as id, question as text from made union all select 'p', cand_id, answer from answers",
+    "places": r"""
+        select kind, id, cast(concat('0x', substring(md5(word), 1, 8)) as bigint) % 16 as dim, count(*) as n
+        from (select kind, id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as word from texts) group by all""",
+    "cells": """
+        select kind, id, dim, cast(coalesce(n, 0) / greatest(sqrt(sum(coalesce(n, 0) * coalesce(n, 0)) over (partition by kind, id)), 1e-12) as float) as x
+        from (select kind, id, unnest(range(16)) as dim from texts) left join places using (kind, id, dim)""",
+    "vectors": "select kind, id, list(x::double order by dim) as vec from cells group by kind, id",
+    "likeness": """
+        select q.id as query_id, p.id as cand_id, round(list_cosine_similarity(q.vec, p.vec), 6) as score
+        from vectors q join vectors p on q.kind = 'q' and p.kind = 'p'""",
+    "places_of": "select *, row_number() over (partition by query_id order by score desc, cand_id) as rank from likeness",
+    "embedding_ranks": """
+        select m.pair_id as query_id, r.rank from made m join answers using (answer)
+        join places_of r on r.query_id = m.pair_id and r.cand_id = answers.cand_id""",
+}
+oracle("embedding_retrieval", "select query_id, rank from embedding_ranks", "passages passage_refs", EMBEDDED)
+oracle(
+    "embedding_accuracy",
+    f"select {', '.join(_acc(k, f'top_{k}_accuracy') for k in (1, 5, 10))}, count(*) as evaluated from embedding_ranks",
+    "passages passage_refs",
+    EMBEDDED,
+)

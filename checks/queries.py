@@ -596,3 +596,17 @@ def embed_hash(spark, sf):
     made = embedding.embed(rows, "destination_context", embedding.hashing_encoder(EMBED_DIM), EMBED_DIM)
     cells = made.select("row_id", F.posexplode("vec").alias("dim", "value"))
     return cells.select("row_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query
+def embedding_retrieval(spark, sf):
+    """From contexts and passages to ranks: split, pair, instruct, encode, rank among the distinct passages."""
+    split = splitting.stratified_split(t.passage_refs(spark, sf), "passage_id", seed=SEED, strict=False)
+    pairs = datasets.pair_dataset(split, t.passages(spark, sf)).where("split <> 'train'")
+    asked = materialise(pairs.withColumn("question", e5_query(F.col("question"))).drop("split"))
+    return evaluation.ranks_of_pairs(asked, embedding.hashing_encoder(EMBED_DIM), EMBED_DIM)
+
+
+@query
+def embedding_accuracy(spark, sf):
+    return _rounded(metrics.topk_accuracy(embedding_retrieval(spark, sf)))

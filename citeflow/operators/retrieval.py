@@ -123,16 +123,20 @@ def _blocks(df: DataFrame, block_rows: int) -> int:
     return max(1, -(-df.count() // block_rows))
 
 
-def scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scan_blocks(
+    queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Per query and corpus block: ``top`` (best ``k``), ``ahead`` (candidates before the right one), ``best``, ``mass``.
 
     ``queries`` has ``query_id, vec`` and, where ranks are wanted, ``truth_id, truth_score``; ``corpus`` has
-    ``cand_id, vec``. Vectors stay as they are stored until a task widens and normalises them.
+    ``cand_id, vec``. Vectors stay as they are stored until a task widens and normalises them. ``counted`` is a frame
+    with as many rows as ``queries`` that is cheaper to count.
     """
     id_type = corpus.schema["cand_id"].dataType
     if "truth_id" not in queries.columns:
         queries = queries.withColumns({"truth_id": F.lit(None).cast(id_type), "truth_score": F.lit(None).cast("double")})
-    n_queries, n_corpus = _blocks(queries, block_rows), _blocks(corpus, block_rows)
+    n_queries = _blocks(queries if counted is None else counted, block_rows)
+    n_corpus = _blocks(corpus, block_rows)
     left = queries.select(
         "query_id",
         "vec",
@@ -191,7 +195,7 @@ def with_truth(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits:
 
 def retrieval_ranks(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rank of the right candidate of every query among the whole corpus, -1 where the corpus lacks it."""
-    scanned = scan_blocks(with_truth(queries, corpus, truth, digits), corpus, 0, digits, block_rows)
+    scanned = scan_blocks(with_truth(queries, corpus, truth, digits), corpus, 0, digits, block_rows, counted=queries)
     return scanned.groupBy("query_id").agg(_rank(F.sum("ahead")).alias("rank"))
 
 
@@ -207,7 +211,7 @@ def retrieval_report(
     ``queries`` also has ``text``, ``corpus`` also has ``text``; previews are cut at 200 and 150 characters.
     """
     asked = with_truth(queries, corpus, truth, digits)
-    scanned = scan_blocks(asked, corpus, k, digits, block_rows)
+    scanned = scan_blocks(asked, corpus, k, digits, block_rows, counted=queries)
     ranked = scanned.withColumn("truth_rank", _rank(F.sum("ahead").over(Window.partitionBy("query_id"))))
     local = ranked.select("query_id", "truth_rank", F.inline("top")).drop("raw")
     questions = asked.select("query_id", F.substring("text", 1, 200).alias("query_preview"), "truth_id", "truth_score")
