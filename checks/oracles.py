@@ -252,6 +252,17 @@ oracle(
     "contexts",
 )
 
+oracle(
+    "batch_repeats",
+    f"""select occurrence, batch, md5(destination_context) as question, count(*) as n_rows from (
+          select *, cast(floor((row_number() over (
+                   partition by occurrence order by md5(concat_ws('|', '{SEED}', row_id)), row_id) - 1) / 64) as bigint) as batch
+          from (select *, row_number() over (
+                  partition by passage_id order by md5(concat_ws('|', '{SEED}', row_id)), row_id) as occurrence from passage_refs))
+        group by all having count(*) > 1""",
+    "passage_refs",
+)
+
 # ---- labels ----------------------------------------------------------------------------------------------------
 
 oracle("label_map", "select * from labels_made", "contexts_wide", label_ctes("contexts_wide"))
@@ -355,6 +366,11 @@ oracle(
         from wanted where dest_cite not in (select dest_cite from cached where status <> 'timeout_error')""",
     "arriving outcomes parsed cached wanted",
 )
+oracle(
+    "latest_attempt",
+    "select * replace (case when status = 'timeout_error' then 'not_found' else status end as status) from parsed",
+    "outcomes parsed",
+)
 oracle(
     "conform_metadata",
     """select dest_cite, judges as judge_names, cast(null as varchar) as case_name, cast(null as bigint) as opinion_id,
@@ -413,6 +429,17 @@ oracle(
     "passages passage_refs",
     split_ctes("passage_refs", "passage_id", least=2),
 )
+oracle(
+    "pairs_text_with_source",
+    """select row_id as pair_id, split, concat('<DEST COURT>', dest_court, '</DEST COURT> <CONTEXT>', destination_context, '</CONTEXT>') as question,
+              concat('<SOURCE COURT>', source_court, '</SOURCE COURT> <SOURCE DATE>', source_date, '</SOURCE DATE> <PARAGRAPH>', passage, '</PARAGRAPH>') as answer
+       from split_rows join passages using (passage_id)""",
+    "contexts passages",
+    {
+        "referring": "select * replace (concat('p_', row_id % 50) as passage_id) from contexts",
+        **split_ctes("referring", "passage_id", least=2),
+    },
+)
 COLLAPSED = r"trim(regexp_replace(destination_context, '\s+', ' ', 'g'))"
 TASK = "retrieve the most relevant precedent passage."
 oracle(

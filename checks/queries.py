@@ -212,6 +212,14 @@ def batches(spark, sf):
     return sampling.assign_batches(rows, "passage_id", BATCH, SEED)
 
 
+@query
+def batch_repeats(spark, sf):
+    """Questions that a batch holds twice although its answers are distinct."""
+    rows = t.passage_refs(spark, sf)
+    made = sampling.assign_batches(rows, "passage_id", 64, SEED).withColumn("question", F.md5("destination_context"))
+    return audit.batch_repeats(made, "question")
+
+
 # ---- labels ----------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +358,14 @@ def enrich_incremental_retry(spark, sf):
     return _flat(enrichment.enrich_incremental(t.arriving(spark, sf), enrichment.landed(answered), cache, ("timeout_error",)))
 
 
+@query
+def latest_attempt(spark, sf):
+    """An append-only cache with a second attempt for every timeout."""
+    first = enrichment.parse_lookup(t.responses(spark, sf)).withColumn("batch_id", F.lit(0))
+    again = first.where("status = 'timeout_error'").withColumns({"status": F.lit("not_found"), "batch_id": F.lit(1)})
+    return _flat(enrichment.latest_attempt(dedup.union_all(first, again)).drop("batch_id"))
+
+
 @query
 def conform_metadata(spark, sf):
     """Columns a source lacks become null."""
@@ -415,6 +431,14 @@ def pairs_text(spark, sf):
     return datasets.pair_dataset(split, t.passages(spark, sf))
 
 
+@query
+def pairs_text_with_source(spark, sf):
+    """The older form of the pairs, with source court and date around the passage."""
+    rows = t.contexts(spark, sf).withColumn("passage_id", t.tagged("p_", F.col("row_id") % 50))
+    split = splitting.stratified_split(rows, "passage_id", seed=SEED, strict=False)
+    return datasets.pair_dataset(split, t.passages(spark, sf), "dest_court", source_fields=True)
+
+
 @query
 def e5_queries(spark, sf):
     c = F.col("destination_context")

@@ -71,8 +71,9 @@ def pair_data(spark: SparkSession, args) -> None:
     label_map = readers.read_label_map(spark, args.label_map)
     known = datasets.known_passages(readers.read_passages(spark, args.passages), label_map)
     cols = ["passage_id", "destination_context", *(["dest_court"] if params.enriched else [])]
+    cols += ["source_court", "source_date"] if args.source_fields else []
     split = datasets.prepare(_contexts(spark, args), cols, params, rows)
-    made = datasets.pair_dataset(split, known, "dest_court" if params.enriched else None)
+    made = datasets.pair_dataset(split, known, "dest_court" if params.enriched else None, source_fields=args.source_fields)
     if args.instruction:
         task = TASK_COURT if params.enriched else TASK_PLAIN
         question = F.col("question")
@@ -153,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--label-map", required=True)
             sub.add_argument("--instruction", choices=("query", "context"))
             sub.add_argument("--end-marker", default="")
+            sub.add_argument("--source-fields", action="store_true", help="source court and date in the answers (leaks)")
     add(collect_metadata, worklist=needed, responses=needed, out=needed, retry={"default": ""})
     add(evaluate_vectors, pairs=needed, out=needed)
     add(evaluate_scores, scores=needed, truth=needed, out=needed)

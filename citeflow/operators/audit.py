@@ -83,3 +83,9 @@ def split_overlap(df: DataFrame, key_cols: list[str]) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*key_cols), {"ignoreNullFields": "false"}), 256)
     found = df.select(digest.alias("content"), "split").groupBy("content").agg(F.collect_set("split").alias("_in"), F.count("*").alias("n_rows"))
     return found.where(F.size("_in") > 1).select("content", F.array_join(F.array_sort("_in"), ",").alias("splits"), "n_rows")
+
+
+def batch_repeats(batches: DataFrame, col: str) -> DataFrame:
+    """Values that occur more than once within one batch; for the column the batches were made by there are none."""
+    counts = batches.groupBy("occurrence", "batch", col).agg(F.count("*").alias("n_rows"))
+    return counts.where(F.col("n_rows") > 1)

@@ -31,7 +31,8 @@ def join_spread(
 ) -> DataFrame:
     """Join on one column; ``how`` is inner, left, left_semi or left_anti.
 
-    ``salt`` spreads the rows of a hot key, by default a hash of the whole row.
+    ``salt`` spreads the rows of a hot key, by default a hash of the whole row: the same on every retry, unlike a
+    random number. Copies of one row stay together, so remove copies first (as the plans do) or leave them to AQE.
     """
     keys = left if null_safe else left.where(F.col(on).isNotNull())
     return join_on_slices(left, right, on, how, hot_keys(keys, on, hot_rows), null_safe, salt)

@@ -27,9 +27,9 @@ def build_label_map(df: DataFrame, id_col: str = "passage_id", hot_rows: int = H
 
 
 def with_label_index(tokens: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the zero-based class index to the rows ``(passage_id, token)``."""
-    suffix = F.element_at(F.split("passage_id", "_"), -1).cast("bigint")
-    order = F.struct(suffix.alias("n"), F.col("passage_id").alias("id"))
+    """Add the zero-based class index to the rows ``(passage_id, token)``; ids that do not end in a number come last."""
+    suffix = F.element_at(F.split("passage_id", "_"), -1).try_cast("bigint")
+    order = F.struct(suffix.isNull().alias("none"), suffix.alias("n"), F.col("passage_id").alias("id"))
     indexed = number_by_value(tokens, order, "_idx", hot_rows)
     return materialise(indexed.select("passage_id", "token", (F.col("_idx") - 1).cast("int").alias("label_idx")))
 

@@ -109,12 +109,17 @@ def chat_dataset(split: DataFrame, label_map: DataFrame, enriched: bool = False,
 
 
 def classifier_dataset(split: DataFrame, fields: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Text and class per context: the bare context, or the given (tag, column) fields around it."""
+    """Text and class per context: the bare context, or the given (tag, column) fields around it. A list of names
+    becomes one text."""
     assert_no_leakage(split)
     context = F.col("destination_context")
     if not fields:
         return split.select("row_id", "split", "passage_id", context.alias("destination_context"))
-    text = tag_format([*[(tag, F.col(c)) for tag, c in fields], ("DEST CONTEXT", context)])
+
+    def shown(c: str) -> Column:
+        return F.array_join(c, ", ") if isinstance(split.schema[c].dataType, T.ArrayType) else F.col(c)
+
+    text = tag_format([*[(tag, shown(c)) for tag, c in fields], ("DEST CONTEXT", context)])
     return split.select("row_id", "split", "passage_id", text.alias("input_text"))
 
 
@@ -133,11 +138,21 @@ def missing_passages(attached: DataFrame) -> DataFrame:
     return attached.where(F.col("passage").isNull()).groupBy("passage_id").agg(F.count("*").alias("n_rows"))
 
 
-def pair_dataset(split: DataFrame, passages: DataFrame, court: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Question and answer per context; rows whose passage has no text are left out (see ``missing_passages``)."""
-    attached = attach_passage(assert_no_leakage(split), passages, hot_rows).where(F.col("passage").isNotNull())
+def pair_dataset(
+    split: DataFrame, passages: DataFrame, court: str | None = None, hot_rows: int = HOT_ROWS, source_fields: bool = False
+) -> DataFrame:
+    """Question and answer per context; rows whose passage has no text are left out (see ``missing_passages``).
+
+    ``source_fields`` puts source court and date around the answers. They tell where the right passage comes from, so
+    this is only for repeating older experiments; without it such columns are refused.
+    """
+    if not source_fields:
+        assert_no_leakage(split)
+    attached = attach_passage(split, passages, hot_rows).where(F.col("passage").isNotNull())
     question = query_text(F.col("destination_context"), F.col(court) if court else None)
-    return attached.select(F.col("row_id").alias("pair_id"), "split", question.alias("question"), paragraph_text(F.col("passage")).alias("answer"))
+    source = (F.col("source_court"), F.col("source_date")) if source_fields else ()
+    answer = paragraph_text(F.col("passage"), *source)
+    return attached.select(F.col("row_id").alias("pair_id"), "split", question.alias("question"), answer.alias("answer"))
 
 
 def citation_worklist(contexts: DataFrame, params: DatasetParams, rows: Rows = Rows()) -> DataFrame:

@@ -70,10 +70,10 @@ def test_distinct_keys(spark):
 
 
 def test_label_order(spark):
-    ids = spark.createDataFrame([("a_10",), ("a_2",), ("b_2",), ("c_1",), ("a_2",), (None,)], "passage_id string")
+    ids = spark.createDataFrame([("a_10",), ("a_2",), ("b_2",), ("c_1",), ("a_2",), ("x",), (None,)], "passage_id string")
     for hot_rows in (1, 100):
         got = labels.build_label_map(ids, hot_rows=hot_rows)
-        assert [r.passage_id for r in got.orderBy("label_idx").collect()] == ["c_1", "a_2", "b_2", "a_10"]
+        assert [r.passage_id for r in got.orderBy("label_idx").collect()] == ["c_1", "a_2", "b_2", "a_10", "x"]
         tokens = {r.passage_id: r.token for r in got.collect()}
         assert tokens == {k: f"<special_token_{i}>" for i, k in enumerate(sorted(tokens), 1)}
 
