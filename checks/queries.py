@@ -293,7 +293,8 @@ def _flat_judges(df):
 
 @query
 def enrich_first(spark, sf):
-    return _flat_judges(enrichment.enrich(t.contexts_wide(spark, sf), _meta(spark, sf)))
+    joined = enrichment.enrich(t.contexts_wide(spark, sf), enrichment.judge_metadata(_meta(spark, sf)), on_dup="fanout")
+    return joined.withColumn("judge_names", F.coalesce(F.array_join("judge_names", ", "), F.lit("")))
 
 
 @query
@@ -303,8 +304,9 @@ def enrich_fanout(spark, sf):
 
 @query
 def coverage(spark, sf):
-    joined = enrichment.enrich(materialise(_split(spark, sf)), _meta(spark, sf))
-    return _rounded(audit.coverage(joined.withColumn("judge_names", parse_name_list(F.col("judge_names"))), ["dest_cite", "judge_names"]))
+    rows = t.contexts_wide(spark, sf)
+    joined = enrichment.enrich(_split(spark, sf), enrichment.judge_metadata(_meta(spark, sf)), on_dup="fanout", keys_from=rows)
+    return _rounded(audit.coverage(joined, ["dest_cite", "judge_names"]))
 
 
 @query

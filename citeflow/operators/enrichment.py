@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citeflow.functions.names import field_or_name, first_nonempty, json_or, match_count, split_judges
+from citeflow.functions.names import field_or_name, first_nonempty, json_or, match_count, parse_name_list, split_judges
 from citeflow.functions.text import strip_ws
 from citeflow.operators.dedup import distinct_keys, remaining, union_all
 from citeflow.operators.joins import hot_keys, join_on_slices
@@ -26,6 +27,14 @@ def one_per_key(meta: DataFrame, on: str) -> DataFrame:
     return best.select(on, "_best.*")
 
 
+def judge_metadata(meta: DataFrame, on: str = "dest_cite") -> DataFrame:
+    """One metadata row per citation with its names as an array: parsed here once, not again for every context."""
+    single = one_per_key(meta, on)
+    if "judge_names" not in single.columns or isinstance(single.schema["judge_names"].dataType, T.ArrayType):
+        return single
+    return single.withColumn("judge_names", parse_name_list(F.col("judge_names")))
+
+
 def enrich(
     left: DataFrame,
     meta: DataFrame,

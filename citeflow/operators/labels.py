@@ -20,17 +20,19 @@ def build_label_map(df: DataFrame, id_col: str = "passage_id", hot_rows: int = H
     The map is made once and kept: training, encoding and evaluation must all read the same one.
     """
     ids = df.select(F.col(id_col).cast("string").alias("passage_id")).where(F.col(id_col).isNotNull()).distinct()
-    numbered = number_by_value(materialise(ids), F.col("passage_id"), "_token", hot_rows)
+    ids = materialise(ids)
+    rows = ids.count()
     before, after = TOKEN_LAYOUT.split("{n}")
     token = F.concat(F.lit(before), F.col("_token").cast("string"), F.lit(after))
-    return with_label_index(materialise(numbered.select("passage_id", token.alias("token"))), hot_rows)
+    tokens = number_by_value(ids, F.col("passage_id"), "_token", hot_rows, rows).select("passage_id", token.alias("token"))
+    return with_label_index(tokens if rows <= hot_rows else materialise(tokens), hot_rows, rows)
 
 
-def with_label_index(tokens: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_label_index(tokens: DataFrame, hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Add the zero-based class index to the rows ``(passage_id, token)``; ids that do not end in a number come last."""
     suffix = F.element_at(F.split("passage_id", "_"), -1).try_cast("bigint")
     order = F.struct(suffix.isNull().alias("none"), suffix.alias("n"), F.col("passage_id").alias("id"))
-    indexed = number_by_value(tokens, order, "_idx", hot_rows)
+    indexed = number_by_value(tokens, order, "_idx", hot_rows, rows)
     return materialise(indexed.select("passage_id", "token", (F.col("_idx") - 1).cast("int").alias("label_idx")))
 
 

@@ -105,15 +105,18 @@ def number_all(
     return _number_slices(sliced, ["_hash", row_id], number, one=slices == 1).drop("_hash")
 
 
-def number_by_value(df: DataFrame, key: Column, number: str = "number", hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_by_value(
+    df: DataFrame, key: Column, number: str = "number", hot_rows: int = HOT_ROWS, rows: int | None = None
+) -> DataFrame:
     """Number all rows 1.. in the order of ``key``, which must be unique.
 
     Up to ``hot_rows`` rows are sorted in one task. More are numbered in parallel over ranges of the key, whose borders
     are the ``SPLITTERS`` keys with the smallest hash: a random sample, yet the same on every run and every retry, so
-    the two passes over the data agree. Give it a stored frame, it is read more than once.
+    the two passes over the data agree. Give it a stored frame, it is read more than once. ``rows`` is the number of
+    rows, where it is known.
     """
     keyed = df.withColumn("_key", key)
-    if df.count() <= hot_rows:
+    if (df.count() if rows is None else rows) <= hot_rows:
         return _number_slices(keyed.withColumn("_slice", F.lit(0)), ["_key"], number, one=True).drop("_key")
     sample = keyed.select("_key").orderBy(F.md5(F.to_json(F.struct("_key"))), "_key").limit(SPLITTERS)
     borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_borders")).scalar()

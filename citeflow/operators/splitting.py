@@ -128,7 +128,8 @@ def stratified_split(
     counted = materialise(counted.withColumnRenamed(stratum, "_stratum"))
     strata = counted if strict else counted.where(F.col("_n") >= 2)
 
-    whole = int(strata.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
+    seen = strata.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("all"), F.coalesce(F.max("_n"), F.lit(0)).alias("largest")).first()
+    whole, largest = int(seen["all"]), max(1, seen["largest"])
     rest = ceil_share(whole, ratios.rest_fraction())
     test = ceil_share(rest, ratios.test_of_rest())
     first = (whole - rest, max(whole, 1))
@@ -150,7 +151,7 @@ def stratified_split(
         _check(strata, quotas(F.col("_n"), "_stratum"))
 
     sizes = counted.withColumnRenamed("_stratum", stratum)
-    numbered = number_in_group(df, [stratum], seed, row_id, "_number", "_size", hot_rows, sizes)
+    numbered = number_in_group(df, [stratum], seed, row_id, "_number", "_size", hot_rows, sizes, largest)
     numbered = numbered.withColumn("_quota", quotas(F.col("_size"), stratum))
     split = (
         F.when((F.col("_size") < 2) | (F.col("_number") <= F.col("_quota.train")), "train")

@@ -13,7 +13,7 @@ from citeflow.functions.names import parse_name_list
 from citeflow.functions.text import tag_format
 from citeflow.operators.audit import assert_no_leakage
 from citeflow.operators.dedup import dedup_project, union_all
-from citeflow.operators.enrichment import enrich, one_per_key
+from citeflow.operators.enrichment import enrich, judge_metadata
 from citeflow.operators.joins import join_spread
 from citeflow.operators.labels import build_label_map, encode_labels
 from citeflow.operators.numbering import HOT_ROWS, count_groups
@@ -55,10 +55,7 @@ def prepare(contexts: DataFrame, cols: list[str], params: DatasetParams, rows: R
         sampled, "passage_id", params.ratios, params.seed, rows.strict, hot_rows=rows.hot_rows, counts=kept
     )
     if metadata is not None:
-        single = one_per_key(metadata, "dest_cite")
-        if "judge_names" in single.columns:
-            # parsed once per citation, not once per context
-            single = single.withColumn("judge_names", judges_of(single))
+        single = judge_metadata(metadata)
         split = enrich(split, single, "dest_cite", on_dup="fanout", hot_rows=rows.hot_rows, keys_from=unique)
         split = split if "dest_cite" in cols else split.drop("dest_cite")
     return split
