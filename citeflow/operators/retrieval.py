@@ -1,7 +1,7 @@
 """Exact nearest neighbours by blocks: every query against the whole corpus, without a row per pair.
 
-Queries and corpus are cut into blocks of about ``BLOCK_ROWS`` rows by a hash of their id, each pair of blocks meets in
-one task, and the task multiplies two matrices. Out of it come, per query and corpus block, only the local best ``k``,
+Queries and corpus are cut into blocks of about ``BLOCK_BYTES`` by a hash of their id, each pair of blocks meets in one
+task, and the task multiplies two matrices. Out of it come, per query and corpus block, only the local best ``k``,
 the number of candidates ahead of the right one, and what a softmax needs. So a task's memory depends on the block size
 alone, the work is spread evenly whatever the data, and what is shuffled afterwards is ``queries * corpus blocks`` rows.
 """
@@ -21,7 +21,9 @@ from citeflow.operators.joins import join_spread
 from citeflow.operators.numbering import HOT_ROWS
 from citeflow.operators.ranking import topk_per_group
 
-BLOCK_ROWS = 4096
+# what one block of widened vectors may take in a task, and the fewest queries worth a block of their own
+BLOCK_BYTES = 32 * 1024 * 1024
+FEW_QUERIES = 256
 # similarities held at once inside a task
 TILE_CELLS = 4_000_000
 
@@ -119,24 +121,35 @@ def _block(key: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+def _block_counts(queries: DataFrame, corpus: DataFrame, block_rows: int | None) -> tuple[int, int]:
+    """Into how many blocks to cut the two sides.
+
+    Large blocks mean few copies of each vector; with little data the queries are cut further so that all cores work.
+    """
+    n_queries, n_corpus = queries.count(), corpus.count()
+    if block_rows:
+        return max(1, -(-n_queries // block_rows)), max(1, -(-n_corpus // block_rows))
+    first = corpus.select(F.size("vec").alias("dim")).where(F.col("dim") > 0).first()
+    rows = max(FEW_QUERIES, BLOCK_BYTES // (8 * (first["dim"] if first else 1)))
+    corpus_blocks = max(1, -(-n_corpus // rows))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    for_cores = min(-(-cores // corpus_blocks), -(-n_queries // FEW_QUERIES))
+    return max(1, -(-n_queries // rows), for_cores), corpus_blocks
 
 
 def scan_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS, counted: DataFrame | None = None
+    queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
     """Per query and corpus block: ``top`` (best ``k``), ``ahead`` (candidates before the right one), ``best``, ``mass``.
 
     ``queries`` has ``query_id, vec`` and, where ranks are wanted, ``truth_id, truth_score``; ``corpus`` has
     ``cand_id, vec``. Vectors stay as they are stored until a task widens and normalises them. ``counted`` is a frame
-    with as many rows as ``queries`` that is cheaper to count.
+    with as many rows as ``queries`` that is cheaper to count. ``block_rows`` overrides the block size.
     """
     id_type = corpus.schema["cand_id"].dataType
     if "truth_id" not in queries.columns:
         queries = queries.withColumns({"truth_id": F.lit(None).cast(id_type), "truth_score": F.lit(None).cast("double")})
-    n_queries = _blocks(queries if counted is None else counted, block_rows)
-    n_corpus = _blocks(corpus, block_rows)
+    n_queries, n_corpus = _block_counts(queries if counted is None else counted, corpus, block_rows)
     left = queries.select(
         "query_id",
         "vec",
@@ -165,13 +178,13 @@ def scan_blocks(
     return left.groupBy("_bq", "_bc").cogroup(right.groupBy("_bq", "_bc")).applyInArrow(scan, schema)
 
 
-def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest corpus rows of every query by cosine: ``query_id, cand_id, score, rank``."""
     local = scan_blocks(queries, corpus, k, digits, block_rows).select("query_id", F.inline("top"))
     return topk_per_group(local.select("query_id", "cand_id", "score"), k)
 
 
-def blocked_softmax(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def blocked_softmax(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = 6, block_rows: int | None = None) -> DataFrame:
     """The ``k`` best candidates with their softmax probability over **all** candidates."""
     query = Window.partitionBy("query_id")
     scanned = scan_blocks(queries, corpus, k, digits, block_rows).withColumn("_peak", F.max("best").over(query))
@@ -193,7 +206,7 @@ def with_truth(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits:
     return found.withColumn("truth_score", cosine if digits is None else F.round(cosine, digits)).drop("_right")
 
 
-def retrieval_ranks(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits: int | None = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def retrieval_ranks(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits: int | None = 6, block_rows: int | None = None) -> DataFrame:
     """Rank of the right candidate of every query among the whole corpus, -1 where the corpus lacks it."""
     scanned = scan_blocks(with_truth(queries, corpus, truth, digits), corpus, 0, digits, block_rows, counted=queries)
     return scanned.groupBy("query_id").agg(_rank(F.sum("ahead")).alias("rank"))
@@ -204,7 +217,7 @@ def _rank(ahead: Column) -> Column:
 
 
 def retrieval_report(
-    queries: DataFrame, corpus: DataFrame, truth: DataFrame, k: int = 3, digits: int | None = 6, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, corpus: DataFrame, truth: DataFrame, k: int = 3, digits: int | None = 6, block_rows: int | None = None
 ) -> DataFrame:
     """For a few queries: rank and similarity of the right passage, and the ``k`` nearest with a hit marker.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeflow.operators.embedding import embed
 from citeflow.operators.metrics import ACCURACY_KS, ir_metrics, topk_accuracy
 from citeflow.operators.ranking import distinct_answers, ground_truth, rank_of_truth
-from citeflow.operators.retrieval import BLOCK_ROWS, retrieval_ranks
+from citeflow.operators.retrieval import retrieval_ranks
 from citeflow.session import materialise
 
 
@@ -19,18 +19,18 @@ def evaluate_scores(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = A
     return topk_accuracy(rank_of_truth(scores, truth), ks)
 
 
-def evaluate_vectors(queries: DataFrame, corpus: DataFrame, truth: DataFrame, ks: tuple[int, ...] = ACCURACY_KS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def evaluate_vectors(queries: DataFrame, corpus: DataFrame, truth: DataFrame, ks: tuple[int, ...] = ACCURACY_KS, block_rows: int | None = None) -> DataFrame:
     """Top-k accuracy of nearest-neighbour retrieval."""
     return topk_accuracy(retrieval_ranks(queries, corpus, truth, block_rows=block_rows), ks)
 
 
-def evaluate_ir(queries: DataFrame, corpus: DataFrame, truth: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def evaluate_ir(queries: DataFrame, corpus: DataFrame, truth: DataFrame, block_rows: int | None = None) -> DataFrame:
     """The ranking metrics of nearest-neighbour retrieval."""
     return ir_metrics(retrieval_ranks(queries, corpus, truth, block_rows=block_rows))
 
 
 def ranks_of_pairs(
-    pairs: DataFrame, load: Callable[[], Callable], dim: int, relevance: str = "passage", block_rows: int = BLOCK_ROWS
+    pairs: DataFrame, load: Callable[[], Callable], dim: int, relevance: str = "passage", block_rows: int | None = None
 ) -> DataFrame:
     """Ranks of the right passages for question-answer texts ``(pair_id, question, answer)``, encoded by a model.
 

@@ -73,7 +73,7 @@ def similarities(q, c):
     return np.round(unit(q) @ unit(c).T, 6)
 
 
-@pytest.mark.parametrize("block_rows", [5, 20, 4096])
+@pytest.mark.parametrize("block_rows", [5, 20, None])
 @pytest.mark.parametrize("k", [1, 10, 100])
 def test_blocked_topk_is_exact(vectors, block_rows, k):
     q, c, queries, corpus = vectors
@@ -87,7 +87,7 @@ def test_blocked_topk_is_exact(vectors, block_rows, k):
         assert [s for _, s in got[i]] == pytest.approx([sims[i, j] for j in order])
 
 
-@pytest.mark.parametrize("block_rows", [5, 4096])
+@pytest.mark.parametrize("block_rows", [5, None])
 def test_ranks_are_exact(spark, vectors, block_rows):
     q, c, queries, corpus = vectors
     truths = {i: (i * 7) % 60 for i in range(len(q) - 1)}  # some not in the corpus, one query without any
@@ -100,6 +100,15 @@ def test_ranks_are_exact(spark, vectors, block_rows):
         assert got[i] == (order.index(t) + 1 if t is not None and t < len(c) else -1)
 
 
+def test_block_counts(vectors, monkeypatch):
+    _, _, queries, corpus = vectors
+    assert retrieval._block_counts(queries, corpus, 10) == (4, 6)
+    assert retrieval._block_counts(queries, corpus, None) == (1, 1)
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8 * 6 * 20)
+    assert retrieval._block_counts(queries, corpus, None) == (2, 3)
+
+
 def test_softmax_over_blocks(vectors):
     q, c, queries, corpus = vectors
     got = retrieval.blocked_softmax(queries, corpus, 100, block_rows=9)
