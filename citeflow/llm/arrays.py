@@ -77,29 +77,34 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         row = end
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit identities of the words of some texts, and where each text's words begin (one more entry at the end).
+class Words:
+    """The words of some texts: byte ``starts`` and ``stops``, and where each text's words begin (``begins``, one more
+    entry at the end).
 
-    Words are what lies between white space (``letters``: between everything but letters), A-Z as a-z. The identity is
-    a polynomial of the bytes, evaluated for all words at once from running sums.
+    Words are what lies between white space (``letters``: between everything but letters), A-Z as a-z. The identity of
+    a stretch of bytes is a polynomial of the bytes, evaluated for all stretches at once from running sums.
     """
-    values = (LETTER_VALUES if letters else WORD_VALUES)[data]
-    inside = values != 0
-    edge = np.empty(len(data) + 1, dtype=bool)
-    edge[:1], edge[-1:] = True, True
-    edge[1:-1] = ~inside[:-1]
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
-    edge[cuts] = True
-    starts = np.flatnonzero(inside & edge[:-1])
-    ends = np.empty(len(data), dtype=bool)
-    if len(data):
-        ends[:-1], ends[-1] = ~inside[1:], True
-        ends[cuts - 1] = True
-    stops = np.flatnonzero(inside & ends) + 1
-    forward, back = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values * forward[: len(data)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * back[starts]), np.searchsorted(starts, offsets)
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, letters: bool = False):
+        values = (LETTER_VALUES if letters else WORD_VALUES)[data]
+        inside = values != 0
+        cuts = offsets[(offsets > 0) & (offsets < len(data))]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[cuts] = inside[cuts]
+        last[cuts - 1] = inside[cuts - 1]
+        self.starts = np.flatnonzero(first)
+        self.stops = np.flatnonzero(last) + 1
+        self.begins = np.searchsorted(self.starts, offsets)
+        forward, self._back = _power_tables(len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values * forward[: len(data)], out=self._sums[1:])
+
+    def hashes(self, at_most: int | None = None) -> np.ndarray:
+        """64-bit identities of the words, or of their first bytes."""
+        stops = self.stops if at_most is None else np.minimum(self.stops, self.starts + at_most)
+        return mix((self._sums[stops] - self._sums[self.starts]) * self._back[self.starts])
 
 
 def shingle_hashes(words: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, packing, secrets, urlfilter
-from citeflow.llm.frames import read
+from citeflow.llm import bpe, langid, packing, quality, secrets, toxic, urlfilter
+from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -24,6 +24,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxic.train(docs.where(label_share("doc_id") != 0), labels)
+    scored = toxic.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (label_share("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     digests = bpe.round_trip_digests(F.col("text"), public_tokenizers.path(BYTE_BPE), bpe.PATTERN)
@@ -49,18 +62,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(label_share("doc_id") != 0))
+    held_out = (label_share("doc_id") == 0).alias("held_out")
+    return langid.add_language(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op3_best_fit_packing,
+        op4_toxicity_crf,
         op6_bpe_round_trip,
         op7_secret_scan,
+        op8_quality_rules,
         op9_url_filter,
+        op10_language_id,
     )
 }
 
