@@ -16,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.arrays import Words, text_slices
+from citeflow.llm.arrays import Words, shingle_hashes, text_slices
 from citeflow.llm.frames import by_batch, col, free_name
 
-#: Bound of the fitted sample: documents of each label, chosen by a hash. Half of it labels tokens and trains the chain,
-#: the other half fits the document score.
+#: Bound of the fitted sample: documents of each label, chosen by a hash. Three quarters label tokens and train the chain,
+#: the rest fits the document score.
 SAMPLE_PER_LABEL = 4000
 #: Bytes of a word's beginning that are features beside the whole word (0).
-BEGINNINGS = (0, 4, 5, 6)
-#: A feature marks toxic tokens when it is in this many toxic documents and its odds there are higher by this factor.
-LEAST_DOCUMENTS, LEAST_ODDS = 5, 12.0
-#: Clean documents may hold a marked feature in at most this part of the documents that have it.
-MOST_CLEAN = 0.1
+BEGINNINGS = (0, 4, 5, 6, 7, 8, 10)
+#: A feature marks toxic tokens when it is in this many toxic documents (copies of one text count once), its odds there
+#: are higher by this factor, and there are this many standard deviations more of them than the labels' shares give.
+LEAST_DOCUMENTS, LEAST_ODDS, LEAST_Z = 5, 4.0, 5.0
 CHAIN, STEPS, RATE = 128, 150, 0.15
 
 
@@ -128,22 +127,39 @@ def chain_marginals(emission: np.ndarray, begins: np.ndarray, chain: np.ndarray)
     return out
 
 
-def token_labels(found: np.ndarray, toxic: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def copies(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A number for each text that near copies share: the smallest of its 3-word shingles tells them apart."""
+    shingles, at = shingle_hashes(words, begins, 3)
+    smallest = np.zeros(len(begins) - 1, dtype=np.uint64)
+    some = at[1:] > at[:-1]
+    smallest[some] = shingles[at[:-1][some]]
+    return smallest
+
+
+def token_labels(found: np.ndarray, toxic: np.ndarray, of: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marked features (ascending) and the tokens that hold one in a toxic document.
 
-    ``found`` is token by feature, ``toxic`` says for each document whether it is toxic, ``of`` each token's document.
+    ``found`` is token by feature, ``toxic`` says for each document whether it is toxic, ``of`` each token's document,
+    ``group`` is shared by copies of a document.
     """
-    flat = found.ravel()
-    documents = np.repeat(of, found.shape[1])
-    values, inverse = np.unique(flat, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(toxic) + documents)
-    value, document = np.divmod(pairs, max(len(toxic), 1))
-    bad = np.bincount(value[toxic[document]], minlength=len(values))
-    good = np.bincount(value[~toxic[document]], minlength=len(values))
-    n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    odds = (bad + 0.5) / n_bad / ((good + 0.5) / n_good)
-    marked = (bad >= LEAST_DOCUMENTS) & (odds >= LEAST_ODDS) & (good <= MOST_CLEAN * (bad + good))
-    labels = marked[inverse].reshape(found.shape).any(axis=1) & toxic[of]
+    values, inverse = np.unique(found, return_inverse=True)
+    inverse = inverse.reshape(found.shape)
+
+    def groups_with(label: bool) -> tuple[np.ndarray, int]:
+        numbers, number = np.unique(group[toxic == label], return_inverse=True)
+        of_document = np.zeros(len(toxic), dtype=np.int64)
+        of_document[toxic == label] = number
+        mine = toxic[of] == label
+        pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]][:, None])
+        return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
+
+    bad, n_bad = groups_with(True)
+    good, n_good = groups_with(False)
+    log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    expected = (bad + good) * n_bad / (n_bad + n_good)
+    z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
+    marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
+    labels = marked[inverse].any(axis=1) & toxic[of]
     return values[marked], labels
 
 
@@ -219,15 +235,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30)).toArrow()
     sample = sample.sort_by([("place", "ascending"), ("key", "ascending")])
     toxic = np.array(sample["toxic"].to_pylist(), dtype=bool)
-    scoring = np.array(sample["place"].to_pylist(), dtype=np.int64) // (1 << 30) % 2 == 0
+    scoring = np.array(sample["place"].to_pylist(), dtype=np.int64) // (1 << 30) % 4 == 0
     texts = sample["text"].combine_chunks()
 
-    found, begins = [], [0]
+    found, begins, group = [], [0], []
     for _, offsets, data in text_slices(texts):
         words = tokens(offsets, data)
         found.append(features(words))
+        group.append(copies(words.hashes(), words.begins))
         begins += (words.begins[1:] + begins[-1]).tolist()
-    found, begins = np.concatenate(found), np.array(begins)
+    found, begins, group = np.concatenate(found), np.array(begins), np.concatenate(group)
     of = np.repeat(np.arange(len(toxic)), np.diff(begins))
     model = ToxicModel()
     if not (toxic & ~scoring).any() or not (toxic & scoring).any() or not (~toxic & scoring).any():
@@ -235,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     learn = np.flatnonzero(~scoring)
     mine = ~scoring[of]
     renumbered = np.searchsorted(learn, of[mine])
-    model.marked, labelled = token_labels(found[mine], toxic[learn], renumbered)
+    model.marked, labelled = token_labels(found[mine], toxic[learn], renumbered, group[learn])
     lengths = np.diff(begins)
     learn_begins = np.concatenate([[0], np.cumsum(lengths[learn])])
     model.weights, model.chain = fit_chain(model.rows(found[mine]), labelled, learn_begins, len(model.marked))
