@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, langid, packing, quality, secrets, toxic, urlfilter
+from citeflow.llm import bpe, langid, packing, quality, secrets, topk, toxic, urlfilter
 from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     digests = bpe.round_trip_digests(F.col("text"), public_tokenizers.path(BYTE_BPE), bpe.PATTERN)
@@ -83,6 +88,7 @@ QUERIES = {
     for f in (
         op3_best_fit_packing,
         op4_toxicity_crf,
+        op5_exact_top_k,
         op6_bpe_round_trip,
         op7_secret_scan,
         op8_quality_rules,
@@ -92,6 +98,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scores
+        QUALIFY rank <= 20
+    """,
     "op9_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
