@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, langid, packing, quality, secrets, topk, toxic, urlfilter
+from citeflow.llm import bpe, jaccard, langid, packing, quality, secrets, topk, toxic, urlfilter
 from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -86,6 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_ngram_jaccard,
         op3_best_fit_packing,
         op4_toxicity_crf,
         op5_exact_top_k,
