@@ -10,6 +10,7 @@ up by its length and its number among the pieces of that length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,10 +27,13 @@ from tokenizers import Tokenizer
 from citeflow.llm.bpe import PATTERN, byte_tokens
 from citeflow.llm.frames import by_batch, col, stored
 
-#: Most rounds of multiplicative weights; the plan has at most this many configurations.
-ROUNDS = 4000
+#: Most rounds of multiplicative weights, and configurations taken from one round's dynamic program: the plan has at most
+#: their product of configurations.
+ROUNDS, TOGETHER, NEARLY = 150, 32, 0.9
 #: The part of a length's pieces that one round may cover, and the sharpness of the weights.
 STEP, SHARPNESS = 0.2, 12.0
+#: Rounding keeps the pieces of a configuration above this part of the capacity and leaves the smaller to best fit.
+LARGE = 1 / 3
 #: Texts above this many characters go to the plain tokenizer, whose memory does not depend on a pattern's back-tracking.
 LONG_TEXT = 1_000_000
 
@@ -47,8 +51,11 @@ class Run:
         return sum(length * many for length, many in self.items)
 
 
-def fullest(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: how many of each length (the index of its price) make the dearest content of one sequence."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: for each space the value of its dearest content and the last length in it (0: one left free).
+
+    The index of a price is its length.
+    """
     value = np.zeros(capacity + 1)
     choice = np.zeros(capacity + 1, dtype=np.int64)
     for space in range(1, capacity + 1):
@@ -58,19 +65,25 @@ def fullest(prices: np.ndarray, capacity: int) -> dict[int, int]:
             value[space], choice[space] = with_last[k], k + 1
         else:
             value[space] = value[space - 1]
+    return value, choice
+
+
+def contents(choice: np.ndarray, space: int) -> dict[int, int]:
     found: dict[int, int] = {}
-    space = capacity
     while space > 0:
-        if choice[space]:
-            found[int(choice[space])] = found.get(int(choice[space]), 0) + 1
-            space -= int(choice[space])
-        else:
-            space -= 1
+        last = int(choice[space])
+        if last:
+            found[last] = found.get(last, 0) + 1
+        space -= last or 1
     return found
 
 
 def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Items, float]:
-    """A fractional solution of the configuration program: how often each configuration is used to cover all pieces."""
+    """A fractional solution of the configuration program: how often each configuration is used to cover all pieces.
+
+    One dynamic program prices all configurations of a round: for each length, the dearest one that holds it. Those
+    within ``NEARLY`` of the dearest, ``TOGETHER`` at most, each cover a step of their scarcest length.
+    """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[n] for n in lengths.tolist()], dtype=np.float64)
     at = {n: k for k, n in enumerate(lengths.tolist())}
@@ -82,29 +95,46 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
             break
         prices = np.full(capacity + 1, -np.inf)
         prices[lengths] = np.exp(-SHARPNESS * (share - share.min())) / counts
-        items = {n: min(many, histogram[n]) for n, many in fullest(prices, capacity).items()}
-        step = STEP * min(histogram[n] / many for n, many in items.items())
-        for n, many in items.items():
-            covered[at[n]] += step * many
-        key = tuple(sorted(items.items(), reverse=True))
-        solution[key] = solution.get(key, 0.0) + step
+        value, choice = knapsack(prices, capacity)
+        holding = prices[lengths] + value[capacity - lengths]
+        good = np.flatnonzero(holding >= NEARLY * value[capacity])
+        for k in good[np.argsort(-holding[good], kind="stable")][:TOGETHER]:
+            if covered[k] >= counts[k]:
+                continue
+            items = contents(choice, capacity - int(lengths[k]))
+            items[int(lengths[k])] = items.get(int(lengths[k]), 0) + 1
+            items = {n: min(many, histogram[n]) for n, many in items.items()}
+            step = STEP * min(histogram[n] / many for n, many in items.items())
+            for n, many in items.items():
+                covered[at[n]] += step * many
+            key = tuple(sorted(items.items(), reverse=True))
+            solution[key] = solution.get(key, 0.0) + step
     return solution
 
 
 def plan_runs(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[Run]:
-    """Runs of equal sequences that hold exactly the pieces of the histogram."""
+    """Runs of equal sequences that hold exactly the pieces of the histogram.
+
+    The fractional solution over all lengths is rounded down, its small pieces taken out: they fit into the space their
+    configuration keeps for them, and best fit, which puts them last, can fill any other space with them as well. So
+    what rounding leaves over is packed almost without loss.
+    """
     left = {n: many for n, many in histogram.items() if many > 0}
     if any(not 0 < n <= capacity for n in left):
         raise ValueError("a piece is empty or longer than a sequence")
     runs = [Run(left.pop(capacity), ((capacity, 1),))] if capacity in left else []
-    solution = configurations(left, capacity, rounds)
-    for items, times in sorted(solution.items(), key=lambda s: (-s[1], s[0])):
-        whole = min([int(times), *(left[n] // many for n, many in items)])
+    kept: dict[Items, float] = {}
+    for items, times in configurations(left, capacity, rounds).items():
+        large = tuple((n, many) for n, many in items if n > capacity * LARGE)
+        kept[large] = kept.get(large, 0.0) + times
+    kept.pop((), None)
+    for items, times in sorted(kept.items(), key=lambda s: (-s[1], s[0])):
+        whole = min([math.floor(times), *(left[n] // many for n, many in items)])
         if whole:
             runs.append(Run(whole, items))
             for n, many in items:
                 left[n] -= whole * many
-    return best_fit(runs, left, capacity)
+    return best_fit(runs, {n: many for n, many in left.items() if many}, capacity)
 
 
 def best_fit(runs: list[Run], left: dict[int, int], capacity: int) -> list[Run]:

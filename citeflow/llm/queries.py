@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, jaccard, langid, packing, quality, secrets, topk, toxic, urlfilter
+from citeflow.llm import bpe, jaccard, langid, packing, quality, secrets, topk, toxic, urlfilter, warc
 from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.responses(read(spark, sf_dir, "pages"))
+    return warc.derive(records, keep=["page_id"])
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -90,6 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_derivatives,
         op2_ngram_jaccard,
         op3_best_fit_packing,
         op4_toxicity_crf,
