@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.arrays import Words, mix, shingle_hashes, text_slices
 from citeflow.llm.components import connected_components
-from citeflow.llm.frames import by_batch, col, stored
+from citeflow.llm.frames import by_batch, col, free_name, stored
 
 #: Sizes in a band lie within this factor (before the partners of its largest sets are added).
 BAND_STEP = 1.4
@@ -201,8 +201,9 @@ def index_rows(sets: DataFrame, credits: list[tuple[int, int, list[int]]]) -> Da
     return rows.select("node", "band", F.explode(keys).alias("key"))
 
 
-def bit_filter(values: DataFrame, name: str) -> Column | None:
-    """A condition that holds for every value of a long column, and for few others; None when that takes too many bits.
+def bit_filter(values: DataFrame, name: str, column: str | None = None) -> Column | None:
+    """A condition on ``column`` (the same name by default) that holds for every value of a long column, and for few
+    others; None when that takes too many bits.
 
     The bits are set by Spark's bitmap functions, 4 KB a row, and at most 32 MB of them reach the driver.
     """
@@ -225,7 +226,7 @@ def bit_filter(values: DataFrame, name: str) -> Column | None:
             p = positions.to_numpy(zero_copy_only=False)
             yield pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
 
-    return by_batch(run, "boolean", at)
+    return by_batch(run, "boolean", spread(F.col(column or name)))
 
 
 def links_in_block(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
@@ -345,3 +346,23 @@ def jaccard_components(
     named = known.join(smallest, "class", "left").select("id", "n", F.coalesce("low", "id").alias("component"))
     unnamed = everything.where("first and id is null").select("id", "n", F.col("id").alias("component"))
     return named.unionByName(unnamed).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one_of_each_class(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the document with the smallest key, once.
+
+    Rows with a null key and texts without words are like nothing else and stay. Most rows are told apart from the
+    documents to drop by a bit filter; only the others are looked up.
+    """
+    classes = stored(jaccard_components(docs, key, text, n, num, den), "classes").where(col(key).isNotNull())
+    dropped = stored(classes.where(col(key) != F.col("component_id")).select(col(key).alias("dropped")).distinct(), "dropped")
+    repeated = classes.groupBy(col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    looked_up = stored(dropped.select(F.xxhash64("dropped").alias("h")).unionByName(repeated.select(F.xxhash64("again").alias("h"))), "looked-up")
+    name, mark = free_name(docs, "_hash"), free_name(docs, "_hit")
+    hit = bit_filter(looked_up, "h", name)
+    marked = docs.withColumn(name, F.xxhash64(col(key))).withColumn(mark, F.lit(True) if hit is None else hit)
+    marked = marked.withColumn(mark, F.col(mark) & col(key).isNotNull())
+    doubtful = marked.where(F.col(mark)).join(dropped, col(key) == F.col("dropped"), "left_anti").dropDuplicates([key])
+    return marked.where(~F.col(mark)).unionByName(doubtful).select(*[col(c) for c in docs.columns])

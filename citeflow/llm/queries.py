@@ -21,7 +21,10 @@ URL_RULES = [
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.responses(read(spark, sf_dir, "pages"))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size)
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html", headers.alias("headers"))
+    records = warc.responses(pages, headers="headers")
     return warc.derive(records, keep=["page_id"])
 
 
