@@ -21,7 +21,7 @@ from citeflow.llm.frames import by_batch, col, free_name
 
 #: Bound of the fitted sample: documents of each label, chosen by a hash. Three quarters label tokens and train the chain,
 #: the rest fits the document score.
-SAMPLE_PER_LABEL = 4000
+SAMPLE_PER_LABEL = 2000
 #: Bytes of a word's beginning that are features beside the whole word (0).
 BEGINNINGS = (0, 4, 5, 6, 7, 8, 10)
 #: A feature marks toxic tokens when it is in this many toxic documents (copies of one text count once), its odds there
@@ -57,9 +57,9 @@ class ToxicModel:
     def rows(self, found: np.ndarray) -> np.ndarray:
         """Index of each feature among the marked ones, their number for the others."""
         if not len(self.marked):
-            return np.zeros(found.shape, dtype=np.int64)
+            return np.zeros(found.shape, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.marked, found), len(self.marked) - 1)
-        return np.where(self.marked[at] == found, at, len(self.marked))
+        return np.where(self.marked[at] == found, at, len(self.marked)).astype(np.int32)
 
     def marginals(self, words: Words) -> np.ndarray:
         """The chance of each token to be toxic; every text is one chain over all its tokens."""
@@ -142,25 +142,27 @@ def token_labels(found: np.ndarray, toxic: np.ndarray, of: np.ndarray, group: np
     ``found`` is token by feature, ``toxic`` says for each document whether it is toxic, ``of`` each token's document,
     ``group`` is shared by copies of a document.
     """
-    values, inverse = np.unique(found, return_inverse=True)
-    inverse = inverse.reshape(found.shape)
-
-    def groups_with(label: bool) -> tuple[np.ndarray, int]:
-        numbers, number = np.unique(group[toxic == label], return_inverse=True)
-        of_document = np.zeros(len(toxic), dtype=np.int64)
-        of_document[toxic == label] = number
-        mine = toxic[of] == label
-        pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]][:, None])
-        return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
-
-    bad, n_bad = groups_with(True)
-    good, n_good = groups_with(False)
-    log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    expected = (bad + good) * n_bad / (n_bad + n_good)
-    z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
-    marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
-    labels = marked[inverse].any(axis=1) & toxic[of]
-    return values[marked], labels
+    labels, marked_values = np.zeros(len(of), dtype=bool), []
+    for column in range(found.shape[1]):
+        values, inverse = np.unique(found[:, column], return_inverse=True)
+
+        def groups_with(label: bool) -> tuple[np.ndarray, int]:
+            numbers, number = np.unique(group[toxic == label], return_inverse=True)
+            of_document = np.zeros(len(toxic), dtype=np.int64)
+            of_document[toxic == label] = number
+            mine = toxic[of] == label
+            pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]])
+            return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
+
+        bad, n_bad = groups_with(True)
+        good, n_good = groups_with(False)
+        log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+        expected = (bad + good) * n_bad / (n_bad + n_good)
+        z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
+        marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
+        labels |= marked[inverse]
+        marked_values.append(values[marked])
+    return np.unique(np.concatenate(marked_values)), labels & toxic[of]
 
 
 def fit_chain(rows: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +183,17 @@ def fit_chain(rows: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked
     after = place > 0
     previous = np.concatenate([[0.0], y[:-1]])
     seen = np.array([y.sum(), ((1 - previous) * y)[after].sum(), (previous * (1 - y))[after].sum(), (previous * y)[after].sum(), y[~after].sum()])
-    rows = rows[source]
-    hits = rows < n_marked
-    hit_token = np.nonzero(hits)[0]
-    seen_rows = np.bincount(rows[hits], weights=y[hit_token], minlength=n_marked)
+    place_of = np.empty(len(rows), dtype=np.int64)
+    place_of[source] = np.arange(len(source))
+    hit_token, feature = np.nonzero(rows < n_marked)
+    hit_row, hit_token = rows[hit_token, feature], place_of[hit_token]
+    seen_rows = np.bincount(hit_row, weights=y[hit_token], minlength=n_marked)
     theta = np.concatenate([np.full(n_marked, 1.0), [-4.0, 0.0, 0.0, 0.0, 0.0]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, STEPS + 1):
-        weights, chain = np.append(theta[:n_marked], 0.0), theta[n_marked:]
-        odds = np.exp(np.clip(chain[0] + weights[rows].sum(axis=1), -40, 40))
+        weights, chain = theta[:n_marked], theta[n_marked:]
+        emission = chain[0] + np.bincount(hit_token, weights=weights[hit_row], minlength=len(source))
+        odds = np.exp(np.clip(emission, -40, 40))
         table = np.ones((int(lengths[0]) if len(lengths) else 1, max(len(order), 1)))
         table[place, column] = odds
         step = np.exp([0.0, *chain[1:5]])
@@ -200,7 +204,7 @@ def fit_chain(rows: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked
         o = (odds * backward[place, column])[after]
         mass = step[0] + step[1] * o + step[2] * f + step[3] * f * o
         expected = np.array([p.sum(), (step[1] * o / mass).sum(), (step[2] * f / mass).sum(), (step[3] * f * o / mass).sum(), p[~after].sum()])
-        gradient = np.concatenate([seen_rows - np.bincount(rows[hits], weights=p[hit_token], minlength=n_marked), seen - expected])
+        gradient = np.concatenate([seen_rows - np.bincount(hit_row, weights=p[hit_token], minlength=n_marked), seen - expected])
         gradient -= 0.05 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
