@@ -22,7 +22,7 @@ def contexts(spark, sf):
     doc = F.col("doc_id")
     return table(spark, sf, "documents").select(
         doc.alias("row_id"),
-        F.concat(F.lit("p_"), F.substring("source", 4, 9)).alias("passage_id"),
+        F.concat(F.lit("p_"), F.expr("substring(source, 4)")).alias("passage_id"),
         F.col("text").alias("destination_context"),
         tagged("court_", F.col("lang")).alias("dest_court"),
         tagged("court_", doc % 7).alias("source_court"),

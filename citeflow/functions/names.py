@@ -11,11 +11,22 @@ from citeflow.functions.text import strip_ws
 def parse_name_list(c: Column) -> Column:
     """Array of names from the printed form of a list, e.g. ``['A', "O'B"]``.
 
-    Lists and tuples give their trimmed, non-empty items, a quoted or bare scalar gives itself, text that is no
-    list gives its trimmed self, blank and null give an empty array.
+    Lists and tuples, with or without their brackets, give their trimmed, non-empty items; literals side by side are
+    one item; ``None``, ``True`` and ``False`` are items by their names. A quoted or bare scalar gives itself, text that
+    is no list gives its trimmed self, blank and null give an empty array.
     """
     text = strip_ws(c)
-    as_list = F.regexp_replace(F.regexp_replace(text, r"(?s)\A\((.*)\)\z", "[$1]"), r",\s*\]\z", "]")
+    # what follows up to the end holds whole literals only, so the place itself is in none
+    quoted = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+    outside = rf"""(?=(?:[^'"\\]|{quoted})*+\z)"""
+    item = rf"(?:(?:{quoted})(?:\s+(?:{quoted}))*|None|True|False|-?[0-9.]+)"
+    as_list = F.regexp_replace(text, r"(?s)\A\((.*)\)\z", "[$1]")
+    as_list = F.regexp_replace(as_list, rf"(?s)\A({item}\s*(?:,\s*{item}\s*)*,\s*(?:{item})?)\z", "[$1]")
+    as_list = F.regexp_replace(as_list, r",\s*\]\z", "]")
+    as_list = F.regexp_replace(as_list, rf"(?s)(?<=[\[,\s])(None|True|False)(?=\s*[,\]]){outside}", '"$1"')
+    for quote in ("'", '"'):
+        as_list = F.regexp_replace(as_list, rf"(?s){quote}\s+{quote}(?=(?:[^{quote}\\]|\\.)*+{quote}(?:[^'\"\\]|{quoted})*+\z)", "")
+    as_list = F.regexp_replace(as_list, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
     items = F.from_json(as_list, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
     trimmed = F.filter(F.transform(items, strip_ws), lambda x: x != "")
     scalar = strip_ws(F.regexp_replace(text, r"""(?s)\A(['"])(.*)\1\z""", "$2"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from citeflow.functions.text import word_count
 from citeflow.operators.dedup import distinct_keys
 from citeflow.operators.ranking import topk_per_group
+from citeflow.schemas import row_key
 
 # fixed values: columns that tell where the right passage comes from
 LEAKING = ("source_court", "source_date")
@@ -80,8 +81,7 @@ def coverage(df: DataFrame, cols: list[str], by: str = "split") -> DataFrame:
 
 def split_overlap(df: DataFrame, key_cols: list[str]) -> DataFrame:
     """Contents found in more than one split, by digest, with the splits they are in."""
-    digest = F.sha2(F.to_json(F.struct(*key_cols), {"ignoreNullFields": "false"}), 256)
-    found = df.select(digest.alias("content"), "split").groupBy("content").agg(F.collect_set("split").alias("_in"), F.count("*").alias("n_rows"))
+    found = df.select(row_key(df, key_cols).alias("content"), "split").groupBy("content").agg(F.collect_set("split").alias("_in"), F.count("*").alias("n_rows"))
     return found.where(F.size("_in") > 1).select("content", F.array_join(F.array_sort("_in"), ",").alias("splits"), "n_rows")
 
 

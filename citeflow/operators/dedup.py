@@ -19,10 +19,10 @@ def dedup_project(df: DataFrame, cols: list[str], row_id: str | None = None) ->
     others = [c for c in df.columns if c not in cols]
     if not others:
         rows = df.select(*cols).distinct()
-        return rows.withColumn(row_id, row_key(cols)) if row_id else rows
-    rows = df.select(*cols, row_key(others).alias("_others")).distinct()
+        return rows.withColumn(row_id, row_key(rows, cols)) if row_id else rows
+    rows = df.select(*cols, row_key(df, others).alias("_others")).distinct()
     if row_id:
-        rows = rows.withColumn(row_id, row_key([*cols, "_others"]))
+        rows = rows.withColumn(row_id, row_key(rows, [*cols, "_others"]))
     return rows.drop("_others")
 
 

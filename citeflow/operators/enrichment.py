@@ -22,7 +22,7 @@ def one_per_key(meta: DataFrame, on: str) -> DataFrame:
     """One metadata row per key: a successful one first, then the one with the smallest digest."""
     others = [c for c in meta.columns if c != on]
     failed = (F.coalesce(F.col("status"), F.lit("")) != "ok") if "status" in others else F.lit(False)
-    order = F.struct(failed.alias("failed"), row_key(others).alias("digest"))
+    order = F.struct(failed.alias("failed"), row_key(meta, others).alias("digest"))
     best = meta.groupBy(on).agg(F.min_by(F.struct(*others), order).alias("_best"))
     return best.select(on, "_best.*")
 

@@ -7,7 +7,8 @@ slices that are known to be in order (ranges of the hash, or ranges between key
 own, and the number of rows in the slices before it is added. Either way the rows are shuffled once.
 
 What is broadcast is bounded by construction: a group only counts as hot when it has more than 1/``MAX_SLICES`` of all
-rows, so there are fewer than ``MAX_SLICES`` hot groups and fewer than ``2 * MAX_SLICES`` slices.
+rows, so there are fewer than ``MAX_SLICES`` hot groups and fewer than ``2 * MAX_SLICES`` slices. Above ``MAX_SLICES *
+hot_rows`` rows (1.6e10 by default) slices grow past ``hot_rows``; raise it with the memory of a task.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeflow.functions.hashing import hash_slot, seeded_hash
+from citeflow.schemas import exact_text
 from citeflow.session import materialise
 
 HOT_ROWS = 250_000
 MAX_SLICES = 65_536
 SPLITTERS = 255
+RANGES = 4
 SMALL_LIMIT = 10_000
 
 
@@ -111,21 +114,36 @@ def number_by_value(
     """Number all rows 1.. in the order of ``key``, which must be unique.
 
     Up to ``hot_rows`` rows are sorted in one task. More are numbered in parallel over ranges of the key, whose borders
-    are the ``SPLITTERS`` keys with the smallest hash: a random sample, yet the same on every run and every retry, so
-    the two passes over the data agree. Give it a stored frame, it is read more than once. ``rows`` is the number of
-    rows, where it is known.
+    are the keys with the smallest hash: a random sample, yet the same on every run and every retry, so the two passes
+    over the data agree. There are ``SPLITTERS`` borders at least and otherwise ``RANGES`` times as many as it takes
+    ranges of ``hot_rows`` rows, up to ``MAX_SLICES``; each row finds its range by a binary search. Give it a stored
+    frame, it is read more than once. ``rows`` is the number of rows, where it is known.
     """
     keyed = df.withColumn("_key", key)
-    if (df.count() if rows is None else rows) <= hot_rows:
+    rows = df.count() if rows is None else rows
+    if rows <= hot_rows:
         return _number_slices(keyed.withColumn("_slice", F.lit(0)), ["_key"], number, one=True).drop("_key")
-    sample = keyed.select("_key").orderBy(F.md5(F.to_json(F.struct("_key"))), "_key").limit(SPLITTERS)
+    wanted = min(MAX_SLICES - 1, max(SPLITTERS, RANGES * -(-rows // hot_rows)))
+    kind = keyed.schema["_key"].dataType
+    sample = keyed.select("_key").orderBy(F.md5(exact_text(F.col("_key"), kind)), "_key").limit(wanted)
     borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_borders")).scalar()
-    ranged = (
-        keyed.withColumn("_borders", borders)
-        .withColumn("_slice", F.size(F.filter("_borders", lambda b: b <= F.col("_key"))))
-        .drop("_borders")
-    )
-    return _number_slices(ranged, ["_key"], number).drop("_key")
+    ranged = keyed.withColumn("_borders", borders).withColumn("_slice", _borders_up_to("_borders", "_key", wanted))
+    return _number_slices(ranged.drop("_borders"), ["_key"], number).drop("_key")
+
+
+def _borders_up_to(borders: str, key: str, at_most: int) -> Column:
+    """How many of the ascending borders are not above the key, by halving the range that holds the answer."""
+
+    def halve(found: Column, _: Column) -> Column:
+        middle = F.floor((found["low"] + found["high"]) / 2).cast("int")
+        below = (found["low"] < found["high"]) & (F.get(borders, middle) <= F.col(key))
+        low = F.when(below, middle + 1).otherwise(found["low"])
+        high = F.when(below | (found["low"] >= found["high"]), found["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(borders).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(at_most.bit_length()))
+    return F.aggregate(steps, start, halve)["low"]
 
 
 def _number_slices(sliced: DataFrame, order: list[str], number: str, one: bool = False) -> DataFrame:

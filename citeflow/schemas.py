@@ -60,11 +60,35 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def row_key(columns: list[str]) -> Column:
-    """Identity of a row from its values: safe against nulls and against separators inside the values."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+EXACT = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def exact_text(value: Column, kind: T.DataType) -> Column:
+    """A value as text that differs where the values do: timestamps to the microsecond, -0.0 as 0.0 at any depth."""
+    return F.to_json(F.struct(_one_zero(value, kind).alias("v")), EXACT)
+
+
+def _one_zero(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0.0)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _one_zero(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_one_zero(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def row_key(df: DataFrame, columns: list[str]) -> Column:
+    """Identity of a row of ``df`` from its values: equal exactly where the values are, nulls included."""
+    values = [_one_zero(F.col(c), df.schema[c].dataType).alias(c) for c in columns]
+    return F.sha2(F.to_json(F.struct(*values), EXACT), 256)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add a row id that survives repartitioning, for sources without a key. Needs duplicate-free rows."""
-    return df.withColumn(name, row_key(df.columns))
+    return df.withColumn(name, row_key(df, df.columns))

@@ -80,16 +80,15 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations, one JSON object per line; a file without ``messages`` fails."""
-    found = spark.read.option("samplingRatio", "0.1").json(path).columns if not _has_rows(spark, path) else None
-    if found is not None and "messages" not in found:
-        raise KeyError("chat records need a 'messages' field")
-    return spark.read.schema(CHAT).json(path)
-
+    """Conversations, one JSON object per line; a record without ``messages`` fails, whichever it is.
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether any record has messages; stops at the first one."""
-    return bool(spark.read.schema(CHAT).json(path).where(F.col("messages").isNotNull()).take(1))
+    Records are looked through once for this, and each is checked again as it is read, for files that arrive later.
+    """
+    rows = spark.read.schema(CHAT).json(path)
+    if rows.where(F.col("messages").isNull()).take(1):
+        raise KeyError("chat records need a 'messages' field")
+    missing = F.raise_error(F.lit("chat records need a 'messages' field"))
+    return rows.select(F.when(F.col("messages").isNotNull(), F.col("messages")).otherwise(missing).alias("messages"))
 
 
 def read_chat_document(spark: SparkSession, path: str) -> DataFrame:

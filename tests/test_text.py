@@ -63,6 +63,19 @@ def test_name_lists(values):
         "  ": [],
         None: [],
         " ['A'] ": ["A"],
+        "'A', 'B'": ["A", "B"],
+        "'A',": ["A"],
+        "'A, B', \"C\"": ["A, B", "C"],
+        "['A', None]": ["A", "None"],
+        "[None]": ["None"],
+        "None": ["None"],
+        "[True, 'x']": ["True", "x"],
+        "['a, None, b', ' ', 'c']": ["a, None, b", "c"],
+        "['A' 'B']": ["AB"],
+        "['A'\n 'B']": ["AB"],
+        "[' ', 'x']": ["x"],
+        "['\\x41b']": ["Ab"],
+        "['\\\\x41b']": ["\\x41b"],
     }
     assert values(parse_name_list, list(cases)) == list(cases.values())
 
