@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.frames import stored
 
+#: Edges that one file of a stored round holds, about.
+EDGES_A_FILE = 1_000_000
+
 
 def _fingerprint(pairs: DataFrame) -> tuple[int, int, int]:
     hashed = F.xxhash64("u", "v")
@@ -29,12 +32,11 @@ def connected_components(edges: DataFrame, source: str = "a", target: str = "b")
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = stored(large.distinct(), "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("low"))
-        down = large.join(lowest, "u")
-        small = down.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        after = stored(small.unionByName(lowest.select("u", F.col("low").alias("v"))).distinct(), "small-star")
-        pairs, now = after, _fingerprint(after)
+        down = large.join(lowest, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        after = down.unionByName(lowest.select("u", F.col("low").alias("v"))).distinct()
+        pairs = stored(after.coalesce(max(8, before[0] // EDGES_A_FILE)), "stars")
+        now = _fingerprint(pairs)
         if now == before:
             break
         before = now

@@ -288,7 +288,21 @@ def _verify(n: int, num: int, den: int):
                     blocks.append(block[row + k])
         side = np.array(blocks) if len(set(blocks)) > 1 else None
         links = links_in_block(sets, side, num, den) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([kept[i] for i, _ in links], pa.int64()), "b": pa.array([kept[j] for _, j in links], pa.int64())})
+        low = {i: i for link in links for i in link}
+        for i, j in links:
+            while low[i] != i:
+                i = low[i]
+            while low[j] != j:
+                j = low[j]
+            low[max(i, j, key=kept.__getitem__)] = min(i, j, key=kept.__getitem__)
+        ends = []
+        for i in low:
+            j = i
+            while low[j] != j:
+                low[j] = low[low[j]]
+                j = low[j]
+            ends.append(j)
+        return pa.table({"a": pa.array([kept[i] for i in low], pa.int64()), "b": pa.array([kept[j] for j in ends], pa.int64())})
 
     run.__annotations__ = {"table": pa.Table, "return": pa.Table}
     return run
