@@ -21,7 +21,7 @@ from citeflow.llm.frames import by_batch, col, free_name
 
 #: Bound of the fitted sample: documents of each label, chosen by a hash. Three quarters label tokens and train the chain,
 #: the rest fits the document score.
-SAMPLE_PER_LABEL = 2000
+SAMPLE_PER_LABEL = 1500
 #: Bytes of a word's beginning that are features beside the whole word (0).
 BEGINNINGS = (0, 4, 5, 6, 7, 8, 10)
 #: A feature marks toxic tokens when it is in this many toxic documents (copies of one text count once), its odds there
@@ -136,42 +136,41 @@ def copies(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return smallest
 
 
-def token_labels(found: np.ndarray, toxic: np.ndarray, of: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marked features (ascending) and the tokens that hold one in a toxic document.
+def marked_features(found: np.ndarray, toxic: np.ndarray, of: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that mark toxic tokens (ascending) and the tokens of toxic documents that have one.
 
-    ``found`` is token by feature, ``toxic`` says for each document whether it is toxic, ``of`` each token's document,
-    ``group`` is shared by copies of a document.
+    ``found`` has one feature per token, ``toxic`` says for each document whether it is toxic, ``of`` each token's
+    document, ``group`` is shared by copies of a document.
     """
-    labels, marked_values = np.zeros(len(of), dtype=bool), []
-    for column in range(found.shape[1]):
-        values, inverse = np.unique(found[:, column], return_inverse=True)
-
-        def groups_with(label: bool) -> tuple[np.ndarray, int]:
-            numbers, number = np.unique(group[toxic == label], return_inverse=True)
-            of_document = np.zeros(len(toxic), dtype=np.int64)
-            of_document[toxic == label] = number
-            mine = toxic[of] == label
-            pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]])
-            return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
-
-        bad, n_bad = groups_with(True)
-        good, n_good = groups_with(False)
-        log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-        expected = (bad + good) * n_bad / (n_bad + n_good)
-        z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
-        marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
-        labels |= marked[inverse]
-        marked_values.append(values[marked])
-    return np.unique(np.concatenate(marked_values)), labels & toxic[of]
-
-
-def fit_chain(rows: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked: int) -> tuple[np.ndarray, np.ndarray]:
+    values, inverse = np.unique(found, return_inverse=True)
+
+    def groups_with(label: bool) -> tuple[np.ndarray, int]:
+        numbers, number = np.unique(group[toxic == label], return_inverse=True)
+        of_document = np.zeros(len(toxic), dtype=np.int64)
+        of_document[toxic == label] = number
+        mine = toxic[of] == label
+        pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]])
+        return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
+
+    bad, n_bad = groups_with(True)
+    good, n_good = groups_with(False)
+    log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    expected = (bad + good) * n_bad / (n_bad + n_good)
+    z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
+    marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
+    return values[marked], marked[inverse] & toxic[of]
+
+
+def fit_chain(
+    hit_token: np.ndarray, hit_row: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the marked features and the chain's five parameters, by Adam on the penalised likelihood.
 
-    The likelihood's gradient is what is observed less what forward-backward expects, for states and for transitions.
+    ``hit_token`` and ``hit_row`` say which token has which marked feature. The likelihood's gradient is what is observed
+    less what forward-backward expects, for states and for transitions. Texts are cut into chains of ``CHAIN`` tokens.
     """
-    cuts = np.unique(np.concatenate([begins, np.arange(0, len(rows) + 1, CHAIN)]))
-    cuts = cuts[cuts <= len(rows)]
+    tokens_ = len(labels)
+    cuts = np.unique(np.concatenate([begins, np.arange(0, tokens_ + 1, CHAIN)]))
     n = np.diff(cuts)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
@@ -183,10 +182,9 @@ def fit_chain(rows: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked
     after = place > 0
     previous = np.concatenate([[0.0], y[:-1]])
     seen = np.array([y.sum(), ((1 - previous) * y)[after].sum(), (previous * (1 - y))[after].sum(), (previous * y)[after].sum(), y[~after].sum()])
-    place_of = np.empty(len(rows), dtype=np.int64)
+    place_of = np.empty(tokens_, dtype=np.int64)
     place_of[source] = np.arange(len(source))
-    hit_token, feature = np.nonzero(rows < n_marked)
-    hit_row, hit_token = rows[hit_token, feature], place_of[hit_token]
+    hit_token = place_of[hit_token]
     seen_rows = np.bincount(hit_row, weights=y[hit_token], minlength=n_marked)
     theta = np.concatenate([np.full(n_marked, 1.0), [-4.0, 0.0, 0.0, 0.0, 0.0]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -242,27 +240,43 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scoring = np.array(sample["place"].to_pylist(), dtype=np.int64) // (1 << 30) % 4 == 0
     texts = sample["text"].combine_chunks()
 
-    found, begins, group = [], [0], []
+    begins, group = [0], []
     for _, offsets, data in text_slices(texts):
         words = tokens(offsets, data)
-        found.append(features(words))
         group.append(copies(words.hashes(), words.begins))
         begins += (words.begins[1:] + begins[-1]).tolist()
-    found, begins, group = np.concatenate(found), np.array(begins), np.concatenate(group)
+    begins, group = np.array(begins), np.concatenate(group)
     of = np.repeat(np.arange(len(toxic)), np.diff(begins))
-    model = ToxicModel()
     if not (toxic & ~scoring).any() or not (toxic & scoring).any() or not (~toxic & scoring).any():
         scoring[:] = False
-    learn = np.flatnonzero(~scoring)
-    mine = ~scoring[of]
+    learn, mine = np.flatnonzero(~scoring), np.flatnonzero(~scoring[of])
     renumbered = np.searchsorted(learn, of[mine])
-    model.marked, labelled = token_labels(found[mine], toxic[learn], renumbered, group[learn])
-    lengths = np.diff(begins)
-    learn_begins = np.concatenate([[0], np.cumsum(lengths[learn])])
-    model.weights, model.chain = fit_chain(model.rows(found[mine]), labelled, learn_begins, len(model.marked))
+
+    def feature(beginning: int) -> np.ndarray:
+        """One feature of every token, made anew when needed: all at once would be the sample many times over."""
+        parts = [tokens(o, d).hashes(beginning or None) for _, o, d in text_slices(texts)]
+        return np.concatenate(parts) + np.uint64(beginning)
+
+    model, labelled, marked = ToxicModel(), np.zeros(len(mine), dtype=bool), []
+    for beginning in BEGINNINGS:
+        some, hit = marked_features(feature(beginning)[mine], toxic[learn], renumbered, group[learn])
+        marked.append(some)
+        labelled |= hit
+    model.marked = np.unique(np.concatenate(marked))
+    hits = []
+    for beginning in BEGINNINGS if len(model.marked) else ():
+        row = model.rows(feature(beginning))
+        at = np.flatnonzero(row < len(model.marked))
+        hits.append((at, row[at]))
+    hit_token, hit_row = (np.concatenate(h) for h in zip(*hits, strict=True)) if hits else (np.zeros(0, dtype=np.int64),) * 2
+    learned = ~scoring[of[hit_token]]
+    learn_begins = np.concatenate([[0], np.cumsum(np.diff(begins)[learn])])
+    model.weights, model.chain = fit_chain(
+        np.searchsorted(mine, hit_token[learned]), hit_row[learned], labelled, learn_begins, len(model.marked)
+    )
     judged = np.flatnonzero(scoring) if scoring.any() else learn
-    weights = np.append(model.weights, 0.0)
-    chances = chain_marginals(model.chain[0] + weights[model.rows(found)].sum(axis=1), begins, model.chain)
+    emission = model.chain[0] + np.bincount(hit_token, weights=model.weights[hit_row], minlength=len(of))
+    chances = chain_marginals(emission, begins, model.chain)
     # weight the sample back to the labels' own shares, so that a score is a chance
     x = model.document_features(chances, begins)[judged]
     y = toxic[judged].astype(float)
