@@ -219,6 +219,36 @@ oracle(
     f"select row_id, row_number() over (order by md5(concat_ws('|', '{SEED}', row_id)), row_id) as position from contexts_wide",
     "contexts_wide",
 )
+oracle("sample_large", f"select * from contexts_wide order by md5(concat_ws('|', '{SEED}', row_id)), row_id limit 15000", "contexts_wide")
+oracle("first_large", "select * from contexts_wide order by row_id limit 12000", "contexts_wide")
+oracle("shuffle_export", "select * from contexts_wide", "contexts_wide")
+oracle(
+    "argmax_rows",
+    """select query_id, cand_id, score from (
+         select *, row_number() over (partition by query_id order by score desc, cand_id) as n
+         from (select l_orderkey as query_id, l_linenumber as cand_id, max(l_quantity) as score from lineitem group by all)) where n = 1""",
+)
+oracle(
+    "retrieval_ranks_ties",
+    """select v.vec_id as query_id, 2 + 3 * count(o.vec_id) as rank
+       from embeddings v left join embeddings o on o.embedding = v.embedding and o.vec_id < v.vec_id group by v.vec_id""",
+)
+oracle(
+    "dedup_exact",
+    """select dest_cite, count(*) as n_rows from (
+         select distinct * from (
+           select concat('cite_', user_id) as dest_cite, ts from events
+           union all select concat('cite_', user_id), ts + interval 1 microsecond from events)) group by dest_cite""",
+)
+oracle("no_leakage", "select row_id, passage_id, dest_court, dest_cite from contexts", "contexts")
+oracle(
+    "name_lists",
+    """select c_custkey, case c_custkey % 5 when 0 then concat(c_name, '|', n_name) when 1 then concat(c_name, '|None')
+              when 2 then concat(c_name, n_name) when 3 then c_name else concat('A', c_name, '|True') end as names
+       from customer join nation on c_nationkey = n_nationkey""",
+)
+oracle("contexts_gzip", "select cast(row_id as varchar) as row_id, passage_id, destination_context, dest_court from contexts", "contexts")
+oracle("keys_roundtrip", "select dest_cite, count(*) as n_rows from contexts_wide group by dest_cite", "contexts_wide")
 WIDE_SPLIT = split_ctes("contexts_wide", "passage_id", least=2)
 oracle("stratified_split", "select row_id, passage_id, split from split_rows", "contexts_wide", WIDE_SPLIT)
 oracle(
@@ -316,6 +346,11 @@ oracle(
     "select row_id, passage_id, dest_cite, coalesce(judges, '') as judge_names from contexts_wide left join metadata_first using (dest_cite)",
     META,
 )
+oracle(
+    "enrich_default",
+    "select row_id, passage_id, dest_cite, coalesce(judges, '') as judge_names from contexts_wide left join metadata_first using (dest_cite)",
+    META,
+)
 oracle(
     "enrich_fanout",
     "select row_id, passage_id, dest_cite, coalesce(judges, '') as judge_names from contexts_wide left join metadata using (dest_cite)",
@@ -446,6 +481,8 @@ oracle(
     "e5_queries",
     f"""select row_id, concat('Instruct: Given a legal context, {TASK}', chr(10), 'Query: ', {COLLAPSED}) as question,
                concat('Instruct: Given a legal context and the court it appeared in, {TASK}', chr(10), 'Query: ', {COLLAPSED}) as court_question,
+               concat('Given a legal context and the court it appeared in, {TASK[:-1]} for which we also know the court it came from and its date.',
+                      chr(10), 'Context: ', destination_context, '</s>') as court_date_question,
                concat('Given a legal context, {TASK}', chr(10), 'Context: ', destination_context, '</s>') as context_question
         from contexts""",
     "contexts",

@@ -22,7 +22,7 @@ from citeflow.functions import (
     with_instruction,
     word_count,
 )
-from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_PLAIN, e5_query
+from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_COURT_DATE, TASK_PLAIN, e5_query
 from citeflow.operators import audit, bayes, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting
 from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
@@ -109,6 +109,22 @@ def class_softmax_topk(spark, sf):
     return _rounded(top.withColumn("rank", F.col("rank").cast("bigint")))
 
 
+@query
+def argmax_rows(spark, sf):
+    lines = t.table(spark, sf, "lineitem")
+    scores = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("cand_id"), F.col("l_quantity").alias("score"))
+    return ranking.argmax_per_group(scores.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")))
+
+
+@query
+def retrieval_ranks_ties(spark, sf):
+    """Every vector three times in the corpus, the second copy is right: unrounded scores, ties by id."""
+    vectors = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    corpus = vectors.select("vec", F.explode(F.array(*[F.col("vec_id") * 3 + k for k in range(3)])).alias("cand_id"))
+    truth = vectors.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") * 3 + 1).alias("truth_id"))
+    return retrieval.retrieval_ranks(vectors.withColumnRenamed("vec_id", "query_id"), corpus, truth, digits=None)
+
+
 @query
 def class_argmax(spark, sf):
     asked = t.class_queries(spark, sf)
@@ -129,6 +145,38 @@ def dedup_project(spark, sf):
     return dedup.dedup_project(t.contexts_dup(spark, sf), ["passage_id", "destination_context", "dest_cite"])
 
 
+@query
+def dedup_exact(spark, sf):
+    """Rows that differ by a microsecond stay two, rows that differ by the sign of zero are one."""
+    rows = t.table(spark, sf, "events").select(t.tagged("cite_", F.col("user_id")).alias("dest_cite"), "ts")
+    later = rows.withColumn("ts", F.col("ts") + F.expr("interval 1 microsecond")).withColumn("value", F.lit(0.0))
+    rows = dedup.union_all(rows.withColumn("value", F.lit(0.0)), rows.withColumn("value", -F.lit(0.0)), later)
+    return dedup.dedup_project(rows, ["dest_cite"]).groupBy("dest_cite").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def no_leakage(spark, sf):
+    """Source columns are refused; without them the frame passes as it is."""
+    rows = t.contexts(spark, sf)
+    try:
+        audit.assert_no_leakage(rows)
+    except ValueError:
+        return audit.assert_no_leakage(rows.drop("source_court", "source_date")).drop("destination_context")
+    raise AssertionError("source columns passed")
+
+
+@query
+def name_lists(spark, sf):
+    """Judge names in the printed forms that are no plain JSON list."""
+    rows = t.table(spark, sf, "customer").join(t.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    forms = ["'{c}', '{n}'", "['{c}', None]", "['{c}' '{n}']", "('{c}',)", "['\\x41{c}', True]"]
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        made = F.replace(F.replace(F.lit(form), F.lit("{c}"), F.col("c_name")), F.lit("{n}"), F.col("n_name"))
+        raw = F.when(F.col("c_custkey") % len(forms) == k, made).otherwise(raw)
+    return rows.select("c_custkey", F.array_join(parse_name_list(raw), "|").alias("names"))
+
+
 @query
 def distinct_keys(spark, sf):
     return dedup.distinct_keys(t.arriving(spark, sf), "dest_cite", "event_id")
@@ -160,6 +208,22 @@ def sample_n(spark, sf):
     return sampling.sample_n(t.contexts_wide(spark, sf), 1000, SEED)
 
 
+@query
+def sample_large(spark, sf):
+    """More rows than a single sort is used for."""
+    return sampling.sample_n(t.contexts_wide(spark, sf), 15_000, SEED)
+
+
+@query
+def first_large(spark, sf):
+    return sampling.first_n(t.contexts_wide(spark, sf), 12_000, "row_id")
+
+
+@query
+def shuffle_export(spark, sf):
+    return sampling.shuffle_rows(t.contexts_wide(spark, sf), SEED)
+
+
 @query
 def first_n(spark, sf):
     return sampling.first_n(t.arriving(spark, sf), 500, "event_id").select("event_id", "dest_cite")
@@ -297,6 +361,12 @@ def enrich_first(spark, sf):
     return joined.withColumn("judge_names", F.coalesce(F.array_join("judge_names", ", "), F.lit("")))
 
 
+@query
+def enrich_default(spark, sf):
+    """One metadata row per key by default, missing keys matching missing ones."""
+    return _flat_judges(enrichment.enrich(t.contexts_wide(spark, sf), _meta(spark, sf), null_safe=True))
+
+
 @query
 def enrich_fanout(spark, sf):
     return _flat_judges(enrichment.enrich(t.contexts_wide(spark, sf), _meta(spark, sf), on_dup="fanout", hot_rows=5))
@@ -448,6 +518,7 @@ def e5_queries(spark, sf):
         "row_id",
         e5_query(c).alias("question"),
         e5_query(c, TASK_COURT).alias("court_question"),
+        with_instruction(c, CONTEXT_LAYOUT.format(task=TASK_COURT_DATE), "</s>").alias("court_date_question"),
         with_instruction(c, CONTEXT_LAYOUT.format(task=TASK_PLAIN), "</s>").alias("context_question"),
     )
 
@@ -553,6 +624,22 @@ def csv_roundtrip(spark, sf):
     return back.select("row_id", "passage_id", "destination_context", "split")
 
 
+@query
+def contexts_gzip(spark, sf):
+    """Compressed files with line ends and quotes in the texts, all columns by name."""
+    folder = scratch_dir(spark, "contexts")
+    rows = t.contexts(spark, sf).withColumn("row_id", F.col("row_id").cast("string"))
+    rows.write.options(**readers.CSV_OPTIONS).option("compression", "gzip").csv(folder)
+    return readers.read_contexts(spark, folder).select("row_id", "passage_id", "destination_context", "dest_court")
+
+
+@query
+def keys_roundtrip(spark, sf):
+    folder = scratch_dir(spark, "keys")
+    t.contexts_wide(spark, sf).write.options(**readers.CSV_OPTIONS).csv(folder)
+    return readers.read_keys(spark, folder).groupBy("dest_cite").agg(F.count("*").alias("n_rows"))
+
+
 @query
 def examples_roundtrip(spark, sf):
     """Classifier files written and read as stripped text with a class index."""

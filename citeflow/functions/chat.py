@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 SYSTEM_LINE = "You are an expert legal-precedent selector."
 MIDDLE_PLAIN = "You are given the following legal context:"
 MIDDLE_JUDGES = "You are given the following legal context and the presiding judge(s):"
-MIDDLE_COURTS = "You are given the following destination court, source court, source date and legal context:"
 CLOSING_LINE = "Please respond with the corresponding special token."
 
 

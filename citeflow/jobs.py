@@ -10,9 +10,13 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_PLAIN, e5_query, with_instruction
+from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_COURT_DATE, TASK_PLAIN, e5_query, with_instruction
 from citeflow.operators import audit, labels
+from citeflow.operators.dedup import uncovered
 from citeflow.operators.enrichment import landed, latest_attempt
+from citeflow.operators.metrics import ir_metrics, topk_accuracy
+from citeflow.operators.retrieval import retrieval_ranks, retrieval_report
+from citeflow.operators.sampling import first_n, sample_n
 from citeflow.params import DatasetParams, SplitRatios, dataset_tag
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA
@@ -75,7 +79,8 @@ def pair_data(spark: SparkSession, args) -> None:
     split = datasets.prepare(_contexts(spark, args), cols, params, rows)
     made = datasets.pair_dataset(split, known, "dest_court" if params.enriched else None, source_fields=args.source_fields)
     if args.instruction:
-        task = TASK_COURT if params.enriched else TASK_PLAIN
+        enriched = TASK_COURT if args.instruction == "query" else TASK_COURT_DATE
+        task = enriched if params.enriched else TASK_PLAIN
         question = F.col("question")
         made = made.withColumn(
             "question",
@@ -108,16 +113,40 @@ def evaluate_vectors(spark: SparkSession, args) -> None:
     queries = pairs.select(F.col("pair_id").alias("query_id"), F.col("question_vec").alias("vec"))
     corpus = pairs.select(F.col("pair_id").alias("cand_id"), F.col("answer_vec").alias("vec"))
     truth = pairs.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("truth_id"))
-    evaluation.evaluate_vectors(queries, corpus, truth).write.mode("overwrite").json(f"{args.out}/accuracy")
-    evaluation.evaluate_ir(queries, corpus, truth).write.mode("overwrite").json(f"{args.out}/ir_metrics")
+    if args.samples:
+        queries = sample_n(queries, args.samples, args.seed, "query_id")
+    ranks = materialise(retrieval_ranks(queries, corpus, truth))  # one scan for both kinds of metrics
+    topk_accuracy(ranks).write.mode("overwrite").json(f"{args.out}/accuracy")
+    ir_metrics(ranks).write.mode("overwrite").json(f"{args.out}/ir_metrics")
 
 
 def evaluate_scores(spark: SparkSession, args) -> None:
     """Scores of any model (``query_id, cand_id, score``) and the truth (``query_id, truth_id``) to top-k accuracy."""
-    made = evaluation.evaluate_scores(spark.read.parquet(args.scores), spark.read.parquet(args.truth))
+    truth = spark.read.parquet(args.truth)
+    if args.samples:
+        truth = sample_n(truth, args.samples, args.seed, "query_id")
+    made = evaluation.evaluate_scores(spark.read.parquet(args.scores), truth)
     made.write.mode("overwrite").json(f"{args.out}/accuracy")
 
 
+def uncovered_citations(spark: SparkSession, args) -> None:
+    """Citations of the (test) contexts that the metadata files lack, optionally the first of them only."""
+    wanted = uncovered(_contexts(spark, args), readers.read_metadata(spark, args.metadata), "dest_cite")
+    wanted = first_n(wanted, args.first, "dest_cite") if args.first else wanted
+    wanted.write.mode("overwrite").parquet(f"{args.out}/uncovered")
+
+
+def retrieval_examples(spark: SparkSession, args) -> None:
+    """Some pairs with vectors and texts (``pair_id, question, answer, question_vec, answer_vec``) to a report of what
+    is found for each question."""
+    pairs = spark.read.parquet(args.pairs)
+    queries = pairs.select(F.col("pair_id").alias("query_id"), F.col("question_vec").alias("vec"), F.col("question").alias("text"))
+    corpus = pairs.select(F.col("pair_id").alias("cand_id"), F.col("answer_vec").alias("vec"), F.col("answer").alias("text"))
+    truth = pairs.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("truth_id"))
+    asked = materialise(sample_n(queries, args.samples, args.seed, "query_id"))
+    retrieval_report(asked, corpus, truth).write.mode("overwrite").json(f"{args.out}/examples")
+
+
 def check_labels(spark: SparkSession, args) -> None:
     """Fail unless the label map has the configured number of classes."""
     labels.check_label_count(readers.read_label_map(spark, args.label_map), args.classes)
@@ -156,8 +185,12 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--end-marker", default="")
             sub.add_argument("--source-fields", action="store_true", help="source court and date in the answers (leaks)")
     add(collect_metadata, worklist=needed, responses=needed, out=needed, retry={"default": ""})
-    add(evaluate_vectors, pairs=needed, out=needed)
-    add(evaluate_scores, scores=needed, truth=needed, out=needed)
+    sample = {"samples": {"type": int, "help": "evaluate this many queries only"}, "seed": {"type": int, "default": 42}}
+    add(evaluate_vectors, pairs=needed, out=needed, **sample)
+    add(evaluate_scores, scores=needed, truth=needed, out=needed, **sample)
+    citations = {"metadata": {"nargs": "+", "required": True}, "first": {"type": int}, "partitions": {"type": int}}
+    add(uncovered_citations, contexts=needed, out=needed, **citations)
+    add(retrieval_examples, pairs=needed, out=needed, samples={"type": int, "default": 5}, seed={"type": int, "default": 42})
     add(check_labels, label_map=needed, classes={"type": int, "required": True})
     return main
 

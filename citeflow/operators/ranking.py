@@ -29,9 +29,9 @@ def rank_of_truth(scores: DataFrame, truth: DataFrame, hot_rows: int = HOT_ROWS)
     ``truth`` has one row ``(query_id, truth_id)`` per query. Counting the better candidates needs no sort.
     """
     hot = hot_keys(scores, "query_id", hot_rows)
-    labelled = join_on_slices(scores, truth, "query_id", "inner", hot)
-    right = labelled.where(F.col("cand_id") == F.col("truth_id")).select("query_id", F.col("score").alias("_right"))
-    compared = join_on_slices(labelled, right, "query_id", "inner", hot)
+    named = truth.select("query_id", "truth_id", F.col("truth_id").alias("cand_id"))
+    right = scores.join(named, ["query_id", "cand_id"]).select("query_id", "truth_id", F.col("score").alias("_right"))
+    compared = join_on_slices(scores, right, "query_id", "inner", hot)
     ahead = (F.col("score") > F.col("_right")) | ((F.col("score") == F.col("_right")) & (F.col("cand_id") < F.col("truth_id")))
     ranks = compared.groupBy("query_id").agg((F.count_if(ahead) + 1).alias("rank"))
     return truth.select("query_id").join(ranks, "query_id", "left").withColumn("rank", F.coalesce("rank", F.lit(-1).cast("bigint")))

@@ -26,10 +26,14 @@ BLOCK_BYTES = 32 * 1024 * 1024
 FEW_QUERIES = 256
 # similarities held at once inside a task
 TILE_CELLS = 4_000_000
+#: Unrounded similarities this close are ties: the right candidate's comes from Spark, the others' from a matrix product,
+#: and the two may differ in their last bits.
+TIE = 1e-12
 
 
 def _scanner(k: int, digits: int | None, id_type, query_type) -> Callable:
     tile = TILE_CELLS
+    slack = TIE if digits is None else 0.0
 
     def scan(queries, corpus):
         import numpy as np
@@ -89,7 +93,7 @@ def _scanner(k: int, digits: int | None, id_type, query_type) -> Callable:
             mass.append(np.exp(raw - peak[:, None]).sum(axis=1))
             limit, low, high = truth_score[part, None], before[part, None], upto[part, None]
             own = (columns >= low) & (columns < high) & truth_known[part, None]
-            front = ((sim > limit) | ((sim == limit) & (columns < low))) & ~own
+            front = ((sim > limit + slack) | ((np.abs(sim - limit) <= slack) & (columns < low))) & ~own
             ahead.append(front.sum(axis=1))
             if kept:
                 edge = np.partition(sim, m - kept, axis=1)[:, m - kept]
@@ -150,9 +154,11 @@ def scan_blocks(
     if "truth_id" not in queries.columns:
         queries = queries.withColumns({"truth_id": F.lit(None).cast(id_type), "truth_score": F.lit(None).cast("double")})
     n_queries, n_corpus = _block_counts(queries if counted is None else counted, corpus, block_rows)
+    missing = F.raise_error(F.lit("a vector is null; leave its row out before the search"))
+    vector = F.when(F.col("vec").isNotNull(), F.col("vec")).otherwise(missing).alias("vec")
     left = queries.select(
         "query_id",
-        "vec",
+        vector,
         "truth_id",
         "truth_score",
         _block("query_id", n_queries).alias("_bq"),
@@ -160,7 +166,7 @@ def scan_blocks(
     )
     right = corpus.select(
         "cand_id",
-        "vec",
+        vector,
         F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_bq"),
         _block("cand_id", n_corpus).alias("_bc"),
     )

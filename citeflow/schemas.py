@@ -11,12 +11,6 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-CONTEXTS = _strings(
-    "passage_id", "destination_context", "dest_court", "source_court", "source_date", "dest_cite"
-)
-
-PASSAGES = _strings("passage_id", "passage")
-
 LABEL_MAP = T.StructType(
     [
         T.StructField("passage_id", T.StringType()),

@@ -44,6 +44,8 @@ def test_jobs_in_order(spark, files, tmp_path):
     pairs = spark.read.json(f"{out}/pairs/10k_percent50_split801010_seed42")
     assert pairs.count() == 100 and pairs.where("question like 'Instruct: %Query: context%' and answer like 'passage %'").count() == 100
 
+    main(["uncovered-citations", "--contexts", str(files / "contexts.csv"), "--metadata", str(files / "meta.csv"), "--out", out], spark)
+    assert spark.read.parquet(f"{out}/uncovered").count() == 25
     main(["citation-worklist", *base], spark)
     work = spark.read.parquet(f"{out}/worklist/10k_percent50_split801010_seed42")
     assert work.count() == 80
@@ -61,6 +63,12 @@ def test_evaluation_jobs(spark, tmp_path):
     vecs = [(i, [1.0, float(i)], [1.0, float(i)]) for i in range(6)]
     spark.createDataFrame(vecs, "pair_id long, question_vec array<float>, answer_vec array<float>").write.parquet(f"{out}/pairs")
     main(["evaluate-vectors", "--pairs", f"{out}/pairs", "--out", out], spark)
+    main(["evaluate-vectors", "--pairs", f"{out}/pairs", "--out", f"{out}/some", "--samples", "2"], spark)
+    assert spark.read.json(f"{out}/some/accuracy").first().evaluated == 2
+    texts = spark.read.parquet(f"{out}/pairs").selectExpr("*", "'q' as question", "'a' as answer")
+    texts.write.parquet(f"{out}/texts")
+    main(["retrieval-examples", "--pairs", f"{out}/texts", "--out", out, "--samples", "2"], spark)
+    assert spark.read.json(f"{out}/examples").where("truth_rank = 1").count() == 6
     row = spark.read.json(f"{out}/accuracy").first()
     assert row.top_1_accuracy == 1.0 and row.evaluated == 6
     assert spark.read.json(f"{out}/ir_metrics").first().mrr_at_10 == 1.0
