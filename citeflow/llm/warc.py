@@ -26,11 +26,8 @@ SPACES = "[ \\t\\x0B\\f\\r\\u00A0]+"
 def record_id(*parts: Column) -> Column:
     """A ``urn:uuid`` made from a SHA-256 of the parts: the same record always gets the same id."""
     shown = [F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in parts]
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(s, F.lit("-")) for s in shown]), 256)
-    pieces = [F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
-    return F.concat(
-        F.lit("<urn:uuid:"), pieces[0], F.lit("-"), pieces[1], F.lit("-5"), pieces[2], F.lit("-a"), pieces[3], F.lit("-"), pieces[4], F.lit(">")
-    )
+    text = F.sha2(F.concat_ws("|", *[F.coalesce(s, F.lit("-")) for s in shown]), 256)
+    return F.regexp_replace(text, "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "<urn:uuid:$1-$2-5$3-a$4-$5>")
 
 
 def digest(block: Column) -> Column:
@@ -43,6 +40,10 @@ def plain_text(html: Column) -> Column:
 
     Of a hidden element without its end everything to the end of the page is dropped, as is an unfinished comment.
     """
+    return _decoded(_without_markup(html))
+
+
+def _without_markup(html: Column) -> Column:
     text = F.coalesce(html, F.lit(""))
     text = F.regexp_replace(text, "(?s)<!--.*?(?:-->|\\z)", "")
     text = F.regexp_replace(text, f"(?is)<({HIDDEN})(?:\\s[^>]*)?>.*?(?:</\\1\\s*>|\\z)", "\n")
@@ -50,8 +51,12 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, "</?[A-Za-z!?][^>]*>", "")
     for name, shown in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(shown))
-    text = _numeric(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return text
+
+
+def _decoded(text: Column) -> Column:
+    """Numeric references and ``&amp;`` decoded, after all others, and white space squeezed."""
+    text = F.replace(_numeric(text), F.lit("&amp;"), F.lit("&"))
     text = F.regexp_replace(text, SPACES, " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(text, "^[ \\n]+|[ \\n]+\\z", "")
@@ -71,13 +76,16 @@ def _numeric(text: Column) -> Column:
         usable = code.isNotNull() & (code > 0) & (code < 65536) & ~code.between(0xD800, 0xDFFF)
         return F.when(usable, F.concat(F.decode(F.unhex(bytes_), "UTF-16BE"), tail)).otherwise(piece)
 
-    return F.array_join(F.transform(pieces, decode), "")
+    return F.when(text.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
 
 def title(html: Column) -> Column:
     """Text of the first title element, empty without one."""
-    found = F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>", 1)
-    return plain_text(found)
+    return plain_text(_title(html))
+
+
+def _title(html: Column) -> Column:
+    return F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>", 1)
 
 
 def links(html: Column) -> Column:
@@ -92,13 +100,13 @@ def responses(
     """Response records of crawled pages: ``record_id``, ``target_uri``, ``warc_date``, ``http_headers``, ``payload``.
 
     Without a column of dates or of header texts they are null. The id follows from the target, the date and the
-    payload; repeated pages are one response each, with the same id.
+    payload's digest; repeated pages are one response each, with the same id.
     """
     at = col(date) if date else F.lit(None).cast("string")
     head = col(headers) if headers else F.lit(None).cast("string")
     return pages.select(
         "*",
-        record_id(F.lit("response"), col(url), at, col(html)).alias("record_id"),
+        record_id(F.lit("response"), col(url), at, digest(col(html))).alias("record_id"),
         col(url).alias("target_uri"),
         at.alias("warc_date"),
         head.alias("http_headers"),
@@ -124,12 +132,14 @@ def derive(records: DataFrame, keep: list[str] = ()) -> DataFrame:
         "warc_date",
         "http_headers",
         digest(F.col("payload")).alias("source_digest"),
-        plain_text(F.col("payload")).alias("text"),
-        title(F.col("payload")).alias("title"),
+        _without_markup(F.col("payload")).alias("text"),
+        _without_markup(_title(F.col("payload"))).alias("title"),
         links(F.col("payload")).alias("links"),
         F.regexp_extract(F.coalesce("payload", F.lit("")), "(?i)<meta\\s[^>]*charset\\s*=\\s*\"?([A-Za-z0-9_-]+)", 1).alias("charset"),
         F.regexp_extract(F.coalesce("payload", F.lit("")), "(?i)<html\\s[^>]*lang\\s*=\\s*\"?([A-Za-z0-9-]+)", 1).alias("lang"),
     )
+    # in a step of its own: what the step before made is computed once for all its uses
+    parts = parts.withColumns({"text": _decoded(F.col("text")), "title": _decoded(F.col("title"))})
     parts = parts.withColumn("conversion_id", record_id(F.lit("conversion"), F.col("record_id")))
 
     def line(name: str, value: Column) -> Column:
