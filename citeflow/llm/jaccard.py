@@ -356,7 +356,9 @@ def jaccard_components(
 
     known = listed.join(classes.withColumnRenamed("id", "node"), "node", "left")
     known = known.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
-    smallest = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"))
+    smallest = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
+    # stored, and only where it says something, so that the join below is one whose large classes Spark can split
+    smallest = stored(smallest.where("rows > 1").select("class", "low"), "classes")
     named = known.join(smallest, "class", "left").select("id", "n", F.coalesce("low", "id").alias("component"))
     unnamed = everything.where("first and id is null").select("id", "n", F.col("id").alias("component"))
     return named.unionByName(unnamed).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -127,8 +127,9 @@ def _search(k: int, width: int):
 def _meet(queries: DataFrame, vectors: DataFrame, blocks: DataFrame, n_parts: int, k: int, width: int) -> DataFrame:
     """Best k of each query in each block that its bound lets it reach; ``blocks`` has a row per block of vectors."""
     reached = F.col("bound").isNull() | (F.col("bound") <= F.col("q_length") * F.col("longest") * F.lit(1 + 1e-9))
-    sent = queries.join(blocks, reached).select("query_id", "bound", "q", "part", "bucket", "block")
     parts = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part")
+    reach = blocks.select("bucket", "block", "longest", parts)
+    sent = queries.join(reach, "part").where(reached).select("query_id", "bound", "q", "part", "bucket", "block")
     met = vectors.join(blocks, ["bucket", "block"]).select("vec_id", "v", "bucket", "block", parts)
     key = ["part", "bucket", "block"]
     found = sent.groupBy(*key).cogroup(met.groupBy(*key))
