@@ -168,12 +168,13 @@ def train(
     chosen = known.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).withColumn("place", place)
     chosen = chosen.select("lang", "place", by_batch(features, "struct<buckets:array<int>,counts:array<float>>", F.col("text")).alias("f"))
     rows_, held = [], []
-    for r in sorted(chosen.select("lang", "place", "f.*").collect(), key=lambda r: (r["place"], r["lang"])):
-        buckets = np.array(r["buckets"], dtype=np.int64)
+    sample = chosen.select("lang", "place", "f.*").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+    places, names = sample["place"].to_pylist(), sample["lang"].to_pylist()
+    for place_, name, b, c in zip(places, names, sample["buckets"], sample["counts"], strict=True):
+        buckets = b.values.to_numpy()
         if len(buckets):
-            x = model.values(buckets, np.array(r["counts"], dtype=np.float32))
-            part = held if r["place"] // (1 << 30) % 5 == 0 else rows_
-            part.append((buckets, x, model.languages.index(r["lang"])))
+            part = held if place_ // (1 << 30) % 5 == 0 else rows_
+            part.append((buckets, model.values(buckets, c.values.to_numpy()), model.languages.index(name)))
     model.weights, model.bias = fit_ftrl(rows_ or held, len(model.languages))
     if held:
         logits = np.stack([x @ model.weights[b] + model.bias for b, x, _ in held])
