@@ -23,4 +23,5 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 1
-    assert e.queries().keys() == e.oracle_sql().keys()
+    assert e.oracle_sql().keys() <= e.queries().keys()
+    assert QUERIES.keys() <= e.queries().keys() and ORACLES.keys() <= e.oracle_sql().keys()
