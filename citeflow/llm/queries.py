@@ -112,6 +112,76 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3
+                                THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM words),
+        elements AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM elements a JOIN elements b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM pairs JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y
+            WHERE 100 * c >= 90 * (len(p.s) + len(q.s) - c)),
+        reached(id, other) AS (
+            SELECT doc_id, doc_id FROM sets
+            UNION
+            SELECT id, y FROM reached JOIN (FROM links UNION ALL SELECT y, x FROM links) e ON e.x = other)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id
+        FROM sets JOIN (SELECT id, min(other) AS low FROM reached GROUP BY id) ON id = doc_id
+    """,
+    "op8_quality_rules": r"""
+        WITH words AS (
+            SELECT doc_id, lang, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+        repeated AS (
+            SELECT doc_id, count(DISTINCT i + d) AS n FROM windows, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words),
+        counts AS (
+            SELECT doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+                   length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_capitals
+            FROM words JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+        shares AS (
+            SELECT doc_id, lang, unnest(['symbol', 'line', 'word', 'capital']) AS rule,
+                   unnest([CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END,
+                           CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END,
+                           CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END,
+                           CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0.0 END]) AS share
+            FROM counts),
+        labelled AS (
+            SELECT lang, rule, share, good
+            FROM shares JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
+        tested AS (
+            SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND share > cutoff) AS k,
+                   count(*) FILTER (WHERE NOT good AND share > cutoff) AS bad
+            FROM labelled, (SELECT unnest(range(1, 50)) / 50 AS cutoff) GROUP BY ALL HAVING n > 0),
+        proven AS (
+            SELECT lang, rule, cutoff, bad - k AS gain
+            FROM tested, (SELECT count(*) AS m FROM (SELECT DISTINCT lang, rule FROM tested))
+            WHERE bad > 0 AND k < n * 0.005 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(
+                lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) <= 0.05 / m),
+        cutoffs AS (SELECT lang, rule, cutoff FROM proven QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1),
+        rejected AS (
+            SELECT DISTINCT doc_id FROM shares s JOIN cutoffs c ON s.lang IS NOT DISTINCT FROM c.lang AND s.rule = c.rule WHERE share > cutoff)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+               CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+        FROM counts
+    """,
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
