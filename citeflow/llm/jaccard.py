@@ -7,8 +7,9 @@ similar sets must be found in some segment. Which segments get credits is decide
 rows to shuffle and collisions to look into. Sets that meet in a segment are compared exactly, in bounded blocks.
 
 Equal sets are one node from the start. Sets that meet are joined into candidate groups through the smallest node of
-each subset, never by listing pairs; the comparison in a group reports only links that connect something new. Two sets
-are told apart by 64-bit hashes of shingles and of sets.
+each subset, never by listing pairs; parity sketches split the groups further, without losing a link, before texts are
+compared; each comparison reports only what connects something new. Two sets are told apart by 64-bit hashes of
+shingles and of sets.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BAND_STEP = 1.4
 DELETION_SIZE = 64
 #: What a collision costs, in rows: it may lead to an exact comparison.
 COLLISION_COST = 20.0
-#: Shingles that meet in one comparison task from each side.
+#: Shingles that meet in one comparison task from each side (four times as many where sketches stand for them).
 BLOCK_SHINGLES = 1 << 20
 #: A bit filter of this many bits at most goes to the executors; with more to filter the join does without it.
 FILTER_BITS = 1 << 28
@@ -92,7 +93,19 @@ def signatures(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray
     return keys, segment, less
 
 
-_SETS = "n bigint, node bigint, band int, first boolean, subsets array<bigint>, of array<int>, less array<bigint>"
+def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit words; a bit tells whether an odd number of elements fell on it. Bits in which two sketches
+    differ never outnumber the elements in which the sets differ."""
+    bits = (mix(shingles) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=64 * words).astype(np.uint8) & 1).view(np.uint64)
+
+
+def sketch_words(size: int) -> int:
+    """About two bits per element of a set of this size."""
+    return 1 << max(2, math.ceil(math.log2(max(size, 1) / 32 + 1)))
+
+
+_SETS = "n bigint, node bigint, band int, first boolean, sketch binary, subsets array<bigint>, of array<int>, less array<bigint>"
 
 
 def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -109,7 +122,7 @@ def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sizes = np.diff(at)
                 if len(sizes) and (not bands or sizes.max() > bands[-1].high // 2):
                     bands = bands_up_to(max(64, 2 * int(sizes.max())), num, den)
-                take, size, node, number, first = [], [], [], [], []
+                take, size, node, number, first, sketch = [], [], [], [], [], []
                 columns: list[list[np.ndarray]] = [[], [], []]
                 for k in range(len(sizes)):
                     some = shingles[at[k] : at[k + 1]]
@@ -124,6 +137,7 @@ def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         node.append(digest)
                         number.append(band.number if band else -1)
                         first.append(j == 0)
+                        sketch.append(parity_sketch(some, sketch_words(band.high)).tobytes() if band else b"")
 
                 def nested(parts: list[np.ndarray], kind: type) -> pa.Array:
                     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -137,11 +151,12 @@ def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         pa.array(_signed(np.array(node, dtype=np.uint64))),
                         pa.array(number, pa.int32()),
                         pa.array(first),
+                        pa.array(sketch, pa.binary()),
                         nested(columns[0], np.int64),
                         nested(columns[1], np.int32),
                         nested(columns[2], np.int64),
                     ],
-                    names=["id", "n", "node", "band", "first", "subsets", "of", "less"],
+                    names=["id", "n", "node", "band", "first", "sketch", "subsets", "of", "less"],
                 )
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, {_SETS}")
@@ -238,12 +253,8 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray | None, num: int, de
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
-    words = int(np.clip(1 << int(np.ceil(np.log2(max(sizes.max(initial=1), 1) / 16 + 1))), 4, 128))
-    sketch = np.zeros((len(sets), words), dtype=np.uint64)
-    for k, o in enumerate(order):
-        bit = mix(sets[o]) % np.uint64(64 * words)
-        odd = np.bincount(bit.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
-        sketch[k] = np.packbits(odd).view(np.uint64)
+    words = min(128, sketch_words(2 * int(sizes.max(initial=1))))
+    sketch = np.array([parity_sketch(sets[o], words) for o in order]).reshape(len(sets), words)
     sides = side[order] if side is not None else None
     root = np.arange(len(sets))
     links = []
@@ -268,6 +279,60 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray | None, num: int, de
     return links
 
 
+def _stars(links: list[tuple[int, int]], names: list[int]) -> pa.Table:
+    """Each end of a link with the smallest name it is connected to."""
+    low = {i: i for link in links for i in link}
+
+    def root(i: int) -> int:
+        while low[i] != i:
+            low[i] = low[low[i]]
+            i = low[i]
+        return i
+
+    for i, j in links:
+        i, j = root(i), root(j)
+        low[max(i, j, key=names.__getitem__)] = min(i, j, key=names.__getitem__)
+    ends = [root(i) for i in low]
+    return pa.table({"a": pa.array([names[i] for i in low], pa.int64()), "b": pa.array([names[j] for j in ends], pa.int64())})
+
+
+def _alike(num: int, den: int):
+    """Connects the sets of a task that their sketches do not tell apart; they are of one band."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, sizes = table["member"].to_pylist(), table["n"].to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)[order]
+        block = table["block"].to_numpy()[order]
+        sides = block if len(set(block.tolist())) > 1 else None
+        root, links = np.arange(len(sizes)), []
+        for k in range(1, len(sizes)):
+            at = int(np.searchsorted(sizes, -(-num * sizes[k] // den)))
+            open_ = root[at:k] != root[k]
+            if sides is not None:
+                open_ &= sides[at:k] != sides[k]
+            near = at + np.flatnonzero(open_)
+            apart = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            near = near[apart * (den + num) <= (den - num) * (sizes[near] + sizes[k])]
+            if len(near):
+                links += [(int(order[j]), int(order[k])) for j in near[np.unique(root[near], return_index=True)[1]]]
+                root[np.isin(root, root[near])] = root[k]
+        return _stars(links, names)
+
+    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    return run
+
+
+def _tasks(members: DataFrame, name: str, block_shingles: int) -> DataFrame:
+    """Each member once per pair of blocks of its group that it takes part in: ``block`` and the pair ``i``, ``j``."""
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("n_blocks"))
+    placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(1), name), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    pair = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return placed.select("*", other).select("*", *pair).drop("other", "n_blocks")
+
+
 def _verify(n: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         sets, seen, blocks = [], set(), []
@@ -288,21 +353,7 @@ def _verify(n: int, num: int, den: int):
                     blocks.append(block[row + k])
         side = np.array(blocks) if len(set(blocks)) > 1 else None
         links = links_in_block(sets, side, num, den) if len(sets) > 1 else []
-        low = {i: i for link in links for i in link}
-        for i, j in links:
-            while low[i] != i:
-                i = low[i]
-            while low[j] != j:
-                j = low[j]
-            low[max(i, j, key=kept.__getitem__)] = min(i, j, key=kept.__getitem__)
-        ends = []
-        for i in low:
-            j = i
-            while low[j] != j:
-                low[j] = low[low[j]]
-                j = low[j]
-            ends.append(j)
-        return pa.table({"a": pa.array([kept[i] for i in low], pa.int64()), "b": pa.array([kept[j] for j in ends], pa.int64())})
+        return _stars(links, kept)
 
     run.__annotations__ = {"table": pa.Table, "return": pa.Table}
     return run
@@ -333,19 +384,21 @@ def jaccard_components(
     met = found.join(shared, "key").where("node <> low").select("node", "low", "band").distinct()
     met = stored(met.select("node", "low", "band", F.xxhash64("node", "band").alias("a"), F.xxhash64("low", "band").alias("b")), "candidates")
     groups = connected_components(met)
-    members = met.select("node", F.col("a").alias("id")).unionByName(met.select(F.col("low").alias("node"), F.col("b").alias("id"))).distinct()
-    members = stored(members.join(groups, "id").select("node", F.col("component").alias("group")), "members")
+    ends = [met.select(F.col(node).alias("node"), "band", F.col(end).alias("id")) for node, end in (("node", "a"), ("low", "b"))]
+    members = ends[0].unionByName(ends[1]).distinct().join(groups, "id").withColumnRenamed("component", "group")
+    members = stored(members.withColumnRenamed("id", "member"), "members")
+
+    # most that met are told apart by their sketches, a twentieth of their texts; texts travel for the others only
+    sketches = sets.where("band >= 0").select("node", "band", "n", "sketch").join(members, ["node", "band"]).dropDuplicates(["member"])
+    compared = _tasks(sketches.drop("node", "band"), "member", 4 * BLOCK_SHINGLES).groupBy("group", "i", "j")
+    alike = connected_components(compared.applyInArrow(_alike(num, den), "a bigint, b bigint"))
+    alike = members.join(alike.withColumnRenamed("id", "member"), "member")
+    members = stored(alike.select("node", F.col("component").alias("group")).distinct(), "alike")
 
     wanted = members.select("node").distinct()
     texts = listed.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     texts = stored(texts, "representatives")
-    sized = members.join(texts, "node")
-    blocks = sized.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    placed = sized.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    tasks = placed.select("group", "node", "id", "block", other).select(
-        "group", "node", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    tasks = _tasks(members.join(texts, "node"), "node", BLOCK_SHINGLES)
     hashed = texts.select(F.xxhash64("id").alias("h"))
     near = bit_filter(hashed, "h")
     source = rows.withColumn("h", F.xxhash64("id"))
