@@ -76,7 +76,7 @@ def pair_data(spark: SparkSession, args) -> None:
     known = datasets.known_passages(readers.read_passages(spark, args.passages), label_map)
     cols = ["passage_id", "destination_context", *(["dest_court"] if params.enriched else [])]
     cols += ["source_court", "source_date"] if args.source_fields else []
-    split = datasets.prepare(_contexts(spark, args), cols, params, rows)
+    split = materialise(datasets.prepare(_contexts(spark, args), cols, params, rows))  # the join below reads it twice
     made = datasets.pair_dataset(split, known, "dest_court" if params.enriched else None, source_fields=args.source_fields)
     if args.instruction:
         enriched = TASK_COURT if args.instruction == "query" else TASK_COURT_DATE
