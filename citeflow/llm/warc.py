@@ -7,13 +7,17 @@ WARC/1.1 files by Spark's text writer.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm.frames import col
 
-#: Named character references that are decoded; numeric ones are decoded up to U+FFFF.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®"}
+#: Named character references that count without a semicolon too, the longer ones first.
+SHORT_NAMES = sorted((name for name in html5 if name[-1] != ";"), key=lambda name: (-len(name), name))
+#: What numeric references to 0x80 up to 0x9F stand for: the characters of Windows-1252, where it has one.
+CONTROLS = {chr(c): shown for c in range(0x80, 0xA0) if (shown := bytes([c]).decode("cp1252", "ignore"))}
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = "script|style|noscript|template|svg|head"
 BREAKING = (
@@ -48,35 +52,61 @@ def _without_markup(html: Column) -> Column:
     text = F.regexp_replace(text, "(?s)<!--.*?(?:-->|\\z)", "")
     text = F.regexp_replace(text, f"(?is)<({HIDDEN})(?:\\s[^>]*)?>.*?(?:</\\1\\s*>|\\z)", "\n")
     text = F.regexp_replace(text, f"(?i)</?(?:{BREAKING})(?:\\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, "</?[A-Za-z!?][^>]*>", "")
-    for name, shown in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(shown))
-    return text
+    return F.regexp_replace(text, "</?[A-Za-z!?][^>]*>", "")
 
 
 def _decoded(text: Column) -> Column:
-    """Numeric references and ``&amp;`` decoded, after all others, and white space squeezed."""
-    text = F.replace(_numeric(text), F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, SPACES, " ")
+    """Character references decoded and white space squeezed."""
+    text = F.regexp_replace(_references(text), SPACES, " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(text, "^[ \\n]+|[ \\n]+\\z", "")
 
 
-def _numeric(text: Column) -> Column:
-    """Decode ``&#233;`` and ``&#xE9;``: the text is cut before each reference, and each piece begins with its own."""
-    pieces = F.split(text, "(?=&#(?:[0-9]{1,5}|[xX][0-9A-Fa-f]{1,4});)")
+def _references(text: Column) -> Column:
+    """Decode ``&eacute;``, ``&eacute``, ``&#233;`` and ``&#xE9;`` as HTML does, each once: the text is cut at each
+    ``&``, and each piece begins with its own reference. What names nothing stays."""
+    pieces = F.split(text, "&")
 
     def decode(piece: Column) -> Column:
-        number = F.regexp_extract(piece, "^&#([0-9]{1,5});", 1)
-        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,4});", 1)
-        code = F.when(number != "", number.cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
-        rest = F.substring_index(piece, ";", 1)
-        tail = F.substring(piece, F.length(rest) + 2, F.length(piece))
-        bytes_ = F.lpad(F.lower(F.hex(code)), 4, "0")
-        usable = code.isNotNull() & (code > 0) & (code < 65536) & ~code.between(0xD800, 0xDFFF)
-        return F.when(usable, F.concat(F.decode(F.unhex(bytes_), "UTF-16BE"), tail)).otherwise(piece)
-
-    return F.when(text.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+        def put(reference: str, shown) -> Column:
+            found = F.regexp_extract(piece, reference, 0)
+            return F.concat(shown(found), F.substring(piece, F.length(found) + 1, F.length(piece)))
+
+        number = put("^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", _numbered)
+        name = F.coalesce(put("^[A-Za-z][A-Za-z0-9]*;", _named), put(f"^(?:{'|'.join(SHORT_NAMES)})", _short_named))
+        return F.coalesce(F.when(piece.startswith("#"), number).otherwise(name), F.concat(F.lit("&"), piece))
+
+    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decode)
+    return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))).otherwise(text)
+
+
+def _table(names: list[str]) -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{name}\x01{html5[name]}" for name in names)), F.lit("\x02"), F.lit("\x01"))
+
+
+def _named(name: Column) -> Column:
+    """What a name of HTML's table with its semicolon stands for, null for others. The table is one literal, an array of
+    a map for each first letter."""
+    letters = [chr(c) for c in range(ord("A"), ord("z") + 1)]
+    table = F.array(*[_table([n for n in html5 if n[0] == letter and n[-1] == ";"]) for letter in letters])
+    return F.try_element_at(F.get(table, F.ascii(name) - ord("A")), name)
+
+
+def _short_named(name: Column) -> Column:
+    return F.try_element_at(_table(SHORT_NAMES), name)
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``#233;`` or ``#xE9;``, U+FFFD for those that no character has, null for an empty text."""
+    decimal = F.regexp_extract(reference, "^#(?:0+(?=[0-9]))?([0-9]+)", 1)
+    hexadecimal = F.regexp_extract(reference, "^#[xX](?:0+(?=[0-9A-Fa-f]))?([0-9A-Fa-f]+)", 1)
+    code = F.when(F.length(decimal).between(1, 7), decimal.cast("int"))
+    code = code.when(F.length(hexadecimal).between(1, 6), F.conv(hexadecimal, 16, 10).cast("int"))
+    usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    # the mark of the byte order comes first, so that U+FEFF is not taken for one
+    shown = F.decode(F.unhex(F.concat(F.lit("0000feff"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+    shown = F.translate(shown, "".join(CONTROLS), "".join(CONTROLS.values()))
+    return F.when(usable, shown).when(reference != "", F.lit("\ufffd"))
 
 
 def title(html: Column) -> Column:

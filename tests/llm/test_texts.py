@@ -2,6 +2,7 @@
 
 import glob
 import gzip
+import html.entities
 import random
 import re
 import zlib
@@ -162,3 +163,16 @@ def test_warc(spark, tmp_path):
         data, records = data[size + 4 :], records + 1
     assert records == 10
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
+
+
+def test_warc_decodes_all_references(spark):
+    numbers = [9, 34, 128, 133, 150, 159, 233, 0xFEFF, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFFFD, 0x10000, 128512, 0x10FFFD, 0x110000, 99999999, 0]
+    odd = ["&middot; &mdash;&rsquo;&eacute;&euro;", "&#128512;&#x1F600;&#X1f600", "&amp;lt; &amp;amp; &#38;lt; &amp;#65;", "&copy 2 &notit; &notin; &AMPx",
+           "& && &; &#; &#x; &#xg; &nosuch; &nosuch &Z", "&#000000000065;&#x0000000041;", "a&", "&", "&fjlig;&NotEqualTilde;&CounterClockwiseContourIntegral;", "[&zwj;]^&_;"]
+    some = [*odd, *[f"x&{name}y" for name in html.entities.html5], *[f"&#{n};-&#x{n:X};" for n in numbers]]
+    got = spark.createDataFrame(list(enumerate(some)), "i int, text string").select("i", warc._references(F.col("text")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == [html.unescape(t) for t in some]
+    page = spark.createDataFrame([("u", "<title>T &middot; U</title><p>a &middot; b&mdash;&#128512;</p>")], "url string, html string")
+    got = {r.warc_type: r for r in warc.derive(warc.responses(page)).collect()}
+    assert got["conversion"].content == "T · U\na · b—😀" and got["metadata"].content.startswith("title: T · U\r\n")
+    assert got["conversion"].content_length == len("T · U\na · b—😀".encode())
