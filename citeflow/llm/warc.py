@@ -12,17 +12,36 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.frames import col
+from citeflow.llm.frames import col, free_name
 
 #: Named character references that count without a semicolon too, the longer ones first.
 SHORT_NAMES = sorted((name for name in html5 if name[-1] != ";"), key=lambda name: (-len(name), name))
 #: What numeric references to 0x80 up to 0x9F stand for: the characters of Windows-1252, where it has one.
 CONTROLS = {chr(c): shown for c in range(0x80, 0xA0) if (shown := bytes([c]).decode("cp1252", "ignore"))}
-#: Elements whose content is no text, and elements that end a line.
-HIDDEN = "script|style|noscript|template|svg|head"
+#: What is taken out first, in one pass from the left, so that none is looked for inside another: comments; scripts and
+#: styles, to the end of the page where their end is missing; other hidden elements that have an end. Titles and text
+#: areas hold no markup and are stepped over. A hidden element leaves ``<!name>``, a line end.
+HIDDEN = (
+    "<!--(?:-?>|.*?(?:--!?>|\\z))"
+    "|<(script|style)(?:\\s[^>]*)?>.*?(?:</\\1\\s*>|\\z)"
+    "|<(noscript|template|svg(?![^>]*/>))(?:\\s[^>]*)?>.*?</\\2\\s*>"
+    "|(<(title|textarea)(?:\\s[^>]*)?>.*?</\\4\\s*>)"
+)
+#: A head, to its end tag or to the first thing that belongs in the body.
+HEAD = (
+    "<head(?:\\s[^>]*)?>"
+    "(?:\\s++|<!(?!doctype)[^>]*>|</?(?:base|basefont|bgsound|link|meta|noframes)(?:[\\s/][^>]*)?>|<title(?:\\s[^>]*)?>.*?</title\\s*>)*+"
+    "(?:</head\\s*>)?"
+)
+#: Elements that end a line.
 BREAKING = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|"
-    "nav|ol|p|pre|section|table|td|th|title|tr|ul"
+    "nav|ol|p|pre|section|table|td|th|title|tr|ul|head|!script|!style|!noscript|!template|!svg"
+)
+#: The target of an anchor as written, with its quotes: all attributes before it are stepped over.
+HREF = (
+    "(?is)<a(?=[\\s/])(?:[\\s/]*+(?!href\\s*=)[^\\s=>/]+(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*))?)*+"
+    "[\\s/]*href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*)"
 )
 SPACES = "[ \\t\\x0B\\f\\r\\u00A0]+"
 
@@ -42,15 +61,18 @@ def plain_text(html: Column) -> Column:
     """Visible text: comments and hidden elements dropped, breaking tags as line ends, other tags dropped, character
     references decoded, white space squeezed, empty lines dropped. Null gives empty text.
 
-    Of a hidden element without its end everything to the end of the page is dropped, as is an unfinished comment.
+    A script, a style or a comment without its end runs to the end of the page, a head without it to the first thing
+    that belongs in the body; of other hidden elements without an end only the tag is dropped.
     """
-    return _decoded(_without_markup(html))
+    return _decoded(_without_markup(_without_hidden(html)))
+
 
+def _without_hidden(html: Column) -> Column:
+    return F.regexp_replace(F.coalesce(html, F.lit("")), f"(?is){HIDDEN}", "<!$1$2>$3")
 
-def _without_markup(html: Column) -> Column:
-    text = F.coalesce(html, F.lit(""))
-    text = F.regexp_replace(text, "(?s)<!--.*?(?:-->|\\z)", "")
-    text = F.regexp_replace(text, f"(?is)<({HIDDEN})(?:\\s[^>]*)?>.*?(?:</\\1\\s*>|\\z)", "\n")
+
+def _without_markup(text: Column) -> Column:
+    text = F.regexp_replace(text, f"(?is){HEAD}", "\n")
     text = F.regexp_replace(text, f"(?i)</?(?:{BREAKING})(?:\\s[^>]*)?/?>", "\n")
     return F.regexp_replace(text, "</?[A-Za-z!?][^>]*>", "")
 
@@ -111,17 +133,22 @@ def _numbered(reference: Column) -> Column:
 
 def title(html: Column) -> Column:
     """Text of the first title element, empty without one."""
-    return plain_text(_title(html))
+    return _decoded(_without_markup(_title(_without_hidden(html))))
 
 
 def _title(html: Column) -> Column:
-    return F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>", 1)
+    return F.regexp_extract(html, "(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>", 1)
 
 
 def links(html: Column) -> Column:
-    """Targets of all anchors, in order, as written but for ``&amp;``."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*\"([^\"]*)\""), 1)
-    return F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    """Targets of all anchors outside of comments and scripts, in order, as written but for ``&amp;``."""
+    return _links(_without_hidden(html))
+
+
+def _links(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(HREF), 1)
+    bare = lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(found, lambda x: F.replace(bare(x), F.lit("&amp;"), F.lit("&")))
 
 
 def responses(
@@ -155,16 +182,17 @@ def derive(records: DataFrame, keep: list[str] = ()) -> DataFrame:
     and digest). A null payload is an empty one, null targets, dates and headers stay null; repeated responses give
     repeated records. No shuffle: both records come from one pass over the payload.
     """
-    parts = records.select(
+    shown = free_name(records, "_shown")
+    parts = records.withColumn(shown, _without_hidden(F.col("payload"))).select(
         *[col(c) for c in keep],
         "record_id",
         "target_uri",
         "warc_date",
         "http_headers",
         digest(F.col("payload")).alias("source_digest"),
-        _without_markup(F.col("payload")).alias("text"),
-        _without_markup(_title(F.col("payload"))).alias("title"),
-        links(F.col("payload")).alias("links"),
+        _without_markup(F.col(shown)).alias("text"),
+        _without_markup(_title(F.col(shown))).alias("title"),
+        _links(F.col(shown)).alias("links"),
         F.regexp_extract(F.coalesce("payload", F.lit("")), "(?i)<meta\\s[^>]*charset\\s*=\\s*\"?([A-Za-z0-9_-]+)", 1).alias("charset"),
         F.regexp_extract(F.coalesce("payload", F.lit("")), "(?i)<html\\s[^>]*lang\\s*=\\s*\"?([A-Za-z0-9-]+)", 1).alias("lang"),
     )

@@ -176,3 +176,33 @@ def test_warc_decodes_all_references(spark):
     got = {r.warc_type: r for r in warc.derive(warc.responses(page)).collect()}
     assert got["conversion"].content == "T · U\na · b—😀" and got["metadata"].content.startswith("title: T · U\r\n")
     assert got["conversion"].content_length == len("T · U\na · b—😀".encode())
+
+
+def test_warc_unclosed_elements_and_links(spark):
+    pages = {
+        "<html><head><meta charset=utf-8><title>T</title><link rel=x><body>a<p>b": ("a\nb", []),
+        "<head><title>T</title><script>x</script><div>a</div>b": ("a\nb", []),
+        "<head>\n<title>T</title>\n a": ("a", []),
+        "<head><title>T</title></head>a": ("a", []),
+        "<HEAD></HEAD><header>h</header>a": ("h\na", []),
+        "a<script>var s = '<!--';</script>b<p>c</p>": ("a\nb\nc", []),
+        "a<!-- <script> -->b<style>/* <!-- */</style>c": ("ab\nc", []),
+        "a<!-->b<!--->c<!-- x --!>d": ("abcd", []),
+        "a<script>b": ("a", []),
+        "a<!-- b": ("a", []),
+        "a<noscript>b<p>c": ("ab\nc", []),
+        "a<svg/>b<svg><g>x</g></svg>c<template>y</template>d": ("ab\nc\nd", []),
+        "<title>The <script> tag</title>a": ("The tag\na", []),
+        "<a href='x y'>1</a><a class=c href=/z?a&amp;b>2</a><A\nHREF = \"q'\">3</A>": ("123", ["x y", "/z?a&b", "q'"]),
+        "<a title=\"no href='n'\" data-href=m href=h/>1</a><a class='c'href=k>2</a><abbr href=n>3</abbr><a>4</a><a href=''>": ("1234", ["h/", "k", ""]),
+        "<!-- <a href=n> --><script>'<a href=' + u + '>'</script><a href=y>1</a>": ("1", ["y"]),
+        "<head>" + "<meta name=a>" * 20000 + "<p>a" + "<a" + " b=c" * 20000 + " href=x>": ("a", ["x"]),
+    }
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "_shown int, url string, html string")
+    got = {(r._shown, r.warc_type): r.content for r in warc.derive(warc.responses(df), keep=["_shown"]).collect()}
+    for i, (text, found) in enumerate(pages.values()):
+        assert got[i, "conversion"] == text
+        lines = got[i, "metadata"].split("\r\n")
+        assert f"links: {len(found)}" in lines and [x[9:] for x in lines if x.startswith("outlink: ")] == found
+    both = df.select("_shown", warc.plain_text(F.col("html")).alias("t"), warc.links(F.col("html")).alias("l")).orderBy("_shown").collect()
+    assert [(r.t, r.l) for r in both] == list(pages.values())
