@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm.arrays import Words, shingle_hashes, text_slices
-from citeflow.llm.frames import by_batch, col, free_name
+from citeflow.llm.frames import by_batch, col, free_name, stored
 
-#: Bound of the fitted sample: documents of each label, chosen by a hash. Three quarters label tokens and train the chain,
-#: the rest fits the document score.
-SAMPLE_PER_LABEL = 1500
+#: Bound of the sample that the chain and the score are fitted on: documents of each label, chosen by a hash. Three
+#: quarters train the chain, the rest fits the document score. Which features mark toxic tokens is counted over all rows.
+SAMPLE_PER_LABEL = 2000
 #: Bytes of a word's beginning that are features beside the whole word (0).
 BEGINNINGS = (0, 4, 5, 6, 7, 8, 10)
 #: A feature marks toxic tokens when it is in this many toxic documents (copies of one text count once), its odds there
@@ -136,29 +136,60 @@ def copies(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return smallest
 
 
-def marked_features(found: np.ndarray, toxic: np.ndarray, of: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features that mark toxic tokens (ascending) and the tokens of toxic documents that have one.
+def _group(text: Column) -> Column:
+    """``copies`` of each text as a column."""
 
-    ``found`` has one feature per token, ``toxic`` says for each document whether it is toxic, ``of`` each token's
-    document, ``group`` is shared by copies of a document.
-    """
-    values, inverse = np.unique(found, return_inverse=True)
-
-    def groups_with(label: bool) -> tuple[np.ndarray, int]:
-        numbers, number = np.unique(group[toxic == label], return_inverse=True)
-        of_document = np.zeros(len(toxic), dtype=np.int64)
-        of_document[toxic == label] = number
-        mine = toxic[of] == label
-        pairs = np.unique(inverse[mine].astype(np.int64) * max(len(numbers), 1) + of_document[of[mine]])
-        return np.bincount(pairs // max(len(numbers), 1), minlength=len(values)), max(len(numbers), 1)
-
-    bad, n_bad = groups_with(True)
-    good, n_good = groups_with(False)
-    log_odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    expected = (bad + good) * n_bad / (n_bad + n_good)
-    z = (bad - expected) / np.sqrt(np.maximum(expected * n_good / (n_bad + n_good), 1e-9))
-    marked = (bad >= LEAST_DOCUMENTS) & (log_odds >= np.log(LEAST_ODDS)) & (z >= LEAST_Z)
-    return values[marked], marked[inverse] & toxic[of]
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            each = [tokens(offsets, data) for _, offsets, data in text_slices(texts)]
+            group = [copies(words.hashes(), words.begins).view(np.int64) for words in each]
+            yield pa.array(np.concatenate([*group, np.zeros(0, dtype=np.int64)]))
+
+    return by_batch(run, "bigint", text)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """In how many documents a feature is: ``toxic``, ``found``, ``grp`` and ``n``. Documents without copies are counted
+    together, with a null group; those of a ``shared`` group come one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, grp, shared = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "grp", "shared"))
+            for row, offsets, data in text_slices(batch.column("text")):
+                words, some = tokens(offsets, data), slice(row, row + len(offsets) - 1)
+                found = features(words)
+                each = [np.unique(found[i:j]) for i, j in zip(words.begins[:-1], words.begins[1:], strict=True)]
+                alone = [[e for e, t, s in zip(each, toxic[some], shared[some], strict=True) if not s and bool(t) == label] for label in (True, False)]
+                rows = [(label, None, *np.unique(np.concatenate(a), return_counts=True)) for label, a in zip((True, False), alone, strict=True) if a]
+                rows += [(bool(t), g, e, np.ones(len(e), dtype=np.int64)) for e, t, g, s in zip(each, toxic[some], grp[some], shared[some], strict=True) if s]
+                for label, g, values, n in rows:
+                    for k in range(0, len(values), 100_000):
+                        v = pa.array(values[k : k + 100_000].view(np.int64))
+                        columns = [pa.repeat(pa.scalar(label), len(v)), v, pa.repeat(pa.scalar(g, pa.int64()), len(v)), pa.array(n[k : k + 100_000].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, ["toxic", "found", "grp", "n"])
+
+    return docs.select("toxic", "text", "grp", "shared").mapInArrow(run, "toxic boolean, found bigint, grp bigint, n bigint")
+
+
+def marked_features(rows: DataFrame) -> np.ndarray:
+    """The features that mark toxic tokens, ascending, counted over all of ``rows`` (``toxic`` and ``text``); copies of one
+    text count once. Only the features that pass reach the driver."""
+    docs = rows.select("toxic", "text", _group(F.col("text")).alias("grp"))
+    groups = stored(docs.groupBy("toxic", "grp").agg((F.count("*") > 1).alias("shared")), "toxic-groups")
+    n = {r["toxic"]: r["n"] for r in groups.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
+    docs = docs.join(groups.where("shared"), ["toxic", "grp"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    counts = _counted(docs).groupBy("toxic", "found", "grp").agg(F.sum("n").alias("n"))
+    times = F.when(F.col("grp").isNull(), F.col("n")).otherwise(1)
+    counts = counts.groupBy("found").agg(
+        F.sum(F.when(F.col("toxic"), times).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("toxic"), times).otherwise(0)).alias("good")
+    )
+    bad, good = F.col("bad"), F.col("good")
+    log_odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
+    expected = (bad + good) * (n_bad / (n_bad + n_good))
+    z = (bad - expected) / F.sqrt(F.greatest(expected * (n_good / (n_bad + n_good)), F.lit(1e-9)))
+    marked = counts.where((bad >= LEAST_DOCUMENTS) & (log_odds >= float(np.log(LEAST_ODDS))) & (z >= LEAST_Z)).select("found").toArrow()
+    return np.sort(marked["found"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def fit_chain(
@@ -204,6 +235,8 @@ def fit_chain(
         expected = np.array([p.sum(), (step[1] * o / mass).sum(), (step[2] * f / mass).sum(), (step[3] * f * o / mass).sum(), p[~after].sum()])
         gradient = np.concatenate([seen_rows - np.bincount(hit_row, weights=p[hit_token], minlength=n_marked), seen - expected])
         gradient -= 0.05 * theta
+        if n_marked:  # a marked feature that the sample hardly has weighs as the others do, not nothing
+            gradient[:n_marked] += 0.05 * weights.mean()
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         theta = theta + RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -229,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     nothing toxic."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(col(key).alias("key")).agg((F.max("toxic") == 1).alias("toxic"))
     rows = docs.select(col(key).alias("key"), col(text).alias("text")).where(F.col("text").isNotNull()).join(known, "key")
+    rows = stored(rows, "toxic-labelled")  # the texts are shuffled for their labels once
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(True) or not counts.get(False):
         return ToxicModel()
@@ -240,35 +274,30 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     scoring = np.array(sample["place"].to_pylist(), dtype=np.int64) // (1 << 30) % 4 == 0
     texts = sample["text"].combine_chunks()
 
-    begins, group = [0], []
-    for _, offsets, data in text_slices(texts):
-        words = tokens(offsets, data)
-        group.append(copies(words.hashes(), words.begins))
-        begins += (words.begins[1:] + begins[-1]).tolist()
-    begins, group = np.array(begins), np.concatenate(group)
-    of = np.repeat(np.arange(len(toxic)), np.diff(begins))
+    learning = rows
     if not (toxic & ~scoring).any() or not (toxic & scoring).any() or not (~toxic & scoring).any():
         scoring[:] = False
+    else:
+        learning = rows.where(F.pmod(F.shiftright(place, 30), F.lit(4)) != 0)
+    model = ToxicModel()
+    model.marked = marked_features(learning)
+
+    begins, hits = [np.zeros(1, dtype=np.int64)], []
+    for _, offsets, data in text_slices(texts):
+        words, first = tokens(offsets, data), begins[-1][-1]
+        begins.append(words.begins[1:] + first)
+        for beginning in BEGINNINGS if len(model.marked) else ():
+            # one feature at a time: all at once would be the sample many times over
+            row = model.rows(words.hashes(beginning or None) + np.uint64(beginning))
+            at = np.flatnonzero(row < len(model.marked))
+            hits.append((at + first, row[at]))
+    begins = np.concatenate(begins)
+    of = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(begins))
     learn, mine = np.flatnonzero(~scoring), np.flatnonzero(~scoring[of])
-    renumbered = np.searchsorted(learn, of[mine])
-
-    def feature(beginning: int) -> np.ndarray:
-        """One feature of every token, made anew when needed: all at once would be the sample many times over."""
-        parts = [tokens(o, d).hashes(beginning or None) for _, o, d in text_slices(texts)]
-        return np.concatenate(parts) + np.uint64(beginning)
-
-    model, labelled, marked = ToxicModel(), np.zeros(len(mine), dtype=bool), []
-    for beginning in BEGINNINGS:
-        some, hit = marked_features(feature(beginning)[mine], toxic[learn], renumbered, group[learn])
-        marked.append(some)
-        labelled |= hit
-    model.marked = np.unique(np.concatenate(marked))
-    hits = []
-    for beginning in BEGINNINGS if len(model.marked) else ():
-        row = model.rows(feature(beginning))
-        at = np.flatnonzero(row < len(model.marked))
-        hits.append((at, row[at]))
     hit_token, hit_row = (np.concatenate(h) for h in zip(*hits, strict=True)) if hits else (np.zeros(0, dtype=np.int64),) * 2
+    labelled = np.zeros(len(of), dtype=bool)
+    labelled[hit_token] = True
+    labelled = (labelled & toxic[of])[mine]
     learned = ~scoring[of[hit_token]]
     learn_begins = np.concatenate([[0], np.cumsum(np.diff(begins)[learn])])
     model.weights, model.chain = fit_chain(

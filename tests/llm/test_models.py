@@ -111,6 +111,48 @@ def test_toxic_words_are_found(spark):
     assert {r.score < 0.5 for r in toxic.score_toxicity(odd, toxic.train(docs.limit(0), labels)).collect()} == {True}
 
 
+def base_marked(rows):
+    """Features that mark toxic tokens, over sets of plain Python."""
+    seen, groups = {True: {}, False: {}}, {True: set(), False: set()}
+    for text, label in rows:
+        data = text.encode()
+        words = toxic.tokens(np.array([0, len(data)]), np.frombuffer(data, dtype=np.uint8))
+        group = int(toxic.copies(words.hashes(), words.begins)[0])
+        groups[label].add(group)
+        for f in set(toxic.features(words).ravel().tolist()):
+            seen[label].setdefault(f, set()).add(group)
+    n_bad, n_good = len(groups[True]), len(groups[False])
+    marked = []
+    for f, of in seen[True].items():
+        bad, good = len(of), len(seen[False].get(f, ()))
+        odds = ((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1))
+        expected = (bad + good) * n_bad / (n_bad + n_good)
+        z = (bad - expected) / math.sqrt(expected * n_good / (n_bad + n_good))
+        if bad >= 5 and odds >= 4 and z >= 5:
+            marked.append(f)
+    return sorted(marked)
+
+
+def test_toxic_words_are_counted_over_all_rows(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1200):
+        words = [rng.choice("abcdefgh") + rng.choice("klmnop") * 3 for _ in range(12)]
+        if i % 3 == 0:
+            words[rng.randrange(12)] = "rarely" if i % 30 == 0 else "Blargh"
+        rows.append((i, " ".join(words)))
+    rows += [(1200 + 3 * i, "one text of many copies sneaky " + "end" * (i % 2)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    told = docs.join(labels, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic")).repartition(5)
+    marked = toxic.marked_features(told).tolist()
+    assert marked == base_marked([(r.text, r.toxic) for r in told.collect()]) and marked
+    # in a sample of 100 documents a label the rare word is in 10 or so: too few to mark it
+    model = toxic.train(docs, labels, per_label=100)
+    spans = toxic.score_toxicity(spark.createDataFrame([(1, "akkk bkkk rarely ckkk")], docs.schema), model).head().spans
+    assert [(s.start, s.end) for s in spans] == [(10, 16)]
+
+
 @pytest.mark.parametrize("spread", [0.05, 3.0])
 def test_top_k(spark, spread):
     rng = np.random.default_rng(4)
