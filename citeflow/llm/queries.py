@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, jaccard, langid, packing, quality, secrets, topk, toxic, urlfilter, warc
+from citeflow.llm import bpe, jaccard, langid, packing, quality, secrets, simhash, topk, toxic, urlfilter, warc
 from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -95,6 +95,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.add_language(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +112,7 @@ QUERIES = {
         op8_quality_rules,
         op9_url_filter,
         op10_language_id,
+        op13_simhash_near_dedup,
     )
 }
 
