@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe, jaccard, langid, packing, prefix_trie, quality, secrets, simhash, topk, toxic, urlfilter, warc
+from citeflow.llm import bpe, jaccard, langid, packing, prefix_trie, quality, secrets, simhash, topk, toxic, turn_repair, urlfilter, warc
 from citeflow.llm.frames import label_share, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -95,6 +95,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.add_language(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -116,6 +120,7 @@ QUERIES = {
         op8_quality_rules,
         op9_url_filter,
         op10_language_id,
+        op11_conversation_repair,
         op12_conversation_trie,
         op13_simhash_near_dedup,
     )
