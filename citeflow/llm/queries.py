@@ -126,7 +126,116 @@ QUERIES = {
     )
 }
 
+#: crc32 has no SQL function: a table of the bytes' remainders, and a fold over an ASCII text's bytes.
+CRC_TABLE = """
+        crc AS (SELECT list(v ORDER BY i) AS remainders FROM (
+            SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                                  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+            FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    fold = "lambda x, y: xor(x >> 8, remainders[(xor(x, y) & 255) + 1])"
+    return f"xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), {fold}), 4294967295)"
+
+
+def _edit(costs_and_audit: str, cost: str, letter: str) -> str:
+    """Nine digits of cost, then the audit: the smaller text is the better prefix."""
+    v = costs_and_audit
+    return f"lpad(CAST(CAST(left({v}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({v}, 10) || '{letter}'"
+
+
+_REPAIR_SQL = rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
+            FROM conversations, crc),
+        hurt AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM coded WHERE code <> 0),
+        placed AS (
+            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+        turns AS (
+            SELECT conv_id, turn, role, text, i,
+                   CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                        WHEN regexp_matches(text, '[^.!? 	-][ 	-]*\z') THEN 't' ELSE 'k' END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM placed),
+        counts AS (
+            SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM turns GROUP BY conv_id),
+        searched AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS none, CAST(NULL AS VARCHAR) AS system, CAST(NULL AS VARCHAR) AS asked, CAST(NULL AS VARCHAR) AS answered
+            FROM conversations
+            UNION ALL
+            SELECT conv_id, i + 1, {_edit("none", "4", "D")},
+                   least({_edit("system", "4", "D")}, CASE WHEN kept AND who = 's' THEN {_edit("none", "cut", "K")} END),
+                   least({_edit("asks", "4", "D")}, CASE WHEN kept AND who = 'u' THEN {_edit("may_ask", "cut", "K")} END, CASE WHEN kept THEN {_edit("may_ask", "3 + cut", "R")} END),
+                   least({_edit("answers", "4", "D")}, CASE WHEN kept AND who = 'a' THEN {_edit("asks", "cut", "K")} END, CASE WHEN kept THEN {_edit("asks", "3 + cut", "R")} END)
+            FROM (
+                SELECT conv_id, i, none, system, asks, least(answered, {_edit("asks", "3", "I")}) AS answers,
+                       least(none, system, answered, {_edit("asks", "3", "I")}) AS may_ask,
+                       left(role, 1) AS who, fault IN ('k', 't') AS kept, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS cut
+                FROM (SELECT s.*, t.role, t.fault, least(s.asked, {_edit("s.none", "3", "I")}, {_edit("s.system", "3", "I")}, {_edit("s.answered", "3", "I")}) AS asks
+                      FROM searched s JOIN turns t ON t.conv_id = s.conv_id AND t.i = s.i + 1))),
+        ended AS (
+            SELECT conv_id, least(none, answered, {_edit("asks", "3", "I")}) AS best
+            FROM (SELECT s.*, least(s.asked, {_edit("s.none", "3", "I")}, {_edit("s.system", "3", "I")}, {_edit("s.answered", "3", "I")}) AS asks
+                  FROM searched s LEFT JOIN counts c ON c.conv_id = s.conv_id WHERE s.i = coalesce(c.n, 0))),
+        edits AS (
+            SELECT conv_id, e, count(*) FILTER (e <> 'I') OVER before AS i, count(*) FILTER (e <> 'D') OVER before AS place
+            FROM (SELECT conv_id, j, substr(best, 9 + j, 1) AS e FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS j FROM ended))
+            WINDOW before AS (PARTITION BY conv_id ORDER BY j)),
+        spoken AS (
+            SELECT e.conv_id, place, e, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text,
+                   max(CASE WHEN e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS systems
+            FROM edits e LEFT JOIN turns t ON t.conv_id = e.conv_id AND t.i = e.i AND e <> 'I' WHERE e <> 'D'),
+        repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - systems) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS whole
+            FROM spoken GROUP BY conv_id)
+        SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(left(best, 9) AS BIGINT) AS cost,
+               substr(best, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM ended LEFT JOIN counts USING (conv_id) LEFT JOIN repaired USING (conv_id)
+    """
+
+_TRIE_SQL = rf"""
+        WITH {CRC_TABLE},
+        turns AS (
+            SELECT conv_id AS c, md5(strlen(r) || ':' || r || t) AS id, strlen(t) AS bytes,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || t)) AS i
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+        convs AS (SELECT c, c - c % 5 AS base, {_crc32("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+        rebuilt AS (
+            SELECT c, id, bytes, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d
+            FROM (SELECT v.c, id, bytes, i, 0 AS own FROM convs v JOIN turns t ON t.c = v.base AND i <= h
+                  UNION ALL SELECT v.c, id, bytes, i, 1 FROM convs v JOIN turns t ON t.c = v.c AND i > h)),
+        members AS (
+            SELECT c, d, bytes, d = max(d) OVER (PARTITION BY c) AS last, string_agg(id, '') OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+            UNION ALL SELECT c, 0, 0, c NOT IN (SELECT c FROM rebuilt), '' FROM convs),
+        nodes AS (
+            SELECT path, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+            FROM members GROUP BY path),
+        linked AS (
+            SELECT n.*, p.path AS above, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND left(k.path, length(n.path)) = n.path) AS n_children
+            FROM nodes n LEFT JOIN nodes p ON p.path = left(n.path, length(n.path) - 32) AND n.depth > 0),
+        below AS (
+            SELECT m.path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+            FROM linked n JOIN members m ON m.c = n.conv_id AND m.d <= n.depth GROUP BY m.path)
+        SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM linked JOIN below USING (path)
+    """
+
 ORACLES = {
+    "op11_conversation_repair": _REPAIR_SQL,
+    "op12_conversation_trie": _TRIE_SQL,
     "op2_ngram_jaccard": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(
