@@ -539,31 +539,42 @@ oracle(
 
 # ---- baseline scorer -------------------------------------------------------------------------------------------
 
-BAYES = {
-    **split_ctes("contexts", "dest_court"),
-    "tokens": rf"""
-        select row_id, dest_court, split, unnest(list_filter(regexp_split_to_array(destination_context, '\s+'), lambda w: w <> '')) as word from split_rows""",
-    "vocabulary": "select word from tokens where split = 'train' group by word having count(distinct row_id) >= 2",
-    "trained": "select dest_court as label, word, count(*) as n from tokens join vocabulary using (word) where split = 'train' group by all",
-    "priors": "select dest_court as label, ln(count(*)::double / sum(count(*)) over ()) as prior from split_rows where split = 'train' group by 1",
-    "classes": """
-        select label, prior, -ln(coalesce(n, 0) + (select count(*) from vocabulary)) as base
-        from priors left join (select label, sum(n) as n from trained group by label) using (label)""",
-    "asked": "select row_id as query_id, word, count(*) as tf from tokens join vocabulary using (word) where split <> 'train' group by all",
-    "gains": "select query_id, label, sum(tf * ln(n + 1)) as gain from asked join trained using (word) group by all",
-    "known": "select query_id, sum(tf) as n from asked group by query_id",
-    "bayes_scores": """
-        select r.row_id as query_id, r.dest_court as truth, c.label as cand_id, c.prior + coalesce(k.n, 0) * c.base + coalesce(g.gain, 0) as score
-        from split_rows r cross join classes c left join known k on k.query_id = r.row_id
-        left join gains g on g.query_id = r.row_id and g.label = c.label where r.split <> 'train'""",
-    "bayes_ranked": """
-        select query_id, truth, cand_id, round(score, 3) as score,
-               row_number() over (partition by query_id order by round(score, 3) desc, cand_id) as rank from bayes_scores""",
-}
+def bayes_ctes(label: str = "dest_court", having: str = "true") -> dict[str, str]:
+    return {
+        **split_ctes("contexts", label),
+        "tokens": rf"""
+            select row_id, {label} as class, split, unnest(list_filter(regexp_split_to_array(destination_context, '\s+'), lambda w: w <> '')) as word from split_rows""",
+        "vocabulary": f"select word from tokens where split = 'train' group by word having {having}",
+        "trained": "select class as label, word, count(*) as n from tokens join vocabulary using (word) where split = 'train' group by all",
+        "priors": f"select {label} as label, ln(count(*)::double / sum(count(*)) over ()) as prior from split_rows where split = 'train' group by 1",
+        "classes": """
+            select label, prior, -ln(coalesce(n, 0) + (select count(*) from vocabulary)) as base
+            from priors left join (select label, sum(n) as n from trained group by label) using (label)""",
+        "asked": "select row_id as query_id, word, count(*) as tf from tokens join vocabulary using (word) where split <> 'train' group by all",
+        "gains": "select query_id, label, sum(tf * ln(n + 1)) as gain from asked join trained using (word) group by all",
+        "known": "select query_id, sum(tf) as n from asked group by query_id",
+        "bayes_scores": f"""
+            select r.row_id as query_id, r.{label} as truth, c.label as cand_id, c.prior + coalesce(k.n, 0) * c.base + coalesce(g.gain, 0) as score
+            from split_rows r cross join classes c left join known k on k.query_id = r.row_id
+            left join gains g on g.query_id = r.row_id and g.label = c.label where r.split <> 'train'""",
+        "bayes_ranked": """
+            select query_id, truth, cand_id, round(score, 6) as score,
+                   row_number() over (partition by query_id order by round(score, 6) desc, cand_id) as rank from bayes_scores""",
+    }
+
+
+BAYES = bayes_ctes()
 oracle("nb_topk", "select query_id, cand_id, score, rank from bayes_ranked where rank <= 2", "contexts", BAYES)
+oracle("nb_passages", "select query_id, cand_id, score, rank from bayes_ranked where rank <= 5", "contexts", bayes_ctes("passage_id"))
+oracle(
+    "nb_common_words",
+    "select query_id, cand_id, score, rank from bayes_ranked where rank <= 2",
+    "contexts",
+    bayes_ctes(having="count(distinct row_id) between 2 and 400"),
+)
 oracle(
     "nb_softmax",
-    """select query_id, cand_id, round(exp(score - max(score) over q) / sum(exp(score - top)) over q, 4) as prob
+    """select query_id, cand_id, round(exp(score - max(score) over q) / sum(exp(score - top)) over q, 6) as prob
        from (select *, max(score) over (partition by query_id) as top from bayes_scores where cand_id in ('court_en', 'court_fr'))
        window q as (partition by query_id)""",
     "contexts",

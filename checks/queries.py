@@ -27,7 +27,7 @@ from citeflow.operators import audit, bayes, dedup, embedding, enrichment, label
 from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
-from citeflow.session import materialise, scratch_dir
+from citeflow.session import materialise, scratch_dir, stored
 from citeflow.sources import readers, writers
 from citeflow.streaming.enrichment import read_enriched, start_enrichment
 
@@ -581,35 +581,52 @@ def citation_worklist(spark, sf):
 # ---- baseline scorer -------------------------------------------------------------------------------------------
 
 
-def _bayes(spark, sf):
-    rows = t.contexts(spark, sf).select("row_id", "dest_court", "destination_context")
-    split = materialise(splitting.stratified_split(rows, "dest_court", seed=SEED))
-    model = bayes.nb_fit(split.where("split = 'train'"), "dest_court", "destination_context", df_min=2)
-    held = split.where("split <> 'train'")
-    return bayes.nb_score(model, held, "destination_context"), held
+def _bayes(spark, sf, label="dest_court", **limits):
+    rows = t.contexts(spark, sf).select("row_id", label, "destination_context")
+    split = stored(splitting.stratified_split(rows, label, seed=SEED), "split")
+    model = bayes.nb_fit(split.where("split = 'train'"), label, "destination_context", **limits)
+    return model, split.where("split <> 'train'")
+
+
+def _nb_best(spark, sf, k, *args, **limits):
+    model, held = _bayes(spark, sf, *args, **limits)
+    best = bayes.nb_topk(model, held, "destination_context", k)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query
 def nb_topk(spark, sf):
-    scores, _ = _bayes(spark, sf)
-    best = ranking.topk_per_group(scores.withColumn("score", F.round("score", 3)), 2)
-    return best.withColumn("rank", F.col("rank").cast("bigint"))
+    return _nb_best(spark, sf, 2)
+
+
+@query
+def nb_passages(spark, sf):
+    """The passage as class: many classes, of which a text visits few."""
+    return _nb_best(spark, sf, 5, "passage_id")
+
+
+@query
+def nb_common_words(spark, sf):
+    """Only words that are neither rare nor everywhere."""
+    return _nb_best(spark, sf, 2, df_min=2, df_max=400)
 
 
 @query
 def nb_softmax(spark, sf):
     """Class probabilities over two of the courts only."""
-    scores, _ = _bayes(spark, sf)
+    model, held = _bayes(spark, sf)
     two = spark.createDataFrame([("court_en",), ("court_fr",)], "cand_id string")
-    return ranking.restricted_softmax(scores, two).select("query_id", "cand_id", F.round("prob", 4).alias("prob"))
+    scores = bayes.nb_score(model, held, "destination_context", two, digits=12)
+    return ranking.restricted_softmax(scores, two).select("query_id", "cand_id", F.round("prob", 6).alias("prob"))
 
 
 @query
 def nb_accuracy(spark, sf):
-    scores, held = _bayes(spark, sf)
+    """A truth that is not among the two best is a miss for both cut-offs."""
+    model, held = _bayes(spark, sf)
     truth = held.select(F.col("row_id").alias("query_id"), F.col("dest_court").alias("truth_id"))
-    rounded = materialise(scores.withColumn("score", F.round("score", 3)))
-    return _rounded(evaluation.evaluate_scores(rounded, truth, (1, 2)))
+    best = stored(bayes.nb_topk(model, held, "destination_context", 2), "best")
+    return _rounded(evaluation.evaluate_scores(best.drop("rank"), truth, (1, 2)))
 
 
 # ---- round trips -----------------------------------------------------------------------------------------------

@@ -1,27 +1,45 @@
-"""A trainable baseline scorer: multinomial naive Bayes from texts to classes, as aggregations and joins.
+"""A trainable baseline scorer: multinomial naive Bayes from texts to classes, over an inverted index.
 
 ``score(d, l) = ln(docs_l / docs) + sum over words w of d in the vocabulary of ln((1 + count(l, w)) / (words_l + |V|))``
+
+A class that never saw a word still has a score for it, so the sum splits in two: a line ``prior_l + known_d * base_l``
+that every class has, and gains ``ln(1 + count)`` for the classes in the word's posting list. Only gains are added up, and
+only for classes that can still be among the best: the words of a text are taken by the length of their lists, the
+shortest first, until no class outside the candidates found so far can reach them; from there on the candidates alone are
+looked up in the longer lists, and leave as soon as their upper bound falls below the k-th lower bound. Classes that share
+no word are represented by the few that are not dominated in prior and base.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeflow.functions.text import words
-from citeflow.operators.joins import join_spread
-from citeflow.operators.numbering import HOT_ROWS
-from citeflow.session import materialise
+from citeflow.operators.joins import join_on_slices
+from citeflow.operators.numbering import HOT_ROWS, hot_groups
+from citeflow.operators.ranking import topk_per_group
+from citeflow.session import stored
+
+#: Postings of one block of classes, words of one block of texts: what a task holds.
+BLOCK_POSTINGS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Fewest texts worth a block of their own.
+FEW_TEXTS = 64
 
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``terms(word, counts array<struct<label, n>>)``, one row per vocabulary word; ``classes(label, prior, base)``,
-    where ``base`` is the log-probability of a word the class never saw."""
+    """``postings(word, label, n)``, ``vocabulary(word, n)`` and ``classes(label, prior, base)``, where ``base`` is the
+    log-probability of a word the class never saw."""
 
-    terms: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
     classes: DataFrame
 
 
@@ -36,9 +54,12 @@ def _each_word(df: DataFrame, found: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode_outer(found).alias("word")).where(F.col("word").isNotNull())
 
 
-def class_term_counts(df: DataFrame, label: str, text: str) -> DataFrame:
+def class_term_counts(df: DataFrame, label: str, text: str, count_texts: bool = True) -> DataFrame:
     """Per class and word: ``n`` occurrences and the number of texts ``_docs``; combined before the one shuffle."""
     found = words(F.col(text))
+    if not count_texts:
+        each = _each_word(df.select(F.col(label).alias("label"), text), found, "label")
+        return each.groupBy("label", "word").agg(F.count("*").alias("n"))
     marked = F.array(
         F.struct(found.alias("words"), F.lit(1).alias("n"), F.lit(0).alias("d")),
         F.struct(F.array_distinct(found).alias("words"), F.lit(0).alias("n"), F.lit(1).alias("d")),
@@ -50,45 +71,115 @@ def class_term_counts(df: DataFrame, label: str, text: str) -> DataFrame:
 
 def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int | None = None) -> BayesModel:
     """Count words per class. The vocabulary is every word in at least ``df_min`` (and at most ``df_max``) texts; by
-    default no word is left out. The model is kept, since every scoring reads it."""
-    by_class = class_term_counts(df, label, text)
-    # a word has at most one row per class here, so the list is as short as the label space
-    terms = by_class.groupBy("word").agg(F.collect_list(F.struct("label", "n")).alias("counts"), F.sum("_docs").alias("_docs"))
-    wanted = F.col("_docs") >= df_min
-    if df_max is not None:
-        wanted = wanted & (F.col("_docs") <= df_max)
-    terms = materialise(terms.where(wanted).select("word", "counts"))
-
-    vocabulary = terms.agg(F.count("*")).scalar()
+    default no word is left out. The model is kept, since every scoring reads it. Rows without a class are left out."""
+    df = df.where(F.col(label).isNotNull())
+    limited = df_min > 1 or df_max is not None
+    postings = stored(class_term_counts(df, label, text, limited), "postings")
+    if limited:
+        wanted = F.col("_docs") >= df_min
+        if df_max is not None:
+            wanted = wanted & (F.col("_docs") <= df_max)
+        sizes = postings.groupBy("word").agg(F.sum("n").alias("n"), F.sum("_docs").alias("_docs"))
+        vocabulary = stored(sizes.where(wanted).select("word", "n"), "vocabulary")
+        postings = stored(postings.drop("_docs").join(vocabulary.select("word"), "word", "left_semi"), "postings")
+    else:
+        vocabulary = stored(postings.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+
     docs = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("_docs"))
-    all_docs = df.agg(F.count("*")).scalar()
-    seen = terms.select(F.inline("counts")).groupBy("label").agg(F.sum("n").alias("_words"))
-    classes = (
-        docs.join(seen, "label", "left")
-        .withColumn("_size", F.coalesce("_words", F.lit(0)) + vocabulary)
-        .select("label", F.ln(F.col("_docs") / all_docs).alias("prior"), (-F.ln("_size")).alias("base"))
+    seen = postings.groupBy("label").agg(F.sum("n").alias("_words"))
+    size = F.coalesce("_words", F.lit(0)) + vocabulary.agg(F.count("*")).scalar()
+    classes = docs.join(seen, "label", "left").select(
+        "label", F.ln(F.col("_docs") / df.agg(F.count("*")).scalar()).alias("prior"), F.when(size > 0, -F.ln(size)).otherwise(0.0).alias("base")
     )
-    return BayesModel(terms, materialise(classes))
+    return BayesModel(postings, vocabulary, stored(classes, "classes"))
 
 
-def nb_score(model: BayesModel, df: DataFrame, text: str, row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Long rows ``(query_id, cand_id, score)``: every text with every class of the label space."""
+def _bags(model: BayesModel, df: DataFrame, text: str, row_id: str, hot_rows: int) -> DataFrame:
+    """A row per text: the words of the vocabulary in it with their counts, and ``known``, their sum.
+
+    A frequent word is in nearly every text. Which words are frequent the model knows, so no pass over the texts looks
+    for them; their rows are spread over slices.
+    """
     asked = df.select(F.col(row_id).alias("query_id"), F.col(text).alias("_text"))
-    # a frequent word is in nearly every text: its rows are spread over slices
-    hits = join_spread(term_counts(asked, "_text", "query_id"), model.terms, "word", "inner", hot_rows=hot_rows)
-    gains = (
-        hits.select("query_id", "tf", F.inline("counts"))
-        .groupBy("query_id", F.col("label").alias("cand_id"))
-        .agg(F.sum(F.col("tf") * F.ln(F.col("n") + 1)).alias("_gain"))
-    )
-    known = hits.groupBy("query_id").agg(F.sum("tf").alias("_known"))
-    labels = model.classes.agg(F.collect_list(F.struct("label", "prior", "base"))).scalar()
-    every = (
-        asked.select("query_id")
-        .join(known, "query_id", "left")
-        .withColumn("_classes", labels)
-        .select("query_id", "_known", F.inline("_classes"))
-        .withColumnRenamed("label", "cand_id")
-    )
-    score = F.col("prior") + F.coalesce("_known", F.lit(0)) * F.col("base") + F.coalesce("_gain", F.lit(0.0))
-    return every.join(gains, ["query_id", "cand_id"], "left").select("query_id", "cand_id", score.alias("score"))
+    hot = hot_groups(model.vocabulary.withColumnRenamed("n", "_n"), hot_rows)
+    hot = hot.select("word", "_slices") if hot is not None else None
+    found = join_on_slices(term_counts(asked, "_text", "query_id"), model.vocabulary.select("word"), "word", "left_semi", hot)
+    bags = found.groupBy("query_id").agg(F.collect_list("word").alias("words"), F.collect_list("tf").alias("tf"), F.sum("tf").alias("known"))
+    nothing = [F.array().cast(f"array<{kind}>") for kind in ("string", "bigint")]
+    every = asked.select("query_id").join(bags, "query_id", "left")
+    filled = [F.coalesce(c, empty).alias(c) for c, empty in zip(("words", "tf"), nothing)]
+    return every.select("query_id", *filled, F.coalesce("known", F.lit(0)).alias("known"))
+
+
+def nb_topk(
+    model: BayesModel,
+    df: DataFrame,
+    text: str,
+    k: int,
+    row_id: str = "row_id",
+    digits: int = 6,
+    candidates: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    block_postings: int = BLOCK_POSTINGS,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The ``k`` best classes of every text: ``(query_id, cand_id, score, rank)``, equal scores by ``cand_id``.
+
+    Scores are rounded to ``digits`` before they are ranked. Exact: a class is left out only where it cannot be among
+    the best. Classes are cut into blocks of about ``block_postings`` postings and texts into blocks of about
+    ``block_words`` words; each pair of blocks meets in one task, which gives its best ``k`` per text. There is no row
+    or cell per text and class. ``candidates`` (``cand_id``) restricts the classes, not the vocabulary. A text without a
+    known word is ranked by the priors.
+    """
+    postings, classes = model.postings, model.classes
+    if candidates is not None:
+        wanted = candidates.select(F.col("cand_id").alias("label")).distinct()
+        postings, classes = postings.join(wanted, "label", "left_semi"), classes.join(wanted, "label", "left_semi")
+    bags = stored(_bags(model, df, text, row_id, hot_rows), "bags")
+    sizes = bags.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
+    n_classes = max(1, -(-postings.count() // block_postings))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    for_cores = min(-(-cores // n_classes), -(-sizes["n"] // FEW_TEXTS))
+    n_texts = max(1, for_cores, -(-(sizes["words"] or 0) // block_words))
+
+    def block(key: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+    def each(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    empty = [F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("n")]
+    rows = postings.select("label", "word", "n", F.lit(0.0).alias("prior"), F.lit(0.0).alias("base"))
+    rows = rows.unionByName(classes.select("label", *empty, "prior", "base"))
+    left = bags.select("*", block("query_id", n_texts).alias("_bq"), each(n_classes).alias("_bc"))
+    right = rows.select("*", each(n_texts).alias("_bq"), block("label", n_classes).alias("_bc"))
+    query_type, label_type = bags.schema["query_id"].dataType, classes.schema["label"].dataType
+    schema = T.StructType().add("query_id", query_type).add("cand_id", label_type).add("score", "double")
+    kernel = _kernel(k, digits, to_arrow_type(query_type), to_arrow_type(label_type))
+    local = left.groupBy("_bq", "_bc").cogroup(right.groupBy("_bq", "_bc")).applyInArrow(kernel, schema)
+    return topk_per_group(local, k)
+
+
+def nb_score(model: BayesModel, df: DataFrame, text: str, candidates: DataFrame, row_id: str = "row_id", digits: int = 6) -> DataFrame:
+    """Long rows ``(query_id, cand_id, score)`` of every text with the given few classes."""
+    return nb_topk(model, df, text, max(1, candidates.distinct().count()), row_id, digits, candidates).drop("rank")
+
+
+def _kernel(k: int, digits: int, query_type, label_type) -> Callable:
+    def best(bags, rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from citeflow.operators.postings import Index
+
+        schema = pa.schema([("query_id", query_type), ("cand_id", label_type), ("score", pa.float64())])
+        known_class = pc.is_null(rows["word"])
+        classes = rows.filter(known_class)
+        if not bags.num_rows or not classes.num_rows:
+            return schema.empty_table()
+        classes = classes.take(pc.sort_indices(classes, sort_keys=[("label", "ascending")]))
+        index = Index(classes, rows.filter(pc.invert(known_class)), k, digits)
+        texts, found, scores = index.search(bags)
+        return pa.table([bags["query_id"].take(pa.array(texts)), classes["label"].take(pa.array(found)), pa.array(scores)], schema=schema)
+
+    return best

@@ -47,3 +47,11 @@ def materialise(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Compute a frame once as Parquet in the shared folder; unlike a checkpoint its columns can be pruned and its rows
+    filtered while they are read."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

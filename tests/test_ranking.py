@@ -1,12 +1,14 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citeflow.operators import metrics, ranking, retrieval
-from citeflow.operators.bayes import nb_fit, nb_score
+from citeflow.operators.bayes import nb_fit, nb_topk
 from citeflow.operators.embedding import embed, hashing_encoder
+from citeflow.operators.postings import Index, undominated
 
 SCORES = [("q1", "a", 0.9), ("q1", "b", 0.9), ("q1", "c", 0.1), ("q2", "a", 0.5), ("q3", "b", 1.0)]
 
@@ -129,14 +131,85 @@ def test_text_ids_and_empty_corpus(vectors):
 
 def test_bayes_by_hand(spark):
     train = spark.createDataFrame([(1, "x", "a a b"), (2, "x", "a"), (3, "y", "b c")], "row_id long, label string, text string")
-    held = spark.createDataFrame([(9, "a b z"), (10, "")], "row_id long, text string")
+    held = spark.createDataFrame([(9, "a b z"), (10, ""), (11, None)], "row_id long, text string")
     for hot_rows in (1, 1000):
-        got = {(r.query_id, r.cand_id): r.score for r in nb_score(nb_fit(train, "label", "text"), held, "text", hot_rows=hot_rows).collect()}
+        scored = nb_topk(nb_fit(train, "label", "text"), held, "text", 2, hot_rows=hot_rows, digits=12)
+        got = {(r.query_id, r.cand_id): r.score for r in scored.collect()}
         assert got[(9, "x")] == pytest.approx(math.log(2 / 3) + math.log(4 / 7) + math.log(2 / 7))
         assert got[(9, "y")] == pytest.approx(math.log(1 / 3) + math.log(1 / 5) + math.log(2 / 5))
-        assert got[(10, "x")] == pytest.approx(math.log(2 / 3))
+        assert got[(10, "x")] == got[(11, "x")] == pytest.approx(math.log(2 / 3)) and len(got) == 6
     pruned = nb_fit(train, "label", "text", df_min=2, df_max=2)
-    assert {r.word for r in pruned.terms.collect()} == {"a", "b"}
+    assert {r.word for r in pruned.vocabulary.collect()} == {"a", "b"}
+    assert nb_topk(nb_fit(train.limit(0), "label", "text"), held, "text", 2).collect() == []
+    assert nb_topk(nb_fit(train, "label", "text"), held.limit(0), "text", 2).collect() == []
+
+
+def bayes_plain(train, text, digits=6):
+    """Every class scored in full."""
+    seen, sizes, docs = {}, {}, {}
+    for label, said in train:
+        docs[label] = docs.get(label, 0) + 1
+        for w in said.split():
+            seen[label, w] = seen.get((label, w), 0) + 1
+            sizes[label] = sizes.get(label, 0) + 1
+    vocabulary = {w for _, w in seen}
+    known = [w for w in text.split() if w in vocabulary]
+    scores = {}
+    for label, n in docs.items():
+        size = sizes.get(label, 0) + len(vocabulary)
+        scores[label] = round(math.log(n / len(train)) + sum(math.log((1 + seen.get((label, w), 0)) / size) for w in known), digits)
+    return sorted(scores.items(), key=lambda s: (-s[1], s[0]))
+
+
+@pytest.mark.parametrize("block_postings, block_words", [(10**6, 10**6), (150, 90)])
+def test_bayes_leaves_out_only_what_cannot_win(spark, block_postings, block_words):
+    rng = random.Random(2)
+    common = [f"w{i}" for i in range(6)]
+    train = []
+    for c in range(60):
+        own = [f"c{c}_{i}" for i in range(3)] + [f"s{c % 7}_{i}" for i in range(4)]
+        for _ in range(rng.choice([1, 1, 2, 9])):
+            train.append((f"p{c:02d}", " ".join(rng.choices(common, k=rng.randint(0, 30)) + rng.choices(own, k=rng.randint(0, 9)))))
+    words_ = sorted({w for _, said in train for w in said.split()}) + ["new"]
+    held = [" ".join(rng.choices(words_, k=rng.choice([0, 1, 3, 20])) + rng.choices(common, k=rng.choice([0, 5, 40]))) for _ in range(80)]
+    model = nb_fit(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "row_id long, label string, text string"), "label", "text")
+    asked = spark.createDataFrame(list(enumerate(held)), "row_id long, text string")
+    rows = nb_topk(model, asked, "text", 4, block_postings=block_postings, block_words=block_words, hot_rows=100).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.cand_id, r.score))
+    for i, said in enumerate(held):
+        expected = bayes_plain(train, said)[:4]
+        assert [c for c, _ in got[i]] == [c for c, _ in expected]
+        assert [s for _, s in got[i]] == pytest.approx([s for _, s in expected], abs=2e-6)
+
+
+def test_bayes_visits_few_classes(monkeypatch):
+    """A text with telling words never sees the classes that share only common ones."""
+    import pyarrow as pa
+
+    n = 5000
+    classes = pa.table({"label": list(range(n)), "prior": [math.log(1 / n)] * n, "base": [-math.log(1000.0)] * n})
+    told = [(c, f"own{c}", 50) for c in range(n)] + [(c, "the", 40 + c % 3) for c in range(n)]
+    postings = pa.table({"label": [t[0] for t in told], "word": [t[1] for t in told], "n": [t[2] for t in told]})
+    index = Index(classes, postings, 1, 6)
+    visited = []
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda a, **kw: visited.append(len(a)) or unique(a, **kw))
+    monkeypatch.setattr("citeflow.operators.postings.FIRST_WORDS", 1)
+    bags = pa.table({"query_id": [1], "words": [["the", "own7"]], "tf": pa.array([[3, 2]], pa.list_(pa.int64())), "known": [5]})
+    texts, found, _ = index.search(bags)
+    assert (texts.tolist(), found.tolist()) == ([0], [7]) and sum(visited) < 10
+
+
+def test_undominated_classes():
+    rng = np.random.default_rng(1)
+    prior, base = rng.integers(0, 12, 300) / 4.0, rng.integers(0, 12, 300) / 4.0
+    for k in (1, 3):
+        kept = set(undominated(prior, base, k).tolist())
+        for known in (0.5, 1, 3, 100):
+            line = prior + known * base
+            assert set(np.lexsort((np.arange(300), -line))[:k].tolist()) <= kept
 
 
 def test_embedding_runs_once(spark):
