@@ -583,9 +583,10 @@ def citation_worklist(spark, sf):
 
 def _bayes(spark, sf, label="dest_court", **limits):
     rows = t.contexts(spark, sf).select("row_id", label, "destination_context")
-    split = stored(splitting.stratified_split(rows, label, seed=SEED), "split")
-    model = bayes.nb_fit(split.where("split = 'train'"), label, "destination_context", **limits)
-    return model, split.where("split <> 'train'")
+    # keys are split, texts only meet their split: they are not sorted by class and hash
+    split = stored(splitting.stratified_split(rows.select("row_id", label), label, seed=SEED).select("row_id", "split"), "split")
+    train, held = (rows.join(split.where(part), "row_id", "left_semi") for part in ("split = 'train'", "split <> 'train'"))
+    return bayes.nb_fit(train, label, "destination_context", **limits), held
 
 
 def _nb_best(spark, sf, k, *args, **limits):

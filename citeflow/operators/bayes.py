@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from citeflow.functions.text import words
 from citeflow.operators.joins import join_on_slices
@@ -29,19 +30,27 @@ from citeflow.session import stored
 #: Postings of one block of classes, words of one block of texts: what a task holds.
 BLOCK_POSTINGS = 2_000_000
 BLOCK_WORDS = 500_000
+#: Postings of a row of the packed index, at most about so many.
+CHUNK_POSTINGS = 50_000
 #: Fewest texts worth a block of their own.
 FEW_TEXTS = 64
+#: A word with its space, to tell the words of a text by its length.
+BYTES_A_WORD = 6
 
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``postings(word, label, n)``, ``vocabulary(word, n)`` and ``classes(label, prior, base)``, where ``base`` is the
-    log-probability of a word the class never saw."""
+    """``postings(word, label, n)`` and ``classes(label, prior, base)``, where ``base`` is the log-probability of a word
+    the class never saw."""
 
     postings: DataFrame
-    vocabulary: DataFrame
     classes: DataFrame
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """Every word with its occurrences ``n``."""
+        return self.postings.groupBy("word").agg(F.sum("n").alias("n"))
+
 
 def term_counts(df: DataFrame, text: str, key: str) -> DataFrame:
     """``tf`` per text and word. The texts are placed by their key, so their words are counted where they are."""
@@ -79,19 +88,25 @@ def nb_fit(df: DataFrame, label: str, text: str, df_min: int = 1, df_max: int |
         wanted = F.col("_docs") >= df_min
         if df_max is not None:
             wanted = wanted & (F.col("_docs") <= df_max)
-        sizes = postings.groupBy("word").agg(F.sum("n").alias("n"), F.sum("_docs").alias("_docs"))
-        vocabulary = stored(sizes.where(wanted).select("word", "n"), "vocabulary")
-        postings = stored(postings.drop("_docs").join(vocabulary.select("word"), "word", "left_semi"), "postings")
-    else:
-        vocabulary = stored(postings.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+        kept = postings.groupBy("word").agg(F.sum("_docs").alias("_docs")).where(wanted)
+        postings = stored(postings.drop("_docs").join(kept, "word", "left_semi"), "postings")
 
     docs = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("_docs"))
     seen = postings.groupBy("label").agg(F.sum("n").alias("_words"))
-    size = F.coalesce("_words", F.lit(0)) + vocabulary.agg(F.count("*")).scalar()
+    size = F.coalesce("_words", F.lit(0)) + postings.agg(F.count_distinct("word")).scalar()
     classes = docs.join(seen, "label", "left").select(
-        "label", F.ln(F.col("_docs") / df.agg(F.count("*")).scalar()).alias("prior"), F.when(size > 0, -F.ln(size)).otherwise(0.0).alias("base")
+        "label",
+        F.ln(F.col("_docs") / F.sum("_docs").over(Window.partitionBy())).alias("prior"),
+        F.when(size > 0, -F.ln(size)).otherwise(0.0).alias("base"),
     )
-    return BayesModel(postings, vocabulary, stored(classes, "classes"))
+    return BayesModel(postings, stored(classes, "classes"))
+
+
+def _tokens(df: DataFrame, text: str, row_id: str) -> DataFrame:
+    """A row per text with all its words; which of them are known and how often each occurs the one block finds out."""
+    nothing = F.array().cast("array<string>")
+    asked = df.select(F.col(row_id).alias("query_id"), F.coalesce(words(F.col(text)), nothing).alias("words"))
+    return asked.select("*", F.lit(None).cast("array<bigint>").alias("tf"), F.lit(None).cast("bigint").alias("known"))
 
 
 def _bags(model: BayesModel, df: DataFrame, text: str, row_id: str, hot_rows: int) -> DataFrame:
@@ -128,19 +143,25 @@ def nb_topk(
     Scores are rounded to ``digits`` before they are ranked. Exact: a class is left out only where it cannot be among
     the best. Classes are cut into blocks of about ``block_postings`` postings and texts into blocks of about
     ``block_words`` words; each pair of blocks meets in one task, which gives its best ``k`` per text. There is no row
-    or cell per text and class. ``candidates`` (``cand_id``) restricts the classes, not the vocabulary. A text without a
+    or cell per text and class. Where one block holds the whole index, texts go to it as they are; otherwise their words
+    are counted first and looked up in the vocabulary. ``candidates`` (``cand_id``) restricts the classes, not the vocabulary. A text without a
     known word is ranked by the priors.
     """
     postings, classes = model.postings, model.classes
-    if candidates is not None:
-        wanted = candidates.select(F.col("cand_id").alias("label")).distinct()
-        postings, classes = postings.join(wanted, "label", "left_semi"), classes.join(wanted, "label", "left_semi")
-    bags = stored(_bags(model, df, text, row_id, hot_rows), "bags")
-    sizes = bags.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
-    n_classes = max(1, -(-postings.count() // block_postings))
+    entries = postings.count()
+    if candidates is None and entries <= block_postings:
+        n_classes, bags = 1, _tokens(df, text, row_id)
+        some = df.agg(F.count("*").alias("n"), F.sum(F.length(text) / BYTES_A_WORD).alias("words")).first()
+    else:
+        if candidates is not None:
+            wanted = candidates.select(F.col("cand_id").alias("label")).distinct()
+            postings, classes = postings.join(wanted, "label", "left_semi"), classes.join(wanted, "label", "left_semi")
+        n_classes = max(1, -(-entries // block_postings))
+        bags = stored(_bags(model, df, text, row_id, hot_rows), "bags")
+        some = bags.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    for_cores = min(-(-cores // n_classes), -(-sizes["n"] // FEW_TEXTS))
-    n_texts = max(1, for_cores, -(-(sizes["words"] or 0) // block_words))
+    for_cores = min(-(-cores // n_classes), -(-some["n"] // FEW_TEXTS))
+    n_texts = max(1, for_cores, -(-int(some["words"] or 0) // block_words))
 
     def block(key: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -148,9 +169,12 @@ def nb_topk(
     def each(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    empty = [F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("n")]
-    rows = postings.select("label", "word", "n", F.lit(0.0).alias("prior"), F.lit(0.0).alias("base"))
-    rows = rows.unionByName(classes.select("label", *empty, "prior", "base"))
+    # a row per class and some thousand postings, so that copying a block to every block of texts moves few rows
+    chunk = F.pmod(F.xxhash64("word"), F.lit(1 + entries // CHUNK_POSTINGS))
+    packed = postings.groupBy("label", chunk.alias("_chunk")).agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("n"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("words", "array<string>"), ("n", "array<bigint>"))]
+    rows = packed.select("label", "words", "n", F.lit(0.0).alias("prior"), F.lit(0.0).alias("base"))
+    rows = rows.unionByName(classes.select("label", *none, "prior", "base"))
     left = bags.select("*", block("query_id", n_texts).alias("_bq"), each(n_classes).alias("_bc"))
     right = rows.select("*", each(n_texts).alias("_bq"), block("label", n_classes).alias("_bc"))
     query_type, label_type = bags.schema["query_id"].dataType, classes.schema["label"].dataType
@@ -167,18 +191,22 @@ def nb_score(model: BayesModel, df: DataFrame, text: str, candidates: DataFrame,
 
 def _kernel(k: int, digits: int, query_type, label_type) -> Callable:
     def best(bags, rows):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         from citeflow.operators.postings import Index
 
         schema = pa.schema([("query_id", query_type), ("cand_id", label_type), ("score", pa.float64())])
-        known_class = pc.is_null(rows["word"])
-        classes = rows.filter(known_class)
+        is_class = pc.is_null(rows["words"])
+        classes = rows.filter(is_class)
         if not bags.num_rows or not classes.num_rows:
             return schema.empty_table()
         classes = classes.take(pc.sort_indices(classes, sort_keys=[("label", "ascending")]))
-        index = Index(classes, rows.filter(pc.invert(known_class)), k, digits)
+        lists = rows.filter(pc.invert(is_class))
+        of = np.repeat(np.arange(lists.num_rows), pc.list_value_length(lists["words"]).to_numpy())
+        postings = {"label": lists["label"].take(pa.array(of)), "word": pc.list_flatten(lists["words"]), "n": pc.list_flatten(lists["n"])}
+        index = Index(classes, pa.table(postings), k, digits)
         texts, found, scores = index.search(bags)
         return pa.table([bags["query_id"].take(pa.array(texts)), classes["label"].take(pa.array(found)), pa.array(scores)], schema=schema)
 

@@ -10,6 +10,10 @@ import pyarrow.compute as pc
 FIRST_WORDS = 4
 
 
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def undominated(prior: np.ndarray, base: np.ndarray, k: int) -> np.ndarray:
     """Classes that fewer than ``k`` others match or beat in both numbers (equal in both: the earlier one first).
 
@@ -36,12 +40,10 @@ class Index:
         self.k, self.digits = k, digits
         self.prior, self.base = classes["prior"].to_numpy(), classes["base"].to_numpy()
         self.size = len(self.prior)
-        encoded = postings["word"].combine_chunks().dictionary_encode()
-        if isinstance(encoded, pa.ChunkedArray):
-            encoded = encoded.combine_chunks()
+        encoded = _whole(_whole(postings["word"]).dictionary_encode())
         self.words = encoded.dictionary
         word = encoded.indices.to_numpy().astype(np.int64)
-        label = pc.index_in(postings["label"], value_set=classes["label"].combine_chunks()).to_numpy().astype(np.int64)
+        label = pc.index_in(postings["label"], value_set=_whole(classes["label"])).to_numpy().astype(np.int64)
         keys = word * self.size + label
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -59,20 +61,30 @@ class Index:
         self.idle = np.sort(np.lexsort((np.arange(self.size), -self.prior))[:k])  # the best where no word is known
 
     def search(self, bags: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, class, score) of the best classes, texts and classes as row numbers."""
-        flat = bags["words"].combine_chunks()
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        """(text, class, score) of the best classes, texts and classes as row numbers.
+
+        ``bags`` has each text's words of the vocabulary with their counts ``tf`` and their sum ``known``, or all its
+        words, repeats included, and no counts: then the words of this index are the vocabulary.
+        """
+        flat = _whole(bags["words"])
         found = pc.index_in(flat.flatten(), value_set=self.words) if len(self.words) else pa.nulls(len(flat.flatten()), pa.int32())
         number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = bags["tf"].combine_chunks()
-        counts = (counts.combine_chunks() if isinstance(counts, pa.ChunkedArray) else counts).flatten().to_numpy().astype(np.float64)
-        ends = np.cumsum(pc.list_value_length(flat).to_numpy())
-        known = bags["known"].to_numpy().astype(np.float64)
+        ends = np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False))
+        counted = bags["tf"].null_count == 0
+        if counted:
+            counts = _whole(bags["tf"]).flatten().to_numpy().astype(np.float64)
+            known = bags["known"].to_numpy().astype(np.float64)
         texts, classes, scores = [], [], []
         for i, end in enumerate(ends.tolist()):
             start = int(ends[i - 1]) if i else 0
             here = number[start:end] >= 0
-            some, score = self.best(number[start:end][here], counts[start:end][here], known[i])
+            word = number[start:end][here]
+            if counted:
+                tf, all_known = counts[start:end][here], known[i]
+            else:
+                word, tf = np.unique(word, return_counts=True)
+                tf, all_known = tf.astype(np.float64), float(tf.sum())
+            some, score = self.best(word, tf, all_known)
             texts.append(np.full(len(some), i))
             classes.append(some)
             scores.append(score)
