@@ -127,11 +127,11 @@ def number_by_value(
     kind = keyed.schema["_key"].dataType
     sample = keyed.select("_key").orderBy(F.md5(exact_text(F.col("_key"), kind)), "_key").limit(wanted)
     borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_borders")).scalar()
-    ranged = keyed.withColumn("_borders", borders).withColumn("_slice", _borders_up_to("_borders", "_key", wanted))
+    ranged = keyed.withColumn("_borders", borders).withColumn("_slice", borders_up_to("_borders", "_key", wanted))
     return _number_slices(ranged.drop("_borders"), ["_key"], number).drop("_key")
 
 
-def _borders_up_to(borders: str, key: str, at_most: int) -> Column:
+def borders_up_to(borders: str, key: str, at_most: int) -> Column:
     """How many of the ascending borders are not above the key, by halving the range that holds the answer."""
 
     def halve(found: Column, _: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.functions.hashing import seeded_hash
-from citeflow.operators.numbering import HOT_ROWS, SMALL_LIMIT, count_groups, number_all, number_by_value, number_in_group
+from citeflow.operators.numbering import HOT_ROWS, count_groups, number_in_group
+from citeflow.operators.selection import first_by_hash, first_by_value
 from citeflow.session import materialise
 
 
@@ -35,18 +36,14 @@ def sample_per_group(
     return numbered.where(F.col("_number") <= quota).drop("_number", "_size")
 
 
-def sample_n(df: DataFrame, n: int, seed: int, row_id: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exactly ``n`` rows without replacement, or all of them when there are fewer."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(seeded_hash(seed, row_id), row_id).limit(n)
-    return number_all(df, seed, row_id, "_number", hot_rows).where(F.col("_number") <= n).drop("_number")
+def sample_n(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
+    """Exactly ``n`` rows without replacement, or all of them when there are fewer. ``row_id`` is unique."""
+    return first_by_hash(df, n, seed, row_id)
 
 
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
     """The first ``n`` rows by a unique order column."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(order_col).limit(n)
-    return number_by_value(materialise(df), F.col(order_col), "_number").where(F.col("_number") <= n).drop("_number")
+    return first_by_value(df, n, order_col)
 
 
 def shuffle_rows(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:

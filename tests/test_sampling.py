@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citeflow.operators import sampling
 from citeflow.operators.numbering import number_all, number_by_value, number_in_group
+from citeflow.operators.selection import first_by_hash, first_by_value
 
 
 def digest(seed, key):
@@ -70,20 +71,34 @@ def test_number_by_value(groups, hot_rows):
     assert [r.number for r in got] == list(range(1, len(got) + 1))
 
 
-def test_sample_n(groups, monkeypatch):
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_sample_n(groups, small):
     order = sorted((r.row_id for r in groups.collect()), key=lambda k: (digest(3, k), k))
-    small = sampling.sample_n(groups, 50, 3)
-    assert {r.row_id for r in small.collect()} == set(order[:50])
-    assert sampling.sample_n(groups, 10_000, 3).count() == len(order)
-    monkeypatch.setattr(sampling, "SMALL_LIMIT", 10)
-    assert {r.row_id for r in sampling.sample_n(groups, 50, 3, hot_rows=20).collect()} == set(order[:50])
-
-
-def test_first_n(groups, monkeypatch):
-    wanted = sorted(r.row_id for r in groups.collect())[:40]
-    assert [r.row_id for r in sampling.first_n(groups, 40, "row_id").orderBy("row_id").collect()] == wanted
-    monkeypatch.setattr(sampling, "SMALL_LIMIT", 10)
-    assert [r.row_id for r in sampling.first_n(groups, 40, "row_id").orderBy("row_id").collect()] == wanted
+    for n in (0, 1, 50, len(order) - 1, len(order), 10**6):
+        got = first_by_hash(groups, n, 3, small=small).collect()
+        assert len(got) == min(n, len(order)) and {r.row_id for r in got} == set(order[:n])
+    with pytest.raises(ValueError, match="not unique"):
+        first_by_hash(groups.select(F.lit("same").alias("row_id")), 50, 3, small=3)
+
+
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_first_n(spark, groups, small):
+    wanted = sorted(r.row_id for r in groups.collect())
+    for n in (0, 1, 40, len(wanted) - 1, 10**6):
+        got = first_by_value(groups, n, "row_id", small=small).collect()
+        assert sorted(r.row_id for r in got) == wanted[:n]
+    odd = spark.range(2000).select(F.when(F.col("id") > 0, F.timestamp_micros(F.col("id") * 7919 % 2000)).alias("t"))
+    got = sorted((r.t is not None, r.t) for r in first_by_value(odd, 700, "t", small=small).collect())
+    assert got == sorted((r.t is not None, r.t) for r in odd.collect())[:700]
+    with pytest.raises(ValueError, match="not unique"):
+        first_by_value(spark.range(500).select(F.lit(1).alias("t")), 50, "t", small=3)
+
+
+def test_selection_shuffles_the_last_range_only(groups):
+    """What comes back is a filter on the table."""
+    for selected in (first_by_hash(groups, 100, 3, small=3), first_by_value(groups, 100, "row_id", small=3)):
+        plan = selected._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
 
 
 def test_shuffle_rows(groups):
