@@ -165,8 +165,9 @@ oracle(
          count(*) as evaluated from pair_ranks""",
     PAIRS,
 )
-for name in ("top10_neighbours", "top10_neighbours_blocked"):
+for name in ("top10_neighbours", "top10_neighbours_blocked", "clustered_neighbours"):
     oracle(name, "select query_id, cand_id, score, rank from pair_ranked where rank <= 10", PAIRS)
+oracle("clustered_recall", "select count(*) as neighbours, true as recall_reached from pair_ranked where rank <= 10", PAIRS)
 oracle("pair_similarity", "select query_id as pair_id, score from pair_scores where query_id = cand_id", PAIRS)
 oracle(
     "retrieval_report",

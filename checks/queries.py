@@ -23,7 +23,7 @@ from citeflow.functions import (
     word_count,
 )
 from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_COURT_DATE, TASK_PLAIN, e5_query
-from citeflow.operators import audit, bayes, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting
+from citeflow.operators import audit, bayes, clusters, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting
 from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
@@ -85,6 +85,25 @@ def top10_neighbours_blocked(spark, sf):
     return retrieval.blocked_topk(q, c, 10, block_rows=64).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def clustered_neighbours(spark, sf):
+    """The clustered index with every cluster visited: all rows are in it, and the answer is the exact one."""
+    q, c, _ = _pairs(spark, sf)
+    index = clusters.build_index(c, SEED, slice_rows=40)
+    found = clusters.search_index(index, q, 10, len(index.centres), block_rows=128)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def clustered_recall(spark, sf):
+    """As few clusters as recall 0.9 takes on a sample; the recall of all queries against the exact neighbours."""
+    q, c, _ = _pairs(spark, sf)
+    found, _ = clusters.approximate_topk(q, c, 10, target=0.95)
+    exact = retrieval.blocked_topk(q, c, 10)
+    hits = exact.join(found.select("query_id", "cand_id", F.lit(1).alias("hit")), ["query_id", "cand_id"], "left")
+    return hits.agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query
 def pair_similarity(spark, sf):
     """Normalised dot product of each pair."""
