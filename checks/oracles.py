@@ -133,7 +133,7 @@ def oracle(name: str, body: str, needs: str = "", extra: dict[str, str] | None =
     steps = {k: v for k, v in INPUTS.items() if k in wanted}
     steps.update(extra or {})
     head = ",\n".join(f"{k} as ({v})" for k, v in steps.items())
-    ORACLES[name] = f"with {head}\n{body}" if steps else body
+    ORACLES[name] = f"with recursive {head}\n{body}" if steps else body
 
 
 # ---- retrieval -------------------------------------------------------------------------------------------------
@@ -540,6 +540,53 @@ oracle(
 
 # ---- baseline scorer -------------------------------------------------------------------------------------------
 
+def _one_more(lacks: tuple[str, str, str], left: str, at_least: int, source: str) -> str:
+    """One of the units left over goes to the split that lacks most."""
+    x, y, z = lacks
+    picks = (f"{x} >= {y} and {x} >= {z}", f"{y} > {x} and {y} >= {z}", f"{z} > {x} and {z} > {y}")
+    gives = [f"case when {left} >= {at_least} and {p} then 1 else 0 end" for p in picks]
+    moved = ", ".join(f"l{j} - n * {g} as l{j}, g{j} + {g} as g{j}" for j, g in enumerate(gives, 1))
+    return f"select k, n, {left}, {moved} from ({source})"
+
+
+_GIVEN = """select k, n, m, a1 as g1, a2 as g2, a3 as g3, m - a1 - a2 - a3 as left_over, l1 - a1 * n as l1, l2 - a2 * n as l2, l3 - a3 * n as l3
+    from (select *, m * greatest(l1, 0) // whole as a1, m * greatest(l2, 0) // whole as a2, m * greatest(l3, 0) // whole as a3
+          from (select b.k, b.n, b.m, l1, l2, l3, greatest(1, greatest(l1, 0) + greatest(l2, 0) + greatest(l3, 0)) as whole from lacks join by_size b on b.k = lacks.k + 1))"""
+_LACKS = _one_more(("l1", "l2", "l3"), "left_over", 2, _one_more(("l1", "l2", "l3"), "left_over", 1, _GIVEN))
+
+UNITS = {
+    "plain": r"""
+        select row_id, list_filter(regexp_split_to_array(
+                   translate(destination_context, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+'), lambda x: x <> '') as w
+        from contexts""",
+    "marked": """
+        select row_id, case when len(w) = 0 then md5(concat('row|', row_id)) else md5(array_to_string(w, ' ')) end as node,
+               case when len(w) >= 50 then [md5(concat('first|', array_to_string(w[1:50], ' '))), md5(concat('last|', array_to_string(w[-50:], ' ')))] else [] end as edges
+        from plain""",
+    "edged": "select distinct node, unnest(edges) as edge from marked",
+    "near": "select distinct a.node as x, b.node as y from edged a join edged b on a.edge = b.edge and a.node <> b.node",
+    "reached(node, other)": "select distinct node, node from marked union select r.node, n.y from reached r join near n on n.x = r.other",
+    "unit_of": "select row_id, unit from marked join (select node, min(other) as unit from reached group by node) using (node)",
+    "counted": "select unit, count(*) as n from unit_of group by unit",
+    "by_size": "select n, count(*) as m, row_number() over (order by n desc) as k from counted group by n",
+    "sizes": """
+        select n_all, n_rest, cast(ceil(0.1::decimal(9,6) * n_rest / 0.2::decimal(9,6)) as bigint) as n_test
+        from (select *, cast(ceil(0.2::decimal(9,6) * n_all) as bigint) as n_rest from (select count(*) as n_all from unit_of))""",
+    "lacks(k, n, left_over, l1, g1, l2, g2, l3, g3)": f"""
+        select 0::bigint, 0::bigint, 0::bigint, n_all - n_rest, 0::bigint, n_rest - n_test, 0::bigint, n_test, 0::bigint from sizes
+        union all {_LACKS}""",
+    "unit_sides": f"""
+        select unit, case when place <= g1 then 'train' when place <= g1 + g2 then 'valid' else 'test' end as split
+        from (select *, row_number() over (partition by n order by md5(concat_ws('|', '{SEED}', unit)), unit) as place from counted) c
+        join lacks l on l.n = c.n""",
+    "unit_split": "select row_id, unit, split from unit_of join unit_sides using (unit)",
+}
+oracle("leak_free_split", "select row_id, split from unit_split", "contexts", UNITS)
+oracle(
+    "leak_free_counts", "select split, count(*) as n_rows, count(distinct unit) as n_units from unit_split group by split", "contexts", UNITS
+)
+
+
 def bayes_ctes(label: str = "dest_court", having: str = "true") -> dict[str, str]:
     return {
         **split_ctes("contexts", label),

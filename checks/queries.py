@@ -23,7 +23,7 @@ from citeflow.functions import (
     word_count,
 )
 from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_COURT_DATE, TASK_PLAIN, e5_query
-from citeflow.operators import audit, bayes, clusters, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting
+from citeflow.operators import audit, bayes, clusters, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting, units
 from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
@@ -597,6 +597,23 @@ def citation_worklist(spark, sf):
     return datasets.citation_worklist(rows, params, DOC_ROWS).select("row_id", "passage_id", "dest_cite")
 
 
+@query
+def leak_free_split(spark, sf):
+    """Whole texts that are equal, or share their first or last 50 words, on one side of the split."""
+    rows = t.contexts(spark, sf).select("row_id", "destination_context")
+    found = units.context_units(rows, "destination_context")
+    return units.split_units(rows.select("row_id"), found, seed=SEED)
+
+
+@query
+def leak_free_counts(spark, sf):
+    """Rows of the splits, and how many units they consist of."""
+    rows = t.contexts(spark, sf).select("row_id", "destination_context")
+    found = stored(units.context_units(rows, "destination_context"), "units")
+    split = units.split_units(rows.select("row_id"), found, seed=SEED).join(found, "row_id")
+    return split.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("unit").alias("n_units"))
+
+
 # ---- baseline scorer -------------------------------------------------------------------------------------------
 
 
