@@ -8,15 +8,17 @@ small logistic regression, and the runs of likely tokens are the offending spans
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.arrays import Words, shingle_hashes, text_slices
+from citeflow.llm.arrays import Words, mix, shingle_hashes, text_slices
 from citeflow.llm.frames import by_batch, col, free_name, stored
 
 #: Bound of the sample that the chain and the score are fitted on: documents of each label, chosen by a hash. Three
@@ -28,6 +30,10 @@ BEGINNINGS = (0, 4, 5, 6, 7, 8, 10)
 #: are higher by this factor, and there are this many standard deviations more of them than the labels' shares give.
 LEAST_DOCUMENTS, LEAST_ODDS, LEAST_Z = 5, 4.0, 5.0
 CHAIN, STEPS, RATE = 128, 150, 0.15
+#: Chains whose messages are held at a time while the chain is fitted.
+CHAINS = 2048
+#: Orders of the shingles whose least ones tell copies.
+SKETCH = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93)
 
 
 def tokens(offsets: np.ndarray, data: np.ndarray) -> Words:
@@ -39,10 +45,12 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> Words:
     return Words(offsets, data, letters=True)
 
 
-def features(words: Words) -> np.ndarray:
-    """One 64-bit feature per token and length of beginning (a short word's beginning is the word itself)."""
-    columns = [words.hashes(None if b == 0 else b) + np.uint64(b) for b in BEGINNINGS]
-    return np.stack(columns, axis=1) if columns else np.zeros((0, len(BEGINNINGS)), dtype=np.uint64)
+def feature(words: Words, beginning: int) -> np.ndarray:
+    """A 64-bit feature per token: the whole word (0), or its beginning; zero where that is the whole word again."""
+    if not beginning:
+        return words.hashes()
+    found = words.hashes(beginning) + np.uint64(beginning)
+    return np.where(words.stops - words.starts > beginning, found, np.uint64(0))
 
 
 @dataclass
@@ -64,7 +72,9 @@ class ToxicModel:
     def marginals(self, words: Words) -> np.ndarray:
         """The chance of each token to be toxic; every text is one chain over all its tokens."""
         weights = np.append(self.weights, 0.0)
-        emission = self.chain[0] + weights[self.rows(features(words))].sum(axis=1)
+        emission = np.full(len(words.starts), self.chain[0])
+        for beginning in BEGINNINGS if len(self.marked) else ():
+            emission += weights[self.rows(feature(words, beginning))]
         return chain_marginals(emission, words.begins, self.chain)
 
     def document_features(self, chances: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -128,12 +138,15 @@ def chain_marginals(emission: np.ndarray, begins: np.ndarray, chain: np.ndarray)
 
 
 def copies(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A number for each text that near copies share: the smallest of its 3-word shingles tells them apart."""
+    """A number for each text that near copies share: the least of its 3-word shingles in each of several orders, taken
+    together. One least shingle alone is common to unlike texts, the more of them the larger the table is."""
     shingles, at = shingle_hashes(words, begins, 3)
-    smallest = np.zeros(len(begins) - 1, dtype=np.uint64)
     some = at[1:] > at[:-1]
-    smallest[some] = shingles[at[:-1][some]]
-    return smallest
+    out = np.zeros(len(begins) - 1, dtype=np.uint64)
+    for salt in SKETCH if len(shingles) else ():
+        least = np.minimum.reduceat(mix(shingles ^ np.uint64(salt)), at[:-1][some])
+        out[some] = mix(out[some] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return out
 
 
 def _group(text: Column) -> Column:
@@ -149,40 +162,40 @@ def _group(text: Column) -> Column:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """In how many documents a feature is: ``toxic``, ``found``, ``grp`` and ``n``. Documents without copies are counted
-    together, with a null group; those of a ``shared`` group come one by one."""
+    """In how many documents a feature is: ``toxic``, ``found`` and ``n``, added up over a slice of texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, grp, shared = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "grp", "shared"))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             for row, offsets, data in text_slices(batch.column("text")):
-                words, some = tokens(offsets, data), slice(row, row + len(offsets) - 1)
-                found = features(words)
-                each = [np.unique(found[i:j]) for i, j in zip(words.begins[:-1], words.begins[1:], strict=True)]
-                alone = [[e for e, t, s in zip(each, toxic[some], shared[some], strict=True) if not s and bool(t) == label] for label in (True, False)]
-                rows = [(label, None, *np.unique(np.concatenate(a), return_counts=True)) for label, a in zip((True, False), alone, strict=True) if a]
-                rows += [(bool(t), g, e, np.ones(len(e), dtype=np.int64)) for e, t, g, s in zip(each, toxic[some], grp[some], shared[some], strict=True) if s]
-                for label, g, values, n in rows:
-                    for k in range(0, len(values), 100_000):
-                        v = pa.array(values[k : k + 100_000].view(np.int64))
-                        columns = [pa.repeat(pa.scalar(label), len(v)), v, pa.repeat(pa.scalar(g, pa.int64()), len(v)), pa.array(n[k : k + 100_000].astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, ["toxic", "found", "grp", "n"])
-
-    return docs.select("toxic", "text", "grp", "shared").mapInArrow(run, "toxic boolean, found bigint, grp bigint, n bigint")
+                words, label = tokens(offsets, data), toxic[row : row + len(offsets) - 1]
+                document = np.repeat(np.arange(len(label)), np.diff(words.begins))
+                for beginning in BEGINNINGS:
+                    found = feature(words, beginning)
+                    order = np.lexsort((document, found))
+                    found, owner = found[order], document[order]
+                    first = found != 0  # once a document
+                    first[1:] &= (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+                    found, owner = found[first], owner[first]
+                    for kind in (True, False):
+                        values, n = np.unique(found[label[owner] == kind], return_counts=True)
+                        for k in range(0, len(values), 100_000):
+                            v = pa.array(values[k : k + 100_000].view(np.int64))
+                            columns = [pa.repeat(pa.scalar(kind), len(v)), v, pa.array(n[k : k + 100_000].astype(np.int64))]
+                            yield pa.RecordBatch.from_arrays(columns, ["toxic", "found", "n"])
+
+    return docs.select("toxic", "text").mapInArrow(run, "toxic boolean, found bigint, n bigint")
 
 
 def marked_features(rows: DataFrame) -> np.ndarray:
-    """The features that mark toxic tokens, ascending, counted over all of ``rows`` (``toxic`` and ``text``); copies of one
-    text count once. Only the features that pass reach the driver."""
+    """The features that mark toxic tokens, ascending, counted over all of ``rows`` (``toxic`` and ``text``); of near
+    copies with one label the least text counts. Only the features that pass reach the driver."""
     docs = rows.select("toxic", "text", _group(F.col("text")).alias("grp"))
-    groups = stored(docs.groupBy("toxic", "grp").agg((F.count("*") > 1).alias("shared")), "toxic-groups")
-    n = {r["toxic"]: r["n"] for r in groups.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    docs = stored(docs.groupBy("toxic", "grp").agg(F.min("text").alias("text")), "toxic-texts")
+    n = {r["toxic"]: r["n"] for r in docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
-    docs = docs.join(groups.where("shared"), ["toxic", "grp"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    counts = _counted(docs).groupBy("toxic", "found", "grp").agg(F.sum("n").alias("n"))
-    times = F.when(F.col("grp").isNull(), F.col("n")).otherwise(1)
-    counts = counts.groupBy("found").agg(
-        F.sum(F.when(F.col("toxic"), times).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("toxic"), times).otherwise(0)).alias("good")
+    counts = _counted(docs).groupBy("found").agg(
+        F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("good")
     )
     bad, good = F.col("bad"), F.col("good")
     log_odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
@@ -192,6 +205,34 @@ def marked_features(rows: DataFrame) -> np.ndarray:
     return np.sort(marked["found"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def marked_tokens(rows: DataFrame, model: ToxicModel) -> pa.Table:
+    """(``place``, ``key``, ``toxic``, ``n``, ``token``, ``row``) of the sample: each text's length and which of its
+    tokens have which marked feature. The texts themselves stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, hits, at_row = [], [], []
+            for _, offsets, data in text_slices(batch.column("text")):
+                words = tokens(offsets, data)
+                found = [model.rows(feature(words, b)) for b in BEGINNINGS]
+                at = [np.flatnonzero(f < len(model.marked)) for f in found]
+                row = np.concatenate([f[a] for f, a in zip(found, at, strict=True)])
+                at = np.concatenate(at)
+                order = np.argsort(at, kind="stable")
+                at, row = at[order], row[order]
+                cuts = np.searchsorted(at, words.begins)
+                lengths += np.diff(words.begins).tolist()
+                hits += [at[i:j] - b for i, j, b in zip(cuts[:-1], cuts[1:], words.begins[:-1], strict=True)]
+                at_row += [row[i:j] for i, j in itertools.pairwise(cuts)]
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (hits, at_row)]
+            columns = [batch.column(c) for c in ("place", "key", "toxic")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64()), *lists], ["place", "key", "toxic", "n", "token", "row"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"place bigint, key {kind}, toxic boolean, n bigint, token array<int>, row array<int>"
+    return rows.select("place", "key", "toxic", "text").mapInArrow(run, schema).toArrow()
+
+
 def fit_chain(
     hit_token: np.ndarray, hit_row: np.ndarray, labels: np.ndarray, begins: np.ndarray, n_marked: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -200,47 +241,66 @@ def fit_chain(
     ``hit_token`` and ``hit_row`` say which token has which marked feature. The likelihood's gradient is what is observed
     less what forward-backward expects, for states and for transitions. Texts are cut into chains of ``CHAIN`` tokens.
     """
-    tokens_ = len(labels)
-    cuts = np.unique(np.concatenate([begins, np.arange(0, tokens_ + 1, CHAIN)]))
+    cuts = np.unique(np.concatenate([begins, np.arange(0, len(labels) + 1, CHAIN)]))
     n = np.diff(cuts)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
-    lengths = n[order]
-    column = np.repeat(np.arange(len(order)), lengths)
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    source = np.repeat(cuts[order], lengths) + place
-    y = labels[source].astype(float)
-    after = place > 0
-    previous = np.concatenate([[0.0], y[:-1]])
-    seen = np.array([y.sum(), ((1 - previous) * y)[after].sum(), (previous * (1 - y))[after].sum(), (previous * y)[after].sum(), y[~after].sum()])
-    place_of = np.empty(tokens_, dtype=np.int64)
-    place_of[source] = np.arange(len(source))
-    hit_token = place_of[hit_token]
-    seen_rows = np.bincount(hit_row, weights=y[hit_token], minlength=n_marked)
+    by_token = np.argsort(hit_token, kind="stable")
+    hit_token, hit_row = hit_token[by_token], hit_row[by_token].astype(np.int32)
+    parts = [_Part(cuts, order[at : at + CHAINS], labels, hit_token, hit_row, n_marked) for at in range(0, len(order), CHAINS)]
+    seen = sum((part.seen for part in parts), np.zeros(n_marked + 5))
     theta = np.concatenate([np.full(n_marked, 1.0), [-4.0, 0.0, 0.0, 0.0, 0.0]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, STEPS + 1):
-        weights, chain = theta[:n_marked], theta[n_marked:]
-        emission = chain[0] + np.bincount(hit_token, weights=weights[hit_row], minlength=len(source))
+        gradient = sum((-part.expected(theta) for part in parts), seen - 0.05 * theta)
+        if n_marked:  # a marked feature that the sample hardly has weighs as the others do, not nothing
+            gradient[:n_marked] += 0.05 * theta[:n_marked].mean()
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.99 * second + 0.01 * gradient**2
+        theta = theta + RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    return theta[:n_marked], theta[n_marked:]
+
+
+class _Part:
+    """Some chains of the sample, longest first, with what is observed in them: every marked feature on toxic tokens,
+    toxic tokens, the three transitions and toxic starts."""
+
+    def __init__(self, cuts, chains, labels, hit_token, hit_row, n_marked):
+        self.n_marked, self.lengths = n_marked, np.diff(cuts)[chains]
+        self.column = np.repeat(np.arange(len(chains), dtype=np.int32), self.lengths)
+        self.place = (np.arange(self.lengths.sum()) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)).astype(np.int32)
+        source = np.repeat(cuts[chains], self.lengths) + self.place
+        self.after = self.place > 0
+        y = labels[source].astype(float)
+        previous = np.concatenate([[0.0], y[:-1]])
+        after = self.after
+        # the hits of these tokens, in their order here
+        low, high = np.searchsorted(hit_token, source), np.searchsorted(hit_token, source, "right")
+        times = high - low
+        self.token = np.repeat(np.arange(len(source), dtype=np.int32), times)
+        self.row = hit_row[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        self.seen = np.concatenate([
+            np.bincount(self.row, weights=y[self.token], minlength=n_marked),
+            [y.sum(), ((1 - previous) * y)[after].sum(), (previous * (1 - y))[after].sum(), (previous * y)[after].sum(), y[~after].sum()],
+        ])
+
+    def expected(self, theta: np.ndarray) -> np.ndarray:
+        """What forward-backward expects of the same."""
+        weights, chain = theta[: self.n_marked], theta[self.n_marked :]
+        place, column, after = self.place, self.column, self.after
+        emission = chain[0] + np.bincount(self.token, weights=weights[self.row], minlength=len(place))
         odds = np.exp(np.clip(emission, -40, 40))
-        table = np.ones((int(lengths[0]) if len(lengths) else 1, max(len(order), 1)))
+        table = np.ones((int(self.lengths[0]), len(self.lengths)))
         table[place, column] = odds
         step = np.exp([0.0, *chain[1:5]])
-        forward, backward = _messages(table, step, lengths)
+        forward, backward = _messages(table, step, self.lengths)
         ratio = forward[place, column] * backward[place, column]
         p = ratio / (1 + ratio)
         f = forward[np.maximum(place - 1, 0), column][after]
         o = (odds * backward[place, column])[after]
         mass = step[0] + step[1] * o + step[2] * f + step[3] * f * o
-        expected = np.array([p.sum(), (step[1] * o / mass).sum(), (step[2] * f / mass).sum(), (step[3] * f * o / mass).sum(), p[~after].sum()])
-        gradient = np.concatenate([seen_rows - np.bincount(hit_row, weights=p[hit_token], minlength=n_marked), seen - expected])
-        gradient -= 0.05 * theta
-        if n_marked:  # a marked feature that the sample hardly has weighs as the others do, not nothing
-            gradient[:n_marked] += 0.05 * weights.mean()
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient**2
-        theta = theta + RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return theta[:n_marked], theta[n_marked:]
+        moves = [p.sum(), (step[1] * o / mass).sum(), (step[2] * f / mass).sum(), (step[3] * f * o / mass).sum(), p[~after].sum()]
+        return np.concatenate([np.bincount(self.row, weights=p[self.token], minlength=self.n_marked), moves])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -268,33 +328,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return ToxicModel()
     place = F.xxhash64(F.lit("toxic"), "key")
     share = F.when(F.col("toxic"), F.lit(min(1.0, per_label / counts[True]))).otherwise(F.lit(min(1.0, per_label / counts[False])))
-    sample = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30)).toArrow()
-    sample = sample.sort_by([("place", "ascending"), ("key", "ascending")])
-    toxic = np.array(sample["toxic"].to_pylist(), dtype=bool)
-    scoring = np.array(sample["place"].to_pylist(), dtype=np.int64) // (1 << 30) % 4 == 0
-    texts = sample["text"].combine_chunks()
-
-    learning = rows
-    if not (toxic & ~scoring).any() or not (toxic & scoring).any() or not (~toxic & scoring).any():
-        scoring[:] = False
-    else:
-        learning = rows.where(F.pmod(F.shiftright(place, 30), F.lit(4)) != 0)
+    sample = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
+    judging = F.pmod(F.shiftright(F.col("place"), 30), F.lit(4)) == 0
+    sides = {(r["toxic"], r["judges"]) for r in sample.select("toxic", judging.alias("judges")).distinct().collect()}
+    apart = {(True, True), (True, False), (False, True)} <= sides
+    learning = rows.withColumn("place", place).where(~judging) if apart else rows
     model = ToxicModel()
     model.marked = marked_features(learning)
 
-    begins, hits = [np.zeros(1, dtype=np.int64)], []
-    for _, offsets, data in text_slices(texts):
-        words, first = tokens(offsets, data), begins[-1][-1]
-        begins.append(words.begins[1:] + first)
-        for beginning in BEGINNINGS if len(model.marked) else ():
-            # one feature at a time: all at once would be the sample many times over
-            row = model.rows(words.hashes(beginning or None) + np.uint64(beginning))
-            at = np.flatnonzero(row < len(model.marked))
-            hits.append((at + first, row[at]))
-    begins = np.concatenate(begins)
+    told = marked_tokens(sample, model).sort_by([("place", "ascending"), ("key", "ascending")])
+    toxic = told["toxic"].to_numpy().astype(bool)
+    scoring = (told["place"].to_numpy() // (1 << 30) % 4 == 0) & apart
+    begins = np.concatenate([[0], np.cumsum(told["n"].to_numpy())])
+    hit_row = pc.list_flatten(told["row"]).to_numpy().astype(np.int64)
+    hit_token = pc.list_flatten(told["token"]).to_numpy().astype(np.int64)
+    hit_token = hit_token + np.repeat(begins[:-1], pc.list_value_length(told["token"]).to_numpy())
     of = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(begins))
     learn, mine = np.flatnonzero(~scoring), np.flatnonzero(~scoring[of])
-    hit_token, hit_row = (np.concatenate(h) for h in zip(*hits, strict=True)) if hits else (np.zeros(0, dtype=np.int64),) * 2
     labelled = np.zeros(len(of), dtype=bool)
     labelled[hit_token] = True
     labelled = (labelled & toxic[of])[mine]

@@ -113,14 +113,17 @@ def test_toxic_words_are_found(spark):
 
 def base_marked(rows):
     """Features that mark toxic tokens, over sets of plain Python."""
-    seen, groups = {True: {}, False: {}}, {True: set(), False: set()}
+    seen, groups = {True: {}, False: {}}, {True: {}, False: {}}
     for text, label in rows:
         data = text.encode()
         words = toxic.tokens(np.array([0, len(data)]), np.frombuffer(data, dtype=np.uint8))
         group = int(toxic.copies(words.hashes(), words.begins)[0])
-        groups[label].add(group)
-        for f in set(toxic.features(words).ravel().tolist()):
-            seen[label].setdefault(f, set()).add(group)
+        if group not in groups[label] or text < groups[label][group][0]:
+            groups[label][group] = (text, words)
+    for label, texts in groups.items():
+        for group, (_, words) in texts.items():
+            for f in {f for b in toxic.BEGINNINGS for f in toxic.feature(words, b).tolist()} - {0}:
+                seen[label].setdefault(f, set()).add(group)
     n_bad, n_good = len(groups[True]), len(groups[False])
     marked = []
     for f, of in seen[True].items():
@@ -153,6 +156,62 @@ def test_toxic_words_are_counted_over_all_rows(spark):
     assert [(s.start, s.end) for s in spans] == [(10, 16)]
 
 
+def test_unlike_texts_with_a_common_phrase_are_no_copies():
+    rng = random.Random(8)
+    phrase = "it is the opinion of the court that".split()
+
+    def group(words):
+        data = " ".join(words).encode()
+        found = toxic.tokens(np.array([0, len(data)]), np.frombuffer(data, dtype=np.uint8))
+        return int(toxic.copies(found.hashes(), found.begins)[0])
+
+    letters = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    unlike = []
+    for _ in range(3000):
+        own = rng.choices(letters, k=60)
+        unlike.append(own[:30] + phrase + own[30:])
+    assert len({group(w) for w in unlike}) > 2990
+    near = 0
+    for words in unlike[:300]:
+        copy = [*words, *rng.choices(letters, k=3)]
+        near += group(words) == group(copy)
+    assert near > 200 and group(unlike[0]) == group([w.upper() for w in unlike[0]])
+
+
+def test_chain_is_fitted_by_the_likelihoods_gradient(monkeypatch):
+    rng = np.random.default_rng(5)
+    begins = np.array([0, 3, 3, 7, 12])
+    labels = rng.random(12) < 0.4
+    hit_token, hit_row = rng.integers(0, 12, 15), rng.integers(0, 4, 15)
+    theta = rng.normal(size=9)
+
+    def likelihood(theta):
+        emission = theta[4] + np.bincount(hit_token, weights=theta[:4][hit_row], minlength=12)
+        total = 0.0
+        for a, b in itertools.pairwise(begins):
+            scores = {}
+            for path in itertools.product((0, 1), repeat=b - a):
+                score = float(emission[a:b] @ np.array(path)) + (theta[8] if path and path[0] else 0)
+                scores[path] = score + sum({(0, 0): 0.0, (0, 1): theta[5], (1, 0): theta[6], (1, 1): theta[7]}[p] for p in itertools.pairwise(path))
+            total += scores[tuple(labels[a:b].astype(int))] - math.log(sum(map(math.exp, scores.values())))
+        return total
+
+    n = np.diff(begins)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    by = np.argsort(hit_token, kind="stable")
+    parts = [toxic._Part(begins, order[i : i + 2], labels, hit_token[by], hit_row[by], 4) for i in (0, 2)]
+    gradient = sum(p.seen - p.expected(theta) for p in parts)
+    for j in range(9):
+        step = np.zeros(9)
+        step[j] = 1e-5
+        assert gradient[j] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-5, abs=1e-6)
+    whole = toxic.fit_chain(hit_token, hit_row, labels, begins, 4)
+    monkeypatch.setattr(toxic, "CHAINS", 1)
+    for a, b in zip(whole, toxic.fit_chain(hit_token, hit_row, labels, begins, 4)):
+        assert a == pytest.approx(b)
+
+
 @pytest.mark.parametrize("spread", [0.05, 3.0])
 def test_top_k(spark, spread):
     rng = np.random.default_rng(4)
