@@ -36,6 +36,8 @@ DELETION_SIZE = 64
 COLLISION_COST = 20.0
 #: Shingles that meet in one comparison task from each side (four times as many where sketches stand for them).
 BLOCK_SHINGLES = 1 << 20
+#: Sets of a block at most, about: their pairs are what a task compares.
+BLOCK_SETS = 4096
 #: A bit filter of this many bits at most goes to the executors; with more to filter the join does without it.
 FILTER_BITS = 1 << 28
 
@@ -326,11 +328,13 @@ def _alike(num: int, den: int):
 
 def _tasks(members: DataFrame, name: str, block_shingles: int) -> DataFrame:
     """Each member once per pair of blocks of its group that it takes part in: ``block`` and the pair ``i``, ``j``."""
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("n_blocks"))
+    by_size = F.greatest(F.ceil(F.sum("n") / F.lit(block_shingles)), F.ceil(F.count("*") / F.lit(BLOCK_SETS)))
+    blocks = members.groupBy("group").agg(by_size.cast("int").alias("n_blocks"))
     placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(1), name), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     pair = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return placed.select("*", other).select("*", *pair).drop("other", "n_blocks")
+    # dealt by pair: by group alone, which the joins above leave behind, a large group's pairs would be one task
+    return placed.select("*", other).select("*", *pair).drop("other", "n_blocks").repartition("group", "i", "j")
 
 
 def _verify(n: int, num: int, den: int):
@@ -370,6 +374,13 @@ def jaccard_components(
     reachable by links, its own included. Rows with a null key get their set's size and a null component and link
     nothing; repeated rows are in one class. Every link between different sets is found; copies are never expanded.
     """
+    found = _classes(docs, key, text, n, num, den)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _classes(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """A row per row of ``docs``: ``id``, set size ``n``, set digest ``node``, ``component``, and whether it is the one of
+    its class that ``keeps`` standing for it: the smallest id, and of one id the smallest digest."""
     rows = docs.select(col(key).alias("id"), col(text).alias("text"))
     everything = stored(index_sets(rows, n, num, den), "sets")
     sets = everything.where(F.col("id").isNotNull())
@@ -403,18 +414,34 @@ def jaccard_components(
     near = bit_filter(hashed, "h")
     source = rows.withColumn("h", F.xxhash64("id"))
     source = (source.where(near) if near is not None else source).select("id", "text")
-    work = tasks.join(source, "id").select("group", "i", "j", "block", "node", "text")
+    work = tasks.join(source, "id").select("group", "i", "j", "block", "node", "text").repartition("group", "i", "j")
     links = work.groupBy("group", "i", "j").applyInArrow(_verify(n, num, den), "a bigint, b bigint")
     classes = connected_components(links)
 
     known = listed.join(classes.withColumnRenamed("id", "node"), "node", "left")
-    known = known.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
-    smallest = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
+    known = known.select("id", "n", "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
+    smallest = known.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("id", "node")).alias("low"), F.count("*").alias("rows"))
     # stored, and only where it says something, so that the join below is one whose large classes Spark can split
     smallest = stored(smallest.where("rows > 1").select("class", "low"), "classes")
-    named = known.join(smallest, "class", "left").select("id", "n", F.coalesce("low", "id").alias("component"))
-    unnamed = everything.where("first and id is null").select("id", "n", F.col("id").alias("component"))
-    return named.unionByName(unnamed).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    keeps = F.col("low").isNull() | (F.struct("id", "node") == F.col("low"))
+    named = known.join(smallest, "class", "left").select("id", "n", "node", F.coalesce("low.id", "id").alias("component"), keeps.alias("keeps"))
+    unnamed = everything.where("first and id is null").select("id", "n", "node", F.col("id").alias("component"), F.lit(True).alias("keeps"))
+    return named.unionByName(unnamed)
+
+
+def _set_digests(text: Column, n: int) -> Column:
+    """``node`` of each text's set."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = []
+            for _, offsets, data in text_slices(texts):
+                words = Words(offsets, data)
+                shingles, at = shingle_hashes(words.hashes(), words.begins, n)
+                made += [set_digest(shingles[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.array(_signed(np.array(made, dtype=np.uint64)))
+
+    return by_batch(run, "bigint", text)
 
 
 def keep_one_of_each_class(
@@ -422,16 +449,21 @@ def keep_one_of_each_class(
 ) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the document with the smallest key, once.
 
-    Rows with a null key and texts without words are like nothing else and stay. Most rows are told apart from the
-    documents to drop by a bit filter; only the others are looked up.
+    Rows with a null key and texts without words are like nothing else and stay. Rows that share a key are judged each by
+    its own text: unlike ones stay, like ones are one class and of equal ones a single row stays. Most rows are told
+    apart from the documents to drop by a bit filter; only the others are looked up, by key and digest.
     """
-    classes = stored(jaccard_components(docs, key, text, n, num, den), "classes").where(col(key).isNotNull())
-    dropped = stored(classes.where(col(key) != F.col("component_id")).select(col(key).alias("dropped")).distinct(), "dropped")
-    repeated = classes.groupBy(col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
-    looked_up = stored(dropped.select(F.xxhash64("dropped").alias("h")).unionByName(repeated.select(F.xxhash64("again").alias("h"))), "looked-up")
-    name, mark = free_name(docs, "_hash"), free_name(docs, "_hit")
-    hit = bit_filter(looked_up, "h", name)
-    marked = docs.withColumn(name, F.xxhash64(col(key))).withColumn(mark, F.lit(True) if hit is None else hit)
+    classes = stored(_classes(docs, key, text, n, num, den).where("id is not null and n > 0"), "classes")
+    pairs = classes.groupBy("id", "node").agg(F.min("keeps").alias("keeps"), F.count("*").alias("rows"))
+    pairs = stored(pairs.where("not keeps or rows > 1").select("id", "node", "keeps"), "looked-up")
+    mark, hashed, node, gone, digest = (free_name(docs, wish) for wish in ("_hit", "_hash", "_node", "_gone", "_digest"))
+    hit = bit_filter(pairs.select(F.xxhash64("id").alias("h")), "h", hashed)
+    marked = docs.withColumn(hashed, F.xxhash64(col(key))).withColumn(mark, F.lit(True) if hit is None else hit)
     marked = marked.withColumn(mark, F.col(mark) & col(key).isNotNull())
-    doubtful = marked.where(F.col(mark)).join(dropped, col(key) == F.col("dropped"), "left_anti").dropDuplicates([key])
-    return marked.where(~F.col(mark)).unionByName(doubtful).select(*[col(c) for c in docs.columns])
+    doubtful = marked.where(F.col(mark)).withColumn(node, _set_digests(col(text), n))
+    dropped = pairs.where("not keeps").select(F.col("id").alias(gone), F.col("node").alias(digest))
+    left = doubtful.join(dropped, (col(key) == F.col(gone)) & (F.col(node) == F.col(digest)), "left_anti")
+    wordless = F.col(node) == F.lit(int(np.uint64(set_digest(np.zeros(0, dtype=np.uint64))).astype(np.int64)))
+    once = left.where(~wordless).dropDuplicates([key, node])
+    names = [col(c) for c in docs.columns]
+    return marked.where(~F.col(mark)).select(*names).unionByName(left.where(wordless).select(*names)).unionByName(once.select(*names))

@@ -296,6 +296,34 @@ def test_jaccard_classes(spark, n, num):
     assert kept == sorted(i for i, (_, low) in want.items() if low == i)
 
 
+def test_repeated_ids_lose_no_unlike_text(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(300)], k=80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (2, c), (3, d), (5, d + " more"), (5, text()), (6, a), (7, "x y z"), (7, "x y z"), (7, ""), (7, None), (None, a)]
+    rows += [(8, d + " again"), (8, " \n"), (3, d), (3, d + " and"), (9, None), (9, None)]
+    df = spark.createDataFrame([(*r, 0, "h") for r in rows], "doc_id long, text string, _hash int, id string").repartition(4)
+    got = jaccard.keep_one_of_each_class(df, n=3, num=80)
+    assert got.columns == df.columns
+    order = lambda r: tuple((x is not None, x) for x in r)
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=order)
+    stays = [(1, a), (1, b), (2, c), (5, rows[5][1]), (7, "x y z"), (7, ""), (7, None), (None, a), (8, " \n"), (9, None), (9, None)]
+    of_three = [r for r in kept if r[0] == 3]
+    assert len(of_three) == 1 and of_three[0][1] in (d, d + " and")
+    assert [r for r in kept if r[0] != 3] == sorted(stays, key=order)
+    none = spark.createDataFrame([], df.schema)
+    assert jaccard.keep_one_of_each_class(none, n=3, num=80).collect() == jaccard.jaccard_components(none).collect() == []
+
+
+def test_many_small_sets_are_compared_in_blocks(spark, monkeypatch):
+    members = spark.range(2000).select(F.lit(1).alias("group"), F.col("id").alias("member"), F.lit(10).cast("long").alias("n"))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 500)
+    tasks = jaccard._tasks(members, "member", 10**9)
+    sizes = tasks.groupBy("group", "i", "j").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 1300
+    assert "REPARTITION_BY_COL" in tasks._jdf.queryExecution().executedPlan().toString()
+
+
 def test_signatures_cover_every_link():
     rng = random.Random(6)
     for num, n in ((90, 400), (80, 60), (90, 25)):
