@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.arrays import Words, mix, shingle_hashes, text_slices
 from citeflow.llm.frames import by_batch, col, free_name, stored
+from citeflow.llm.jaccard import bit_filter
 
 #: Bound of the sample that the chain and the score are fitted on: documents of each label, chosen by a hash. Three
 #: quarters train the chain, the rest fits the document score. Which features mark toxic tokens is counted over all rows.
@@ -321,8 +322,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     document has several, null labels and texts teach nothing. Without a toxic and a clean document: a model that finds
     nothing toxic."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(col(key).alias("key")).agg((F.max("toxic") == 1).alias("toxic"))
-    rows = docs.select(col(key).alias("key"), col(text).alias("text")).where(F.col("text").isNotNull()).join(known, "key")
-    rows = stored(rows, "toxic-labelled")  # the texts are shuffled for their labels once
+    known = stored(known, "toxic-known")
+    rows = docs.select(col(key).alias("key"), col(text).alias("text"), F.xxhash64(col(key)).alias("h")).where(F.col("text").isNotNull())
+    labelled = bit_filter(known.select(F.xxhash64("key").alias("h")), "h")  # texts without a label are not shuffled for it
+    rows = rows.where(labelled) if labelled is not None else rows
+    # the same join at every size: labels grow with the documents
+    rows = stored(rows.drop("h").join(known.hint("merge"), "key"), "toxic-labelled")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(True) or not counts.get(False):
         return ToxicModel()
