@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,5 +46,19 @@ def by_batch(run: Callable, kind: str, column: Column | str) -> Column:
 
     The result counts as non-deterministic for the optimizer, which then neither evaluates it twice nor moves it.
     """
-    run.__annotations__ = {next(iter(run.__code__.co_varnames)): Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind).asNondeterministic()(column)
+
+    def tidy(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+        give_back()
+
+    tidy.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(tidy, kind).asNondeterministic()(column)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: its Python worker lives on, idle or with other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.arrays import Words, mix, shingle_hashes, text_slices
+from citeflow.llm.arrays import SLICE_BYTES, Words, mix, shingle_hashes, text_slices
 from citeflow.llm.components import connected_components
-from citeflow.llm.frames import by_batch, col, free_name, stored
+from citeflow.llm.frames import by_batch, col, free_name, give_back, stored
 
 #: Sizes in a band lie within this factor (before the partners of its largest sets are added).
 BAND_STEP = 1.4
@@ -118,7 +118,7 @@ def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         bands: list[Band] = []
         for batch in batches:
             ids = batch.column(0)
-            for row, offsets, data in text_slices(batch.column(1), 1 << 20):
+            for row, offsets, data in text_slices(batch.column(1), SLICE_BYTES):
                 words = Words(offsets, data)
                 shingles, at = shingle_hashes(words.hashes(), words.begins, n)
                 sizes = np.diff(at)
@@ -161,6 +161,8 @@ def index_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     names=["id", "n", "node", "band", "first", "sketch", "subsets", "of", "less"],
                 )
 
+        give_back()
+
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, {_SETS}")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm.arrays import Words, mix, shingle_hashes, text_slices
-from citeflow.llm.frames import by_batch, col, free_name, stored
+from citeflow.llm.frames import by_batch, col, free_name, give_back, stored
 from citeflow.llm.jaccard import bit_filter
 
 #: Bound of the sample that the chain and the score are fitted on: documents of each label, chosen by a hash. Three
@@ -184,6 +184,7 @@ def _counted(docs: DataFrame) -> DataFrame:
                             v = pa.array(values[k : k + 100_000].view(np.int64))
                             columns = [pa.repeat(pa.scalar(kind), len(v)), v, pa.array(n[k : k + 100_000].astype(np.int64))]
                             yield pa.RecordBatch.from_arrays(columns, ["toxic", "found", "n"])
+        give_back()
 
     return docs.select("toxic", "text").mapInArrow(run, "toxic boolean, found bigint, n bigint")
 
