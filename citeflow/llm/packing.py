@@ -3,9 +3,9 @@
 Only the histogram of piece lengths (at most one entry per length up to the capacity) reaches the driver. There a
 configuration linear program is solved by multiplicative weights: each round prices the lengths by how badly they are
 covered so far and a knapsack dynamic program finds the fullest configuration at these prices. Whole multiples of the
-configurations are kept, what is left goes best-fit into their free space or new sequences. The plan is a list of runs
-of equal sequences whose size depends on the capacity and the rounds, not on the documents; every piece looks its place
-up by its length and its number among the pieces of that length.
+configurations are kept, the program is solved again for what is left, and the last pieces go best-fit into free space
+or new sequences. The plan is a list of runs of equal sequences whose size depends on the capacity and the rounds, not on
+the documents; every piece looks its place up by its length and its number among the pieces of that length.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from tokenizers import Tokenizer
 from citeflow.llm.bpe import PATTERN, byte_tokens
 from citeflow.llm.frames import by_batch, col, stored
 
-#: Most rounds of multiplicative weights, and configurations taken from one round's dynamic program: the plan has at most
-#: their product of configurations.
-ROUNDS, TOGETHER, NEARLY = 150, 32, 0.9
-#: The part of a length's pieces that one round may cover, and the sharpness of the weights.
+#: Rounds of multiplicative weights aimed at (at most twice as many are made), configurations taken from one round's dynamic
+#: program, and how near to the dearest they must be: a solution has at most twice the product of the first two.
+ROUNDS, TOGETHER, NEARLY = 150, 8, 0.98
+#: The most of a length's pieces that one configuration may cover in a round, and the sharpness of the weights.
 STEP, SHARPNESS = 0.2, 12.0
-#: Rounding keeps the pieces of a configuration above this part of the capacity and leaves the smaller to best fit.
+#: How often the program is solved: for all pieces, then for those that rounding left over.
+SOLVED = 3
+#: In the rounding that leaves small pieces to best fit, these are the ones up to this part of the capacity.
 LARGE = 1 / 3
 #: Texts above this many characters go to the plain tokenizer, whose memory does not depend on a pattern's back-tracking.
 LONG_TEXT = 1_000_000
@@ -82,14 +84,20 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
     """A fractional solution of the configuration program: how often each configuration is used to cover all pieces.
 
     One dynamic program prices all configurations of a round: for each length, the dearest one that holds it. Those
-    within ``NEARLY`` of the dearest, ``TOGETHER`` at most, each cover a step of their scarcest length.
+    within ``NEARLY`` of the dearest, ``TOGETHER`` at most, each cover a step of their scarcest length. The step is such
+    that about ``rounds`` rounds cover everything once; the solution is scaled until its worst covered length is covered
+    exactly, so that no length pays for the pace of another.
     """
+    if not histogram:
+        return {}
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[n] for n in lengths.tolist()], dtype=np.float64)
     at = {n: k for k, n in enumerate(lengths.tolist())}
     covered = np.zeros(len(lengths))
     solution: dict[Items, float] = {}
-    for _ in range(rounds if len(lengths) else 0):
+    pieces_each = capacity * counts.sum() / (lengths * counts).sum()
+    pace = min(STEP, len(lengths) / (pieces_each * max(1, rounds) * TOGETHER))
+    for _ in range(2 * rounds):
         share = covered / counts
         if share.min() >= 1:
             break
@@ -99,42 +107,62 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
         holding = prices[lengths] + value[capacity - lengths]
         good = np.flatnonzero(holding >= NEARLY * value[capacity])
         for k in good[np.argsort(-holding[good], kind="stable")][:TOGETHER]:
-            if covered[k] >= counts[k]:
-                continue
             items = contents(choice, capacity - int(lengths[k]))
             items[int(lengths[k])] = items.get(int(lengths[k]), 0) + 1
             items = {n: min(many, histogram[n]) for n, many in items.items()}
-            step = STEP * min(histogram[n] / many for n, many in items.items())
+            step = pace * min(histogram[n] / many for n, many in items.items())
             for n, many in items.items():
                 covered[at[n]] += step * many
             key = tuple(sorted(items.items(), reverse=True))
             solution[key] = solution.get(key, 0.0) + step
-    return solution
+    least = float((covered / counts).min())
+    return {items: times / least for items, times in solution.items()} if least > 0 else solution
+
+
+def _rounded(solution: dict[Items, float], left: dict[int, int]) -> tuple[list[Run], dict[int, int]]:
+    """Whole multiples of the configurations, the most used first, as far as the pieces last; and the pieces left."""
+    runs, left = [], dict(left)
+    for items, times in sorted(solution.items(), key=lambda s: (-s[1], s[0])):
+        whole = min([math.floor(times), *(left[n] // many for n, many in items)])
+        if whole > 0:
+            runs.append(Run(whole, items))
+            for n, many in items:
+                left[n] -= whole * many
+    return runs, {n: many for n, many in left.items() if many}
+
+
+def _sequences(runs: list[Run]) -> int:
+    return sum(run.count for run in runs)
 
 
 def plan_runs(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[Run]:
     """Runs of equal sequences that hold exactly the pieces of the histogram.
 
-    The fractional solution over all lengths is rounded down, its small pieces taken out: they fit into the space their
-    configuration keeps for them, and best fit, which puts them last, can fill any other space with them as well. So
-    what rounding leaves over is packed almost without loss.
+    The fractional solution is rounded in two ways, and the plan with fewer sequences is returned; best fit alone where
+    it is below both, so the plan never needs more than that. Either whole multiples of the configurations are kept and
+    the program is solved again for the pieces that are left; or the small pieces of the configurations are taken out
+    before rounding, which pays where many pieces are small: they fill any space. In both best fit places the rest.
     """
     left = {n: many for n, many in histogram.items() if many > 0}
     if any(not 0 < n <= capacity for n in left):
         raise ValueError("a piece is empty or longer than a sequence")
-    runs = [Run(left.pop(capacity), ((capacity, 1),))] if capacity in left else []
-    kept: dict[Items, float] = {}
-    for items, times in configurations(left, capacity, rounds).items():
-        large = tuple((n, many) for n, many in items if n > capacity * LARGE)
-        kept[large] = kept.get(large, 0.0) + times
-    kept.pop((), None)
-    for items, times in sorted(kept.items(), key=lambda s: (-s[1], s[0])):
-        whole = min([math.floor(times), *(left[n] // many for n, many in items)])
-        if whole:
-            runs.append(Run(whole, items))
-            for n, many in items:
-                left[n] -= whole * many
-    return best_fit(runs, {n: many for n, many in left.items() if many}, capacity)
+    full = [Run(left.pop(capacity), ((capacity, 1),))] if capacity in left else []
+    first = solution = configurations(left, capacity, rounds)
+    whole, rest = list(full), left
+    for again in range(SOLVED):
+        runs, rest = _rounded(solution, rest)
+        whole += runs
+        if not runs or not rest or again == SOLVED - 1:
+            break
+        solution = configurations(rest, capacity, rounds)
+    large: dict[Items, float] = {}
+    for items, times in first.items():
+        kept = tuple((n, many) for n, many in items if n > capacity * LARGE)
+        if kept:
+            large[kept] = large.get(kept, 0.0) + times
+    runs, others = _rounded(large, left)
+    plans = [best_fit(whole, rest, capacity), best_fit(full + runs, others, capacity), best_fit(full, left, capacity)]
+    return min(plans, key=_sequences)
 
 
 def best_fit(runs: list[Run], left: dict[int, int], capacity: int) -> list[Run]:

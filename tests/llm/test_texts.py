@@ -142,6 +142,20 @@ def test_plan_holds_the_histogram():
         assert sum(r.count for r in runs) <= 1.1 * fits_at_most + 2
 
 
+@pytest.mark.parametrize(("shortest", "longest", "at_most"), [(200, 341, 1.02), (257, 400, 1.001), (1, 200, 1.0), (100, 700, 1.005)])
+def test_plan_keeps_small_pieces_and_never_needs_more_than_best_fit(shortest, longest, at_most):
+    """Next to a lower bound: the volume, or the number of pieces over the most that fit into one sequence."""
+    rng = random.Random(11)
+    histogram: dict = {}
+    for _ in range(60_000):
+        n = rng.randint(shortest, longest)
+        histogram[n] = histogram.get(n, 0) + 1
+    planned = sum(r.count for r in packing.plan_runs(histogram, 1024))
+    bound = max(-(-sum(n * c for n, c in histogram.items()) // 1024), -(-60_000 // (1024 // shortest)))
+    assert planned <= sum(r.count for r in packing.best_fit([], histogram, 1024))
+    assert bound <= planned <= at_most * bound + 1
+
+
 def test_warc(spark, tmp_path):
     html = "<!DOCTYPE html><html lang=\"fr\"><head><meta charset=\"UTF-8\"><title>T &amp; U</title><style>p{}</style></head>a<!-- x --><p>b &#233;&#xE9;&lt;</p><script>'</p>'</script><a href=\"/x?a&amp;b\">c</a>   d"
     pages = [(1, "http://a/", html), (1, "http://a/", html), (2, None, None), (3, "u", ""), (4, "u", "1 < 2 <!-- open")]
