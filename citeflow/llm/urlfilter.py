@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,13 @@ class Node:
     """Labels (of the host, from its right end) or segments (of the path) to deeper nodes.
 
     ``path`` is where the path rules of this host begin; ``partial`` holds unfinished last segments, as a rule's path
-    is a prefix of characters, not of segments.
+    is a prefix of characters, not of segments, and ``sizes`` their different lengths, the longest first.
     """
 
     below: dict[str, "Node"] = field(default_factory=dict)
     path: "Node | None" = None
     partial: dict[str, tuple[str, str]] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
 
 
 def build_trie(rules: list[tuple[str, str]]) -> Node:
@@ -44,6 +47,8 @@ def build_trie(rules: list[tuple[str, str]]) -> Node:
         for segment in whole:
             node = node.below.setdefault(segment, Node())
         node.partial.setdefault(last, (verdict, rule))
+        if len(last) not in node.sizes:
+            insort(node.sizes, len(last), key=lambda size: -size)
     return root
 
 
@@ -54,9 +59,9 @@ def match(root: Node, host: str, path: str) -> tuple[str, str] | None:
         if node.path is not None:
             segments, at, k = path.split("/"), node.path, 0
             while at is not None and k < len(segments):
-                for last, found in at.partial.items():
-                    if segments[k].startswith(last) and (best is None or len(found[1]) >= len(best[1])):
-                        best = found
+                found = next((at.partial[segments[k][:n]] for n in at.sizes if segments[k][:n] in at.partial), None)
+                if found and (best is None or len(found[1]) >= len(best[1])):
+                    best = found
                 at, k = at.below.get(segments[k]), k + 1
         node = node.below.get(label) if label is not None else None
         if node is None:
@@ -64,9 +69,9 @@ def match(root: Node, host: str, path: str) -> tuple[str, str] | None:
     return best
 
 
-def _matcher(root: Node):
+def _matcher(trie: "Broadcast[Node]"):
     def judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        found = [match(root, h, p) or (None, None) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+        found = [match(trie.value, h, p) or (None, None) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())],
             names=["verdict", "rule"],
@@ -98,8 +103,9 @@ def filter_urls(
     """
     made = ["host", "path", "rule", "verdict"]
     host, path, hit = free_name(pages, "_host"), free_name(pages, "_path"), free_name(pages, "_hit")
+    trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
     judged = pages.select("*", host_of(col(url)).alias(host), path_of(col(url)).alias(path)).select(
-        "*", _matcher(build_trie(rules))(host, path).alias(hit)
+        "*", _matcher(trie)(host, path).alias(hit)
     )
     kept = [col(c) for c in pages.columns if c.lower() not in made]
     return judged.select(
