@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +24,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 _NPM = re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", re.DOTALL)
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_PEM_END = re.compile(r"-----END ([A-Z ]*PRIVATE KEY)(?=-----)")
 _CARD = re.compile(r"(?<![0-9])[3-6][0-9]{12,18}(?![0-9])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -81,6 +83,23 @@ def ascii_lower(text: str) -> str:
     return low if text.isascii() or len(low) == len(text) else text.translate(_UPPER)
 
 
+class _KeyEnds:
+    """Where the private keys of a text may end, found in one pass when the first one begins."""
+
+    def __init__(self, text: str):
+        self.text, self.starts = text, None
+
+    def after(self, label: str, at: int) -> int | None:
+        """End of the first closing line with this label that begins at ``at`` or later."""
+        if self.starts is None:
+            self.starts = {}
+            for found in _PEM_END.finditer(self.text, at):
+                self.starts.setdefault(found[1], []).append(found.start())
+        starts = self.starts.get(label, [])
+        k = bisect_left(starts, at)
+        return starts[k] + len(f"-----END {label}-----") if k < len(starts) else None
+
+
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets by start, then kind as listed; code points, end exclusive; none for null.
 
@@ -90,14 +109,17 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     """
     if not text:
         return []
-    spans, ends = [], dict.fromkeys(KINDS, 0)
+    spans, ends, keys = [], dict.fromkeys(KINDS, 0), _KeyEnds(text)
     for last, word in _AUTOMATON.iter(ascii_lower(text)):
         start = last + 1 - len(word)
         kind, expression, valid = ANCHORED[word]
         if start >= ends[kind] and (found := expression.match(text, start)):
-            ends[kind] = found.end()
+            end = keys.after(found[1], found.end()) if kind == "pem" else found.end()
+            if end is None:
+                continue
+            ends[kind] = end
             if valid(found):
-                spans.append((kind, start, found.end()))
+                spans.append((kind, start, end))
     spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     spans += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if luhn(m[0])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))

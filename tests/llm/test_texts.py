@@ -5,6 +5,7 @@ import gzip
 import html.entities
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -51,6 +52,31 @@ def test_checksums_decide():
     assert secrets.scan_text("4111111111111111") == [("card", 0, 16)] and secrets.scan_text("4111111111111112") == []
 
 
+def test_private_keys_close_by_label_in_linear_time():
+    def plain(text):
+        return [m.span() for m in re.finditer(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", text, re.DOTALL)]
+
+    parts = ["-----BEGIN A PRIVATE KEY-----", "-----END A PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-", "x\n", "END PRIVATE KEY-----"]
+    rng = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert [(a, b) for kind, a, b in secrets.scan_text(text) if kind == "pem"] == plain(text), text
+    begun = time.monotonic()
+    assert secrets.scan_text("-----BEGIN RSA PRIVATE KEY-----\nabc\n" * 40_000) == []
+    assert time.monotonic() - begun < 5
+
+
+def test_many_rules_of_one_host():
+    rules = [("block", f"example.com/p{k}") for k in range(50_000)] + [("allow", "example.com/p1234/x"), ("allow", "com/")]
+    root = urlfilter.build_trie(rules)
+    begun = time.monotonic()
+    for _ in range(2000):
+        assert urlfilter.match(root, "www.example.com", "/p12345678/y") == ("block", "example.com/p12345")
+        assert urlfilter.match(root, "example.com", "/p1234/xy") == ("allow", "example.com/p1234/x")
+        assert urlfilter.match(root, "example.com", "/q") == ("allow", "com/")
+    assert time.monotonic() - begun < 2
+
+
 def test_secret_columns(spark):
     rows = [(1, t, "x") for t in [*ODD, "İ password = hunter22 done", "password = hunter22 done"]] * 2
     df = spark.createDataFrame(rows, "id int, text string, spans string")
