@@ -699,3 +699,40 @@ oracle(
     "passages passage_refs",
     EMBEDDED,
 )
+
+# ---- split ledger ----------------------------------------------------------------------------------------------
+
+
+def _ledger_steps(stratum: str) -> dict[str, str]:
+    """Shares are a fifth outside train, half of that test; each rounded with an offset from the stratum's hash."""
+    offset = "cast(concat('0x', substr(md5(concat_ws('|', '{seed}', '{name}', stratum)), 1, 8)) as bigint) % {b}"
+    rest = f"(({{n}}) + {offset.format(seed=SEED, name='rest', b=5)}) // 5"
+    test = f"(({rest}) + {offset.format(seed=SEED, name='test', b=2)}) // 2"
+    return {
+        "arrived": f"""
+            select cast(o_orderkey as varchar) as row_id, cast({stratum} as varchar) as stratum,
+                   case when o_orderdate < '1997-01-01' then 0 when o_orderdate < '1999-01-01' then 1 else 2 end as batch_id
+            from orders""",
+        "numbered": f"""
+            select *, row_number() over (partition by stratum order by batch_id, md5(concat_ws('|', '{SEED}', row_id)), row_id) as number
+            from arrived""",
+        "quota": f"""
+            select *, {rest.format(n='number')} as rest, {rest.format(n='number - 1')} as rest_before,
+                   {test.format(n='number')} as test, {test.format(n='number - 1')} as test_before
+            from numbered""",
+        "assigned": """
+            select row_id, stratum, number,
+                   case when rest = rest_before then 'train' when test > test_before then 'test' else 'valid' end as split,
+                   cast(batch_id as bigint) as batch_id
+            from quota""",
+    }
+
+
+oracle("split_ledger", "select * from assigned", extra=_ledger_steps("o_custkey"))
+oracle(
+    "split_ledger_counts",
+    """select stratum, batch_id, split,
+              cast(sum(count(*)) over (partition by stratum, split order by batch_id) as bigint) as n_rows
+       from assigned group by stratum, batch_id, split""",
+    extra=_ledger_steps("o_orderpriority"),
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -23,7 +23,7 @@ from citeflow.functions import (
     word_count,
 )
 from citeflow.functions.text import CONTEXT_LAYOUT, TASK_COURT, TASK_COURT_DATE, TASK_PLAIN, e5_query
-from citeflow.operators import audit, bayes, clusters, dedup, embedding, enrichment, labels, metrics, ranking, retrieval, sampling, splitting, units
+from citeflow.operators import audit, bayes, clusters, dedup, embedding, enrichment, labels, ledger, metrics, ranking, retrieval, sampling, splitting, units
 from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
@@ -605,6 +605,29 @@ def leak_free_split(spark, sf):
     return units.split_units(rows.select("row_id"), found, seed=SEED)
 
 
+def _ledger(spark, sf, stratum):
+    """Orders arrive in three batches; every batch brings the rows of those before it once more."""
+    folder = scratch_dir(spark, "ledger")
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), stratum, "o_orderdate")
+    for batch, until in enumerate(("1997-01-01", "1999-01-01", "9999-01-01")):
+        ledger.extend_ledger(orders.where(F.col("o_orderdate") < F.lit(until).cast("date")), folder, batch, stratum, seed=SEED)
+    return ledger.read_ledger(spark, folder)
+
+
+@query
+def split_ledger(spark, sf):
+    """Where each order went and when, in strata of a few rows."""
+    return _ledger(spark, sf, "o_custkey").withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
+@query
+def split_ledger_counts(spark, sf):
+    """Rows of each split after each batch, in a few large strata."""
+    rows = _ledger(spark, sf, "o_orderpriority").groupBy("stratum", "batch_id", "split").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("stratum", "split").orderBy("batch_id"))
+    return rows.select("stratum", F.col("batch_id").cast("bigint").alias("batch_id"), "split", so_far.alias("n_rows"))
+
+
 @query
 def leak_free_counts(spark, sf):
     """Rows of the splits, and how many units they consist of."""
