@@ -736,3 +736,23 @@ oracle(
        from assigned group by stratum, batch_id, split""",
     extra=_ledger_steps("o_orderpriority"),
 )
+
+
+# ---- laid-out tables -------------------------------------------------------------------------------------------
+
+oracle(
+    "laid_out_metadata",
+    "select row_id, passage_id, dest_cite, coalesce(judges, '') as judge_names from contexts_wide left join metadata_first using (dest_cite)",
+    META,
+)
+oracle(
+    "laid_out_passages",
+    "select row_id, passage_id, passage from passage_refs left join passages using (passage_id)",
+    "passages passage_refs",
+)
+oracle(
+    "laid_out_labels",
+    "select row_id, passage_id, token, label_idx from contexts_wide join labels_made using (passage_id)",
+    "contexts_wide",
+    label_ctes("contexts_wide"),
+)

@@ -28,7 +28,7 @@ from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
 from citeflow.session import materialise, scratch_dir, stored
-from citeflow.sources import readers, writers
+from citeflow.sources import layout, readers, writers
 from citeflow.streaming.enrichment import read_enriched, start_enrichment
 
 SEED = 42
@@ -605,6 +605,33 @@ def leak_free_split(spark, sf):
     return units.split_units(rows.select("row_id"), found, seed=SEED)
 
 
+def _joined_by_layout(spark, left, right, key, how="left"):
+    a, b = (scratch_dir(spark, name) for name in ("left", "right"))
+    return layout.join_laid_out(layout.write_laid_out(left, a, key, 16), layout.write_laid_out(right, b, key, 16, unique=True), how)
+
+
+@query
+def laid_out_metadata(spark, sf):
+    """All rows with the metadata of their citation, both laid out by it."""
+    meta = enrichment.one_per_key(enrichment.judge_metadata(_meta(spark, sf)), "dest_cite")
+    rows = _joined_by_layout(spark, t.contexts_wide(spark, sf), meta, "dest_cite")
+    return rows.withColumn("judge_names", F.coalesce(F.array_join("judge_names", ", "), F.lit("")))
+
+
+@query
+def laid_out_passages(spark, sf):
+    """Each row's passage from tables laid out by passage, null where it is unknown."""
+    rows = _joined_by_layout(spark, t.passage_refs(spark, sf), t.passages(spark, sf), "passage_id")
+    return rows.drop("destination_context")
+
+
+@query
+def laid_out_labels(spark, sf):
+    """Label numbers of all rows from tables laid out by passage."""
+    rows = t.contexts_wide(spark, sf)
+    return _bigint(_joined_by_layout(spark, rows, labels.build_label_map(rows), "passage_id", "inner").drop("dest_cite"), "label_idx")
+
+
 def _ledger(spark, sf, stratum):
     """Orders arrive in three batches; every batch brings the rows of those before it once more."""
     folder = scratch_dir(spark, "ledger")
