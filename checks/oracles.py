@@ -756,3 +756,9 @@ oracle(
     "contexts_wide",
     label_ctes("contexts_wide"),
 )
+
+oracle(
+    "compacted_cache",
+    "select * replace (case when status = 'timeout_error' then 'not_found' else status end as status) from parsed",
+    "outcomes parsed",
+)

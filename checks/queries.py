@@ -28,8 +28,8 @@ from citeflow.params import DatasetParams, SplitRatios
 from citeflow.plans import datasets, evaluation
 from citeflow.schemas import METADATA, conform
 from citeflow.session import materialise, scratch_dir, stored
-from citeflow.sources import layout, readers, writers
-from citeflow.streaming.enrichment import read_enriched, start_enrichment
+from citeflow.sources import compaction, layout, readers, writers
+from citeflow.streaming.enrichment import CACHE, read_enriched, start_enrichment
 
 SEED = 42
 BATCH = 16
@@ -457,6 +457,19 @@ def latest_attempt(spark, sf):
     return _flat(enrichment.latest_attempt(dedup.union_all(first, again)).drop("batch_id"))
 
 
+@query
+def compacted_cache(spark, sf):
+    """The newest attempts from a snapshot and a later batch, in which every timeout was tried again."""
+    folder = scratch_dir(spark, "cache")
+    first = enrichment.parse_lookup(t.responses(spark, sf))
+    writers.append_cache(first.where("status <> 'timeout_error'"), folder, 0)
+    writers.append_cache(first.where("status = 'timeout_error'"), folder, 1)
+    compaction.compact_cache(spark, folder, 0, CACHE)
+    compaction.compact_cache(spark, folder, 1, CACHE)
+    writers.append_cache(first.where("status = 'timeout_error'").withColumn("status", F.lit("not_found")), folder, 2)
+    return _flat(compaction.read_newest(spark, folder, CACHE).drop("batch_id"))
+
+
 @query
 def conform_metadata(spark, sf):
     """Columns a source lacks become null."""
