@@ -219,3 +219,11 @@ def test_embedding_runs_once(spark):
     assert np.linalg.norm(rows[1]) == pytest.approx(1, abs=1e-6) and sum(rows[2]) == sum(rows[3]) == 0
     plan = made.select(F.explode("vec"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_small_blocks_do_not_square(spark):
+    """Pairs of blocks, and so the copies of each vector, stay bounded however few rows a block is wanted to have."""
+    queries, corpus = (spark.range(6400).select(F.col("id").alias(name), F.array(F.lit(1.0), F.lit(2.0)).alias("vec")) for name in ("query_id", "cand_id"))
+    assert retrieval._block_counts(queries, corpus, 64) == (16, 16)
+    assert retrieval._block_counts(queries, corpus, 640) == (10, 10)
+    assert retrieval.blocks_of(10_000_000, 64, 65_536) == 153
