@@ -8,7 +8,7 @@ blocks as the full search.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from citeflow.functions.hashing import seeded_hash
 from citeflow.operators.ranking import topk_per_group
-from citeflow.operators.retrieval import BLOCK_BYTES, _scanner, blocked_topk
+from citeflow.operators.retrieval import BLOCK_BYTES, FEW_QUERIES, blocked_topk, blocks_of, matrix, search_block, top_lists
 from citeflow.session import stored
 
 #: Bounds, all of them parameters: vectors the centres are fitted on (and their bytes), rows of the sample per centre,
@@ -31,11 +31,13 @@ SAMPLE_QUERIES = 500
 @dataclass(frozen=True)
 class ClusterIndex:
     """``rows``: ``cand_id, vec, cluster, slice`` of the whole corpus; ``centres``: one unit vector a line; ``slices``: into
-    how many the rows of each cluster are cut."""
+    how many the rows of each cluster are cut; ``sizes``: how many rows it has; ``slice_rows``: rows wanted in a slice."""
 
     rows: DataFrame
     centres: np.ndarray
     slices: dict[int, int]
+    sizes: dict[int, int]
+    slice_rows: int
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -97,38 +99,77 @@ def build_index(corpus: DataFrame, seed: int = 42, sample_rows: int = SAMPLE_ROW
     placed = corpus.select("cand_id", "vec", nearest_centres(F.col("vec"), middle, 1)[0].alias("cluster"))
     slice_rows = slice_rows or max(1, BLOCK_BYTES // (8 * dim))
     placed = stored(placed, "placed")
-    slices = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias("slices")).collect()  # a row per centre
-    slices = {r["cluster"]: r["slices"] for r in slices}
-    cut = F.pmod(F.xxhash64("cand_id"), _slices_of(F.col("cluster"), slices)).cast("int")
-    return ClusterIndex(placed.withColumn("slice", cut), middle, slices)
+    sizes = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row per centre
+    slices = {c: -(-n // slice_rows) for c, n in sizes.items()}
+    cut = F.pmod(F.xxhash64("cand_id"), _per_cluster(F.col("cluster"), slices)).cast("int")
+    return ClusterIndex(placed.withColumn("slice", cut), middle, slices, sizes, slice_rows)
 
 
-def _slices_of(cluster: Column, slices: dict[int, int]) -> Column:
-    """Slices of a cluster: a literal array over the centres, of which there are few."""
-    listed = F.lit([slices.get(c, 0) for c in range(max(slices, default=0) + 1)])
+def _per_cluster(cluster: Column, values: dict[int, int]) -> Column:
+    """A number of each cluster, 0 by default: a literal array over the centres, of which there are few."""
+    listed = F.lit([values.get(c, 0) for c in range(max(values, default=0) + 1)])
     return F.coalesce(F.get(listed, cluster), F.lit(0))
 
 
+def _unit_of(index: ClusterIndex, cluster: Column, slice_: Column, units: int) -> Column:
+    """The unit a slice of a cluster is searched in: slices in order, cut into units of about as many rows."""
+    begins = dict(zip(sorted(index.sizes), np.cumsum([0, *(index.sizes[c] for c in sorted(index.sizes))]).tolist()))
+    within = F.expr("bigint(0)") + slice_ * _per_cluster(cluster, index.sizes)
+    begin = _per_cluster(cluster, begins) + F.floor(within / F.greatest(_per_cluster(cluster, index.slices), F.lit(1)))
+    return F.floor(begin * units / max(1, sum(index.sizes.values()))).cast("int")
+
+
+def _visitor(k: int, digits: int | None, id_type, query_type) -> Callable:
+    def scan(queries, corpus):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        corpus = corpus.take(pc.sort_indices(corpus, sort_keys=[("cand_id", "ascending")]))
+        left, right = matrix(queries["vec"]), matrix(corpus["vec"])
+        visited, cluster, groups = queries["visits"].combine_chunks(), corpus["cluster"].to_numpy(), None
+        if visited.null_count < len(visited):
+            asker = np.repeat(np.arange(len(left)), pc.list_value_length(visited).to_numpy())
+            wanted = visited.flatten().to_numpy()
+            askers, members = np.argsort(wanted, kind="stable"), np.argsort(cluster, kind="stable")
+            wanted, cluster = wanted[askers], cluster[members]
+            part = lambda order, keys, c: order[np.searchsorted(keys, c, "left") : np.searchsorted(keys, c, "right")]
+            groups = [(asker[part(askers, wanted, c)], part(members, cluster, c)) for c in np.intersect1d(wanted, cluster)]
+        best = search_block(left, right, k, digits, groups)
+        top = top_lists(best, corpus["cand_id"].to_numpy(), id_type)
+        return pa.table({"query_id": queries["query_id"].cast(query_type), "top": top})
+
+    return scan
+
+
 def search_index(index: ClusterIndex, queries: DataFrame, k: int, probes: int, digits: int | None = 6, block_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest rows within the ``probes`` nearest clusters of every query: ``query_id, cand_id, score, rank``.
 
-    Each slice of a cluster meets the queries that visit it in blocks, one task each; with as many probes as centres the
-    answer is the exact one. Empty clusters are never visited.
+    Slices lie together in units of about a block. A unit meets the queries that visit it in blocks, one task each, which
+    compares each query with the clusters it visits; a query goes once to a unit, however many clusters it visits there.
+    With as many probes as centres the answer is the exact one. Empty clusters are never visited.
     """
     id_type, query_type = index.rows.schema["cand_id"].dataType, queries.schema["query_id"].dataType
-    dim = index.centres.shape[1]
-    per_block = block_rows or max(256, BLOCK_BYTES // (8 * dim))
-    blocks = max(1, -(-queries.count() // per_block))
-    visits = queries.select("query_id", "vec", F.explode(nearest_centres(F.col("vec"), index.centres, probes)).alias("cluster"))
-    visits = visits.withColumn("n", _slices_of(F.col("cluster"), index.slices)).where("n > 0")
-    visits = visits.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    most = max(FEW_QUERIES, BLOCK_BYTES // (8 * index.centres.shape[1]))
+    blocks = max(1, blocks_of(queries.count(), block_rows or max(FEW_QUERIES, most // 16), most))
+    units = max(1, blocks_of(sum(index.sizes.values()), min(index.slice_rows, max(FEW_QUERIES, most // 16)), most))
+    place = lambda cluster, slice_: _unit_of(index, cluster, slice_, units)
+    if probes >= len(index.centres):
+        visits = queries.select("query_id", "vec", F.lit(None).cast("array<int>").alias("visits"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
+    else:
+        first = lambda c: place(c, F.lit(0))
+        last = lambda c: place(c, _per_cluster(c, index.slices) - 1)
+        near = F.filter(nearest_centres(F.col("vec"), index.centres, probes), lambda c: _per_cluster(c, index.sizes) > 0)
+        visits = queries.select("query_id", "vec", F.transform(near, lambda c: F.struct(c.alias("c"), first(c).alias("first"), last(c).alias("last"))).alias("near"))
+        reached = F.array_distinct(F.flatten(F.transform("near", lambda v: F.sequence(v["first"], v["last"]))))
+        visits = visits.select("*", F.explode(reached).alias("unit"))
+        here = F.filter("near", lambda v: (v["first"] <= F.col("unit")) & (F.col("unit") <= v["last"]))
+        visits = visits.select("query_id", "vec", F.transform(here, lambda v: v["c"]).alias("visits"), "unit")
     visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    visits = visits.withColumns({"truth_id": F.lit(None).cast(id_type), "truth_score": F.lit(None).cast("double")})
-    corpus = index.rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scan = _scanner(k, digits, to_arrow_type(id_type), to_arrow_type(query_type))
+    corpus = index.rows.select("cand_id", "vec", "cluster", place(F.col("cluster"), F.col("slice")).alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scan = _visitor(k, digits, to_arrow_type(id_type), to_arrow_type(query_type))
     top = T.ArrayType(T.StructType().add("cand_id", id_type).add("score", "double").add("raw", "double"))
-    schema = T.StructType().add("query_id", query_type).add("best", "double").add("mass", "double").add("ahead", "long").add("top", top)
-    keys = ["cluster", "slice", "block"]
+    schema = T.StructType().add("query_id", query_type).add("top", top)
+    keys = ["unit", "block"]
     met = visits.groupBy(*keys).cogroup(corpus.groupBy(*keys)).applyInArrow(scan, schema)
     return topk_per_group(met.select("query_id", F.inline("top")).select("query_id", "cand_id", "score"), k)
 

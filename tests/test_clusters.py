@@ -52,3 +52,28 @@ def test_empty_corpus_and_queries(data):
     index = clusters.build_index(corpus.limit(0))
     assert clusters.search_index(index, asked, 5, 1).count() == 0
     assert clusters.search_index(clusters.build_index(corpus), asked.limit(0), 5, 1).count() == 0
+
+
+@pytest.mark.parametrize("probes", [3, 10**6])
+def test_small_slices_do_not_square(data, probes, monkeypatch):
+    """Slices of one row and blocks of one query: few tasks all the same, and the same neighbours."""
+    corpus, asked = data
+    index = clusters.build_index(corpus, slice_rows=1)
+    wide = clusters.build_index(corpus)
+    found = neighbours(clusters.search_index(index, asked, 5, probes, block_rows=1))
+    assert found == neighbours(clusters.search_index(wide, asked, 5, probes))
+
+    def one_row(k, digits, id_type, query_type):
+        import pyarrow as pa
+
+        top = pa.list_(pa.struct([("cand_id", id_type), ("score", pa.float64()), ("raw", pa.float64())]))
+
+        def scan(queries, corpus):
+            asked = queries["query_id"].to_pylist()[:1]
+            lists = pa.array([[{"cand_id": 1, "score": 0.0, "raw": 0.0}]] * len(asked), top)
+            return pa.table({"query_id": pa.array(asked, query_type), "top": lists})
+
+        return scan
+
+    monkeypatch.setattr(clusters, "_visitor", one_row)
+    assert clusters.search_index(index, asked, 10**6, probes, block_rows=1).count() <= 256
