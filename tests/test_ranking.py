@@ -227,3 +227,31 @@ def test_small_blocks_do_not_square(spark):
     assert retrieval._block_counts(queries, corpus, 64) == (16, 16)
     assert retrieval._block_counts(queries, corpus, 640) == (10, 10)
     assert retrieval.blocks_of(10_000_000, 64, 65_536) == 153
+
+
+@pytest.mark.parametrize("digits", [6, None])
+def test_ranks_in_single_precision_are_exact(digits):
+    """Scores closer than single precision tells, copies and the right row's own copies; and memory that stays small."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    right = rng.normal(size=(3000, 8))
+    right[1000:1500] = right[7] * (1 + 1e-9 * rng.normal(size=(500, 1)))
+    right[2000:2300] = right[8] + 1e-7 * rng.normal(size=(300, 8))
+    left = np.concatenate([right[:600], rng.normal(size=(600, 8))])
+    left, right = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (left, right))
+    truth = np.concatenate([rng.integers(0, 3000, 1100), rng.integers(1000, 2300, 100)])
+    sims = np.einsum("qd,cd->qc", left, right)
+    sims = sims if digits is None else np.round(sims, digits)
+    limit, slack = sims[np.arange(1200), truth], retrieval.TIE if digits is None else 0.0
+    before = np.arange(3000) < truth[:, None]
+    ahead = ((sims > limit[:, None] + slack) | ((abs(sims - limit[:, None]) <= slack) & before)).sum(axis=1)
+    tracemalloc.start()
+    got = retrieval.count_ahead(left, right, limit, truth, truth + 1, digits)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert (got == ahead).all()
+    best = retrieval.search_block(left, right, 4, digits)
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :4]
+    assert (np.take_along_axis(sims, best.at, 1) == np.take_along_axis(sims, top, 1)).all()
+    assert digits is None or (best.at == top).all()
