@@ -255,3 +255,10 @@ def test_ranks_in_single_precision_are_exact(digits):
     top = np.argsort(-sims, axis=1, kind="stable")[:, :4]
     assert (np.take_along_axis(sims, best.at, 1) == np.take_along_axis(sims, top, 1)).all()
     assert digits is None or (best.at == top).all()
+
+
+def test_pairs_of_blocks_even_out(spark):
+    """Several pairs of blocks for each core, not one."""
+    queries, corpus = (spark.range(n).select(F.col("id").alias(name), F.array(F.lit(1.0), F.lit(2.0)).alias("vec")) for n, name in ((60_000, "query_id"), (180_000, "cand_id")))
+    made = retrieval._block_counts(queries, corpus, None)
+    assert made[0] * made[1] >= 8 * spark.sparkContext.defaultParallelism
