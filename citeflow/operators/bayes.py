@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,6 +34,10 @@ BLOCK_WORDS = 500_000
 CHUNK_POSTINGS = 50_000
 #: Fewest texts worth a block of their own.
 FEW_TEXTS = 64
+#: Up to so many classes, every word has its gain for each of them, and scores are sums.
+FEW_CLASSES = 32
+#: Words that occur more often than one in so many are looked up where the texts are: there are fewer than that.
+MAX_FREQUENT = 65_536
 #: A word with its space, to tell the words of a text by its length.
 BYTES_A_WORD = 6
 
@@ -126,6 +130,34 @@ def _bags(model: BayesModel, df: DataFrame, text: str, row_id: str, hot_rows: in
     return every.select("query_id", *filled, F.coalesce("known", F.lit(0)).alias("known"))
 
 
+def _sums(model: BayesModel, classes: list[Row], df: DataFrame, text: str, row_id: str, digits: int) -> DataFrame:
+    """Every text with each of a few classes: ``query_id, cand_id, score``.
+
+    A row per word holds its gains for all the classes, so a text's scores are sums over its words, in any order and in
+    parts. Frequent words are most of a text and few: they are broadcast and summed up where the text is. Only the others
+    are shuffled, and none of them is hot. Rows that share an id are scored each by its own text.
+    """
+    label_type, gain = model.classes.schema["label"].dataType, [f"_g{i}" for i in range(len(classes))]
+    names = [F.lit(c["label"]).cast(label_type) for c in classes]
+    of = [F.sum(F.when(F.col("label") == name, F.ln(F.col("n") + 1)).otherwise(0.0)).alias(g) for g, name in zip(gain, names)]
+    gains = stored(model.postings.groupBy("word").agg(F.sum("n").alias("_n"), *of), "gains")
+    often = F.col("_n") > (gains.agg(F.sum("_n")).first()[0] or 0) / MAX_FREQUENT
+    frequent = F.broadcast(gains.where(often).drop("_n"))
+
+    each = ["query_id", "_digest"]
+    asked = df.select(F.col(row_id).alias("query_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_digest")).repartition(*each)
+    terms = _each_word(asked, words(F.col("_text")), *each).groupBy(*each, "word").agg(F.count("*").alias("tf"))
+    known = [terms.join(frequent, "word"), terms.join(frequent.select("word"), "word", "left_anti").join(gains.where(~often), "word")]
+    parts = [found.groupBy(*each).agg(F.lit(0).cast("bigint").alias("_copies"), F.sum("tf").alias("_known"), *[F.sum(F.col("tf") * F.col(g)).alias(g) for g in gain]) for found in known]
+    parts.append(asked.groupBy(*each).agg(F.count("*").alias("_copies"), F.lit(0).cast("bigint").alias("_known"), *[F.lit(0.0).alias(g) for g in gain]))
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*each).agg(*[F.sum(c).alias(c) for c in ("_copies", "_known", *gain)])
+    # the words of equal rows were counted together
+    score = [c["prior"] + (F.col("_known") * c["base"] + F.col(g)) / F.col("_copies") for c, g in zip(classes, gain)]
+    scored = F.array(*[F.struct(name, F.round(s, digits)) for name, s in zip(names, score)])
+    rows = whole.select("query_id", scored.alias("_scored"), F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select("query_id", F.inline("_scored").alias("cand_id", "score"))
+
+
 def nb_topk(
     model: BayesModel,
     df: DataFrame,
@@ -145,9 +177,13 @@ def nb_topk(
     ``block_words`` words; each pair of blocks meets in one task, which gives its best ``k`` per text. There is no row
     or cell per text and class. Where one block holds the whole index, texts go to it as they are; otherwise their words
     are counted first and looked up in the vocabulary. ``candidates`` (``cand_id``) restricts the classes, not the vocabulary. A text without a
-    known word is ranked by the priors.
+    known word is ranked by the priors. Up to ``FEW_CLASSES`` classes are all scored, by joins and sums alone.
     """
     postings, classes = model.postings, model.classes
+    few = classes if candidates is None else classes.join(candidates, F.col("label") == F.col("cand_id"), "left_semi")
+    few = few.orderBy("label").limit(FEW_CLASSES + 1).collect()
+    if 0 < len(few) <= FEW_CLASSES:
+        return topk_per_group(_sums(model, few, df, text, row_id, digits), k)
     entries = postings.count()
     if candidates is None and entries <= block_postings:
         n_classes, bags = 1, _tokens(df, text, row_id)

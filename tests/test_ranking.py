@@ -262,3 +262,28 @@ def test_pairs_of_blocks_even_out(spark):
     queries, corpus = (spark.range(n).select(F.col("id").alias(name), F.array(F.lit(1.0), F.lit(2.0)).alias("vec")) for n, name in ((60_000, "query_id"), (180_000, "cand_id")))
     made = retrieval._block_counts(queries, corpus, None)
     assert made[0] * made[1] >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_bayes_few_classes_need_no_index(spark, monkeypatch):
+    """One class may hold nearly all postings, which no task gathers; rows that share an id are scored each for itself."""
+    from citeflow.operators import bayes
+
+    monkeypatch.setattr(bayes, "_kernel", lambda *_: pytest.fail("gathers a class's postings in one task"))
+    monkeypatch.setattr(bayes, "MAX_FREQUENT", 40)
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{min(int(rng.expovariate(0.05)), 200)}" for _ in range(n))
+    train = [(rng.choice("aaaaaaab"), say(30)) for _ in range(60)] + [("c", "w1")]
+    model = nb_fit(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "row_id long, label string, text string"), "label", "text")
+    held = [(i, say(25)) for i in range(20)] + [(3, "w1 w2 w2"), (4, None), (5, "unheard"), (None, "w5 w1")]
+    held += held[:2]
+    rows = nb_topk(model, spark.createDataFrame(held, "row_id long, text string"), "text", 2, digits=9).collect()
+    expected = {}
+    for i, said in held:
+        expected.setdefault(i, []).extend(bayes_plain(train, said or "", 9))
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.cand_id, r.score))
+    assert got.keys() == expected.keys()
+    for i, scores in expected.items():
+        best = sorted(scores, key=lambda s: (-s[1], s[0]))[:2]
+        assert [c for c, _ in got[i]] == [c for c, _ in best] and [s for _, s in got[i]] == pytest.approx([s for _, s in best], abs=2e-9)
