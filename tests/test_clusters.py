@@ -77,3 +77,17 @@ def test_small_slices_do_not_square(data, probes, monkeypatch):
 
     monkeypatch.setattr(clusters, "_visitor", one_row)
     assert clusters.search_index(index, asked, 10**6, probes, block_rows=1).count() <= 256
+
+
+def test_a_block_is_widened_once():
+    """A block of vectors takes little more than its widened rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.chunked_array([pa.FixedSizeListArray.from_arrays(pa.array(np.ones(64 * 20_000, dtype=np.float32)), 64).cast(pa.list_(pa.float32()))])
+    tracemalloc.start()
+    made = retrieval.matrix(rows)
+    assert tracemalloc.get_traced_memory()[1] < 1.3 * made.nbytes
+    tracemalloc.stop()
+    assert made.shape == (20_000, 64) and made[0, 0] == pytest.approx(1 / 8)
