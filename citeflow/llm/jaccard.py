@@ -4,7 +4,8 @@ Sets of similar size share a band. A band fixes how far two similar sets may dif
 hashes all shingles into segments. Every segment gets credits: 0 (not indexed), 1 (equal subsets are found) or 2
 (subsets that differ by one element are found, through the one-deletion neighbourhood). When the credits exceed H, two
 similar sets must be found in some segment. Which segments get credits is decided by their cost, counted over all sets:
-rows to shuffle and collisions to look into. Sets that meet in a segment are compared exactly, in bounded blocks.
+rows to shuffle and collisions to look into. A few credits are spare: for these a set leaves out its most frequent
+subsets, which would chain unlike sets together. Sets that meet in a segment are compared exactly, in bounded blocks.
 
 Equal sets are one node from the start. Sets that meet are joined into candidate groups through the smallest node of
 each subset, never by listing pairs; parity sketches split the groups further, without losing a link, before texts are
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeflow.llm.arrays import SLICE_BYTES, Words, mix, shingle_hashes, text_slices
 from citeflow.llm.components import connected_components
@@ -32,6 +34,8 @@ BAND_STEP = 1.4
 #: One-deletion neighbourhoods are made in bands of sets up to this size. Beyond it one more credit costs a row per
 #: element of the segment, where one more segment costs one row, so the allocation would never pick them.
 DELETION_SIZE = 64
+#: Credits at most by which a band has more than it needs: for so many a set may leave out its most frequent subsets.
+SPARE = 12
 #: What a collision costs, in rows: it may lead to an exact comparison.
 COLLISION_COST = 20.0
 #: Shingles that meet in one comparison task from each side (four times as many where sketches stand for them).
@@ -63,7 +67,7 @@ def bands_up_to(size: int, num: int, den: int) -> list[Band]:
         top = max(low, math.ceil(low * BAND_STEP) - 1)
         differ = (den - num) * top // num
         if differ:
-            spare = min(2, differ // 4)
+            spare = min(SPARE, differ // 4)
             segments = differ + 1 + spare + math.ceil(differ / 16)
             bands.append(Band(number, low, top * den // num, differ, spare, segments))
         low, number = top + 1, number + 1
@@ -202,7 +206,8 @@ def credits_by_cost(sets: DataFrame, num: int, den: int) -> list[tuple[int, int,
 
 
 def index_rows(sets: DataFrame, credits: list[tuple[int, int, list[int]]]) -> DataFrame:
-    """(``key``, ``node``, ``band``): under which hashes each set is found.
+    """(``key``, ``node``, ``band``, ``credit``, ``left``): under which hashes each set is found, what the hash's segment
+    counts, and how many of the spare credits are left to leave out more.
 
     Empty subsets, which many sets have in common, are left out of a set's rows as long as their credits do not exceed
     the spare ones: two similar sets agree on more credits than that, so they also meet elsewhere.
@@ -214,10 +219,24 @@ def index_rows(sets: DataFrame, credits: list[tuple[int, int, list[int]]]) -> Da
     rows = rows.select("node", "band", "spare", F.filter(given, lambda e: e["c"] >= 1).alias("own"), F.filter(less, lambda e: e["c"] == 2).alias("less"))
     entries = F.concat("own", "less")
     hollow = F.aggregate(entries, F.lit(0), lambda a, e: a + F.when(e["key"] == 0, e["c"]).otherwise(F.lit(0)))
-    rows = rows.select("node", "band", entries.alias("entries"), (hollow > F.col("spare")).alias("all"))
-    used = F.filter("entries", lambda e: (e["key"] != 0) | F.col("all"))
-    keys = F.transform(used, lambda e: F.when(e["key"] != 0, e["key"]).otherwise(F.xxhash64("band", e["at"])))
-    return rows.select("node", "band", F.explode(keys).alias("key"))
+    rows = rows.select("node", "band", entries.alias("entries"), (F.col("spare") - hollow).alias("rest"))
+    used = F.filter("entries", lambda e: (e["key"] != 0) | (F.col("rest") < 0))
+    keys = F.transform(used, lambda e: F.struct(F.when(e["key"] != 0, e["key"]).otherwise(F.xxhash64("band", e["at"])).alias("key"), e["c"].cast("byte").alias("credit")))
+    # a set that keeps its empty subsets leaves out nothing else, or it may miss one that leaves them out
+    left = F.greatest("rest", F.lit(0)).cast("byte").alias("left")
+    return rows.select("node", "band", left, F.explode(keys).alias("e")).select("e.key", "node", "band", "e.credit", "left")
+
+
+def rarest(found: DataFrame) -> DataFrame:
+    """(``key``, ``node``, ``band``) of ``found`` without the most frequent keys of each set, as far as its credits allow.
+
+    All sets leave out by one order of the keys. Two similar sets agree on more credits than either may leave out, so the
+    last in this order of the keys that they agree on stays with both: for all before it they have not credits enough.
+    """
+    often = found.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = Window.partitionBy("node", "band").orderBy(F.desc("often"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    spent = found.join(often, "key").withColumn("spent", F.sum("credit").over(ranked))
+    return spent.where("spent > left").select("key", "node", "band")
 
 
 def bit_filter(values: DataFrame, name: str, column: str | None = None) -> Column | None:
@@ -394,6 +413,9 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -
     filtered = bit_filter(shared, "key")
     if filtered is not None:
         found = found.where(filtered)
+    found = stored(found.join(shared.select("key"), "key").distinct(), "found")
+    found = stored(rarest(found), "rarest")
+    shared = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     met = found.join(shared, "key").where("node <> low").select("node", "low", "band").distinct()
     met = stored(met.select("node", "low", "band", F.xxhash64("node", "band").alias("a"), F.xxhash64("low", "band").alias("b")), "candidates")
     groups = connected_components(met)

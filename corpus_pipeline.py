@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeflow.llm import jaccard, langid, packing, secrets, toxic
-from citeflow.llm.frames import col, free_name, label_share, read, stored
+from citeflow.llm.frames import col, free_name, give_back, label_share, read, stored
 from citeflow.llm.queries import BYTE_BPE
 
 #: A document is rejected as toxic from this chance on, and for its language below this one.
@@ -17,6 +17,7 @@ TOXIC, LANGUAGE = 0.5, 0.3
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain scores as toxic go; null and empty texts stay."""
     model = toxic.train(docs.where(label_share("doc_id") != 0), read(spark, sf_dir, "labels"))
+    give_back()  # what the driver held to train
     name = free_name(docs, "_toxicity")
     scored = docs.withColumn(name, toxic.tag(F.col("text"), model)["score"])
     return scored.where(F.col(name) < TOXIC).select(*[col(c) for c in docs.columns])
@@ -25,6 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the languages, go. Where no row names a language, all stay."""
     model = langid.train(docs.where(label_share("doc_id") != 0))
+    give_back()
     if not model.languages:
         return docs
     name = free_name(docs, "_language")
@@ -35,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    give_back()  # the models of the stages before
     return jaccard.keep_one_of_each_class(docs, n=5, num=80, den=100)
 
 

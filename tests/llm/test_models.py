@@ -324,6 +324,39 @@ def test_many_small_sets_are_compared_in_blocks(spark, monkeypatch):
     assert "REPARTITION_BY_COL" in tasks._jdf.queryExecution().executedPlan().toString()
 
 
+def test_common_phrases_do_not_chain_unlike_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(7)) for i in range(12)]
+    base = [[rng.choice(phrases) if rng.random() < 0.2 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(9)) for _ in range(20)] for _ in range(200)]
+    rows = [(i, " ".join(parts)) for i, parts in enumerate(base)]
+    rows += [(1000 + i, " ".join([*base[i][:-1], "an other end of the text"])) for i in range(0, 200, 9)]
+    sizes, tasks = [], jaccard._tasks
+
+    def counted(members, *rest):
+        sizes.append(members.groupBy("group").count().agg(F.max("count")).first()[0])
+        return tasks(members, *rest)
+
+    monkeypatch.setattr(jaccard, "_tasks", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n=5, num=80, den=100).collect()}
+    assert got == classes(rows, 5, 80, 100) and len({c for _, c in got.values()}) < len(rows)
+    assert sizes[0] <= 10  # groups of candidates
+
+
+def test_keys_left_out_lose_no_link(spark):
+    rng = random.Random(9)
+    for spare in (0, 1, 3):
+        # pairs of sets agree on spare + 1 keys, common ones first; all the others are common keys of one side only
+        agreed = [rng.sample(range(40), spare + 1) for _ in range(60)]
+        rows = [(k, 2 * i + side, 1, 1, spare) for i, keys in enumerate(agreed) for side in (0, 1) for k in {*keys, *range(40 * side, 40 * side + 8)}]
+        found = spark.createDataFrame(rows, "key long, node long, band int, credit byte, left byte").repartition(3)
+        kept = {}
+        for r in jaccard.rarest(found).collect():
+            kept.setdefault(r.node, set()).add(r.key)
+        assert all(kept[2 * i] & kept[2 * i + 1] for i in range(60))
+        assert all(len([r for r in rows if r[1] == node]) - len(keys) == spare for node, keys in kept.items())
+
+
 def test_signatures_cover_every_link():
     rng = random.Random(6)
     for num, n in ((90, 400), (80, 60), (90, 25)):
