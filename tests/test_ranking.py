@@ -264,6 +264,56 @@ def test_pairs_of_blocks_even_out(spark):
     assert made[0] * made[1] >= 8 * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("digits", [6, None])
+def test_copies_are_multiplied_once(monkeypatch, digits):
+    """Equal rows, some with many copies, and right candidates of none, one or several rows: ranks as by all cells."""
+    rng = np.random.default_rng(7)
+    made = rng.normal(size=(150, 8))
+    made[7] = made[8] * (1 + 1e-9)
+    right = made[np.concatenate([np.repeat(np.arange(150), 3), np.full(200, 5), np.arange(20, 33)])]
+    right = right[rng.permutation(len(right))]
+    left = np.concatenate([made, rng.normal(size=(40, 8))])
+    left, right = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (left, right))
+    start = rng.integers(0, len(right) - 3, len(left))
+    end = start + rng.integers(0, 4, len(left))
+    sims = np.einsum("qd,cd->qc", left, right)
+    sims = sims if digits is None else np.round(sims, digits)
+    limit, slack = sims[np.arange(len(left)), start], retrieval.TIE if digits is None else 0.0
+    limit[3] = np.nan
+    at = np.arange(len(right))
+    front = (sims > limit[:, None] + slack) | ((abs(sims - limit[:, None]) <= slack) & (at < start[:, None]))
+    ahead = (front & ~((at >= start[:, None]) & (at < end[:, None]))).sum(axis=1)
+    cells, tiles = [], retrieval._tiles
+    monkeypatch.setattr(retrieval, "_tiles", lambda *sides: (cells.append(t[2].size) or t for t in tiles(*sides)))
+    assert (retrieval.count_ahead(left, right, limit, start, end, digits) == ahead).all()
+    assert sum(cells) == len(left) * 150
+
+
+def test_copies_meet_in_one_block(spark, monkeypatch):
+    """A vector's copies lie in one block, those of a very common one in several."""
+    monkeypatch.setattr(retrieval, "COPIES", 100)
+    rows = [(i, [float(i % 50), 1.0]) for i in range(150)] + [(i, [-1.0, 2.0]) for i in range(150, 1150)]
+    dealt = retrieval._dealt(spark.createDataFrame(rows, "cand_id long, vec array<double>"), 8)
+    assert dealt.columns == ["cand_id", "vec", "_bc"]
+    blocks = {tuple(r.vec): (r.blocks, r.n) for r in dealt.groupBy("vec").agg(F.count_distinct("_bc").alias("blocks"), F.count("*").alias("n")).collect()}
+    assert blocks.pop((-1.0, 2.0))[0] > 3
+    assert set(blocks.values()) == {(1, 3)}
+
+
+@pytest.mark.parametrize("copies", [4096, 2])
+def test_ranks_among_copies(spark, vectors, monkeypatch, copies):
+    monkeypatch.setattr(retrieval, "COPIES", copies)
+    q, c, queries, corpus = vectors
+    many = corpus.select("vec", F.explode(F.array(*[F.col("cand_id") * 3 + k for k in range(3)])).alias("cand_id"))
+    truth = spark.createDataFrame([(i, (i * 7) % len(c) * 3 + 1) for i in range(len(q))], "query_id long, truth_id long")
+    sims = np.repeat(similarities(q, c), 3, axis=1)
+    for digits in (6, None):
+        got = {r.query_id: r["rank"] for r in retrieval.retrieval_ranks(queries, many, truth, digits, block_rows=20).collect()}
+        for i in range(len(q)):
+            t = (i * 7) % len(c) * 3 + 1
+            assert got[i] == (sims[i] > sims[i, t]).sum() + (sims[i, :t] == sims[i, t]).sum() + 1
+
+
 def test_bayes_few_classes_need_no_index(spark, monkeypatch):
     """One class may hold nearly all postings, which no task gathers; rows that share an id are scored each for itself."""
     from citeflow.operators import bayes
